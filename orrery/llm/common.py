@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +61,40 @@ def free_name(taken: list[str], name: str) -> str:
 def hex_sha(column):
     """Lower-case hex SHA-256 of a string column's UTF-8 bytes."""
     return F.sha2(column, 256)
+
+
+#: Words of a text's UTF-8 bytes: no byte of a longer character is one of the six white-space characters.
+byte_words = re.compile(rb"[^\x20\x09-\x0D]+").findall
+AZ = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
+#: Odd multipliers of mixing steps. Fixed values.
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit numbers, one for one."""
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of a string column as bytes; null is empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def named_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names (two columns) of all words of some texts in a row, and where each text starts, with the end of the last."""
+    lists = [byte_words(t) for t in texts]
+    starts = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=starts[1:])
+    index: dict[bytes, int] = {}
+    at = np.fromiter((index.setdefault(w, len(index)) for x in lists for w in x), np.int64, int(starts[-1]))
+    names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, index)), "<u8").reshape(-1, 2)
+    return names[at], starts
+
+
+def small_batches(batches, rows: int = 512):
+    """Arrow batches cut to a few hundred rows, so that a task's memory stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe_automaton, chat_format, license_scan
+from orrery.llm import bpe_automaton, chat_format, jaccard_join, license_scan, recompression
 from orrery.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.query(table(spark, sf_dir, "documents"), _tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op4_chat_format, op6_bpe_automaton)}
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.query(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op4_chat_format": chat_format.ORACLE}
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op4_chat_format, op6_bpe_automaton, op9_recompression, op10_jaccard_join)}
+
+ORACLES: dict[str, str] = {"op4_chat_format": chat_format.ORACLE, "op9_recompression": recompression.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
