@@ -9,7 +9,7 @@ Documents are read once. A Bloom filter of the benchmark's hashes, of a fixed si
 what is left is joined, with the words around it. The benchmark's side is broadcast when a count shows that it is within MAX_BROADCAST
 rows; else the join is dealt by hash, with documents salted so that a passage found in very many of them spreads over tasks.
 
-Words are runs of ASCII letters and digits and of characters outside ASCII, with A-Z lower-cased.
+Words are runs of ASCII letters and digits and of characters outside ASCII, lower-cased.
 
 Defined cases: null and empty texts and items overlap with nothing; items with fewer words than the shortest mask's span can't be found and are skipped;
 a null doc_id or item_id is kept as null; repeated rows give one row for each place; other columns are ignored; empty tables give an
@@ -44,7 +44,7 @@ plain_words = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").findall
 
 def names_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit names of all words of some texts in a row, and where each text starts, with the end of the last."""
-    lists = [plain_words(t.translate(AZ)) for t in texts]
+    lists = [plain_words(t.translate(AZ) if t.isascii() else t.decode(errors="replace").lower().encode()) for t in texts]
     starts = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=starts[1:])
     index: dict[bytes, int] = {}
