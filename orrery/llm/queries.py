@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe_automaton, chat_format, decontamination, jaccard_join, license_scan, recompression
+from orrery.llm import bpe_automaton, chat_format, decontamination, jaccard_join, license_scan, recompression, voronoi_knn
 from orrery.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.query(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.query(table(spark, sf_dir, "conversations"))
 
@@ -40,6 +44,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op4_chat_format, op6_bpe_automaton, op9_recompression, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_voronoi_knn, op4_chat_format, op6_bpe_automaton, op9_recompression, op10_jaccard_join)}
 
-ORACLES: dict[str, str] = {"op4_chat_format": chat_format.ORACLE, "op9_recompression": recompression.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+ORACLES: dict[str, str] = {"op3_voronoi_knn": voronoi_knn.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_recompression": recompression.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
