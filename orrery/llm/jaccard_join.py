@@ -26,19 +26,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import AZ, cut, mixed, named_words, need, small_batches, spread, utf8
 from orrery.llm.components import components
+from orrery.llm.packed_sums import total
 
 WORDS, PERCENT = 3, 90
 #: Tokens in a combination, and the longest extended prefix that is combined: 16 tokens have 120 pairs.
 COMBINED, COMBINED_PREFIX = 2, 16
-#: Slots of the sketch of counts (2 MB) and of the filter of documents that occur in pairs (1 MB), whatever the input's size.
-COUNT_BITS, FILTER_BITS, SEGMENTS = 19, 23, 64
+#: Slots of the sketch of counts (4 MB) and of the filter of documents that occur in pairs (1 MB), whatever the input's size.
+COUNT_BITS, FILTER_BITS = 19, 23
 #: Rounds that compare one document of a key with the rest, before all that is left is compared; fewer where that is little.
 ROUNDS = 6
 SHINGLE = np.uint64(0x9FB21C651E98DF25)
@@ -77,27 +77,12 @@ def frequent_slots(docs: DataFrame, words: int) -> np.ndarray:
     """For each slot of the sketch, whether its tokens count as frequent: far above the mean of all slots, over all documents."""
     size = 1 << COUNT_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
-        for b in small_batches(batches):
+    def add(counts: np.ndarray, batch: pa.RecordBatch) -> None:
+        for b in small_batches([batch]):
             tokens, _ = token_sets(utf8(b.column("text")), words)
             counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=size)
-        if counts.any():
-            parts = counts.reshape(SEGMENTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["segment", "counts"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size // SEGMENTS, np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "counts": [total.tobytes()]})
-
-    schema = "segment int, counts binary"
-    got = docs.select("text").mapInArrow(count, schema).groupBy("segment").applyInPandas(add, schema).collect()  # SEGMENTS rows of a fixed size
-    counts = np.zeros((SEGMENTS, size // SEGMENTS))
-    for r in got:
-        counts[r["segment"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.ravel()
+
+    counts = total(docs.select("text"), size, add)
     mean = counts.mean()
     return counts > mean + 8 * np.sqrt(mean) + 32
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe_automaton, chat_format, decontamination, jaccard_join, license_scan, recompression, voronoi_knn
+from orrery.llm import bpe_automaton, chat_format, decontamination, jaccard_join, language_id, license_scan, mincut_extract, recompression, voronoi_knn
 from orrery.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.query(table(spark, sf_dir, "documents"), _tokenizer_path())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.query(table(spark, sf_dir, "documents"))
+
+
+def op8_mincut_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut_extract.query(table(spark, sf_dir, "pages"))
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.query(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_voronoi_knn, op4_chat_format, op6_bpe_automaton, op9_recompression, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_voronoi_knn, op4_chat_format, op6_bpe_automaton, op7_language_id, op8_mincut_extract, op9_recompression, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {"op3_voronoi_knn": voronoi_knn.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_recompression": recompression.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
