@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe_automaton, chat_format, decontamination, jaccard_join, language_id, license_scan, mincut_extract, recompression, voronoi_knn
+from orrery.llm import bpe_automaton, chat_format, decontamination, jaccard_join, language_id, license_scan, mincut_extract, recompression, toxicity, voronoi_knn
 from orrery.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.query(table(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.query(table(spark, sf_dir, "documents"), _tokenizer_path())
 
@@ -52,6 +56,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_voronoi_knn, op4_chat_format, op6_bpe_automaton, op7_language_id, op8_mincut_extract, op9_recompression, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_voronoi_knn, op4_chat_format, op5_toxicity, op6_bpe_automaton, op7_language_id, op8_mincut_extract, op9_recompression, op10_jaccard_join)}
 
 ORACLES: dict[str, str] = {"op3_voronoi_knn": voronoi_knn.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_recompression": recompression.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
