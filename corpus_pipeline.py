@@ -1,8 +1,78 @@
 """A pipeline over documents: each stage's result is written and read again as the next one's input."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import bpe_automaton, decontamination, jaccard_join, language_id, recompression
+from orrery.llm.common import spread, table, use_checkpoint_dir
+from orrery.llm.queries import tokenizer_path
+
+#: Near duplicates: five words to a shingle, 80 percent of all shingles in common.
+WORDS, PERCENT = 5, 80
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without letters, or of no known language, go."""
+    return language_id.known(docs)
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least doc_id."""
+    return jaccard_join.one_of_each(docs, WORDS, PERCENT)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less words in passages of 50 words or more that a document with a smaller doc_id has too."""
+    found = recompression.dedup(docs, kept="__kept")
+    text = F.when(F.col("n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return found.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their token ids, the number of them, and digests of the ids and of the text they decode to."""
+    encoded = bpe_automaton.encode_decode(spread(docs), tokenizer_path())
+    return encoded.select(*docs.columns, "token_ids", *bpe_automaton.digests(encoded))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("jaccard_join", one_of_near_duplicates),
+    ("substring_dedup", drop_repeats),
+    ("decontamination", decontaminate),
+    ("bpe", tokenize),
+]
+
+#: Language models, components and automata have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Each stage but the last is written to the shared checkpoint folder and read again; what came before it is deleted then."""
+    use_checkpoint_dir(spark)
+    work = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(path := f"{work}/{k}")
+        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

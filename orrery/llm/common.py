@@ -58,6 +58,22 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+#: Rows of ids (16 bytes each) up to which a list of them is broadcast; a longer one is joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def short(ids: DataFrame) -> DataFrame:
+    """ids, written to the shared folder, and marked for broadcast if their count is within MAX_BROADCAST_IDS."""
+    ids = cut(ids.distinct())
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id and text are in gone (doc_id, and copy: xxhash64 of the text). Null and repeated ids are told apart by their texts."""
+    gone = short(gone.select(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_copy"]), "left_anti")
+
+
 def hex_sha(column):
     """Lower-case hex SHA-256 of a string column's UTF-8 bytes."""
     return F.sha2(column, 256)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import AZ, mixed, need, small_batches, spread, utf8
+from orrery.llm.common import AZ, mixed, need, small_batches, spread, utf8, without
 
 #: The masks: six marked words of eight to ten. Fixed values.
 MASKS = ("11011011", "110101011", "1011001011", "1110010011")
@@ -198,9 +198,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any overlap, as they were. Flagged documents are found by id and text, so that null and repeated ids do no harm."""
-    flagged = overlaps(docs, items).select(F.col("doc_id").alias("flagged_id"), F.col("copy").alias("flagged_copy")).distinct()
-    return docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["flagged_id"]) & (F.xxhash64(docs["text"]) == flagged["flagged_copy"]), "left_anti")
+    """The documents without any overlap, as they were."""
+    return without(docs, overlaps(docs, items))
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import AZ, cut, mixed, named_words, need, small_batches, spread, utf8
+from orrery.llm.common import AZ, cut, free_name, mixed, named_words, need, short, small_batches, spread, utf8
 from orrery.llm.components import components
 from orrery.llm.packed_sums import total
 
@@ -240,6 +240,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return result.union(unknown)
 
 
+def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """docs with one document of each component, the one with the least doc_id; of rows that repeat an id, one stays. Rows with null ids stay."""
+    found = cut(join(docs, words, percent))
+    gone = short(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")))
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
+    if repeated.isEmpty():
+        return kept
+    repeated = short(repeated)
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    rank = free_name(docs.columns, "rank")
+    again = kept.join(repeated, kept["doc_id"] == repeated["gone_id"], "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(repeated, kept["doc_id"] == repeated["gone_id"], "left_anti").unionByName(again)
+
+
 def query(docs: DataFrame) -> DataFrame:
     """Result of op10: a row for each document."""
     return join(docs, WORDS, PERCENT)

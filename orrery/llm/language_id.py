@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import cut, need, small_batches, spread, utf8
+from orrery.llm.common import cut, need, small_batches, spread, utf8, without
 from orrery.llm.packed_sums import total
 
 #: Buckets of trigrams; the least share of rows that makes a declared value a language; trigrams that a text's evidence counts as, at most.
@@ -158,8 +158,7 @@ def identify(docs: DataFrame, declared: str | None = None, address: str | None =
 
 def known(docs: DataFrame, declared: str = "lang", address: str = "source") -> DataFrame:
     """The documents that aren't rejected, as they were."""
-    gone = identify(docs, declared, address).where("rejected").select(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_copy"]), "left_anti")
+    return without(docs, identify(docs, declared, address).where("rejected"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from orrery.llm import bpe_automaton, chat_format, decontamination, jaccard_join
 from orrery.llm.common import table
 
 
-def _tokenizer_path() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -37,7 +37,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_automaton.query(table(spark, sf_dir, "documents"), _tokenizer_path())
+    return bpe_automaton.query(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
