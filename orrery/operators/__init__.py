@@ -1 +1 @@
-
+"""Operators over the model's tables."""

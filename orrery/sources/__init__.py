@@ -1 +1 @@
-
+"""Where state comes from and goes to."""

@@ -1 +1,65 @@
+"""Publish and subscribe, log folding and windows over events, as batch frames or streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from orrery.functions import glob_match_column
+from orrery.operators import kv
+
+
+def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(seq, channel, subscriber, payload): a delivery for each subscriber of a message's channel, by name or by pattern, once each.
+
+    messages may be a stream; subscriptions (subscriber, channel, is_pattern) is a static table.
+    """
+    exact = subscriptions.where("NOT is_pattern").select("channel", "subscriber").distinct()
+    by_name = messages.join(exact, "channel").select("seq", "channel", "subscriber", "payload")
+    patterns = subscriptions.where("is_pattern").select(F.col("channel").alias("pattern"), "subscriber").distinct()
+    # Patterns are tested once for each channel's first letters where they have any, else for all messages.
+    by_pattern = messages.join(patterns, glob_match_column(F.col("channel"), F.col("pattern"))).select("seq", "channel", "subscriber", "payload")
+    both = by_name.unionByName(by_pattern)
+    return both if messages.isStreaming else both.distinct()
+
+
+def receivers(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(seq, channel, receivers): what PUBLISH returns for each message."""
+    got = publish(messages, subscriptions).groupBy("seq").agg(F.count("*").alias("n"))
+    return messages.join(got, "seq", "left").select("seq", "channel", F.coalesce("n", F.lit(0)).cast("long").alias("receivers"))
+
+
+def fold_stream(log: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
+    """Fold a stream of commands to key-value state. Each micro-batch is appended to the log below state_path under its number, so that a repeated batch writes the
+    same folder again, and the state is what replaying these folders gives (see read_stream_state)."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+
+    return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_stream_state(spark, state_path: str, now_ms: int) -> DataFrame:
+    return kv.alive(kv.fold(spark.read.parquet(state_path)), now_ms)
+
+
+def watched(log: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(db, key, changed): whether a watched key (db, key, seq of the snapshot) was written after it."""
+    last = log.select("db", F.try_element_at("args", F.lit(1)).alias("key"), "seq").groupBy("db", "key").agg(F.max("seq").alias("last"))
+    return snapshot.join(last, ["db", "key"], "left").select("db", "key", (F.coalesce("last", F.lit(-1)) > F.col("seq")).alias("changed"))
+
+
+def command_counts(log: DataFrame) -> DataFrame:
+    """(cmd, calls); for batches and streams."""
+    return log.groupBy("cmd").agg(F.count("*").alias("calls"))
+
+
+def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """(start, event_type, n, total): tumbling windows with a watermark; for batches and streams."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(user_id, start, end, n): sessions of users, parted by gaps."""
+    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
