@@ -165,7 +165,7 @@ def copy_of(text: bytes) -> int:
 
 
 def ranges(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each range of windows that elect one symbol: key, r1, r2 (hash of the range's words), doc_id, copy, range (first window * 64 + windows)."""
+    """A row for each range of windows that elect one symbol: key, r1, r2 (hash of the range's words), doc_id, copy, range (first window * 64 + windows; negative if known to repeat)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -178,7 +178,17 @@ def ranges(docs: DataFrame, width: int) -> DataFrame:
             copies = np.array([copy_of(t) for t in texts], np.int64)[doc] if len(texts) else np.zeros(0, np.int64)
             key = rolling.of(0, lo, hi) + (hi - lo).astype(np.uint64)
             end = first + count - 1 + width
-            columns = [key, rolling.of(0, first, end), rolling.of(1, first, end), ids, copies, (first - starts[doc]) * 64 + count]
+            r1, r2, packed = rolling.of(0, first, end), rolling.of(1, first, end), (first - starts[doc]) * 64 + count
+            # Of equal ranges in one batch, those of the first document speak for all: the others are known to repeat. Those get keys of their own, so
+            # that the rows of a very common passage are few where its key goes.
+            order = np.lexsort((ids, r2, r1, key))
+            k, a, b_ = key[order], r1[order], r2[order]
+            head = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b_[1:] != b_[:-1])]) if len(order) else order
+            least = np.repeat(ids[order][head], np.diff(np.r_[head, len(order)]))
+            known = order[ids[order] > least]
+            key[known] = mixed(key[known] + mixed(ids[known].astype(np.uint64) + packed[known].astype(np.uint64) * PAIR))
+            packed[known] = -packed[known]
+            columns = [key, r1, r2, ids, copies, packed]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False) if c.dtype != np.uint64 else c.view(np.int64)) for c in columns], names=["key", "r1", "r2", "doc_id", "copy", "range"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, r1 long, r2 long, doc_id long, copy long, range long")
@@ -190,8 +200,8 @@ def marked_ranges(found: DataFrame) -> DataFrame:
     key = Window.partitionBy("key")
     seen = found.select("*", F.min("doc_id").over(same).alias("first_doc"))
     seen = seen.select("*", ((F.min("r1").over(key) != F.max("r1").over(key)) | (F.min("r2").over(key) != F.max("r2").over(key))).alias("unlike"))
-    whole = F.col("first_doc") < F.col("doc_id")
-    return seen.where(whole | F.col("unlike")).groupBy("doc_id", "copy").agg(F.collect_list(F.col("range") * 2 + F.when(whole, 0).otherwise(1)).alias("marks"))
+    whole = (F.col("first_doc") < F.col("doc_id")) | (F.col("range") < 0)
+    return seen.where(whole | F.col("unlike")).groupBy("doc_id", "copy").agg(F.collect_list(F.abs("range") * 2 + F.when(whole, 0).otherwise(1)).alias("marks"))
 
 
 def window_hashes(texts: DataFrame, width: int) -> DataFrame:
