@@ -159,8 +159,24 @@ class WordBpe:
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self._letters = byte_letters()
+        self._assigned: set[str] = set()
+        self._description = description
         self._seen: dict[str, list[int]] = {}
 
+    def _has_unassigned(self, text: str) -> bool:
+        """Whether a text has characters that were not assigned when this Python's tables were made."""
+        new = set(text) - self._assigned
+        bad = {c for c in new if unicodedata.category(c) == "Cn"}
+        self._assigned |= new - bad
+        return bool(bad)
+
+    def _by_library(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        """Pre-split words in byte letters, by the library's own normaliser and pre-splitter."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(self._description)
+        return own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
+
     def _word(self, word: str) -> list[int]:
         """A word's tokens; short words' are kept, as long as the cache has room."""
         ids = self.automaton.encode("".join(map(self._letters.__getitem__, word.encode())))
@@ -178,6 +194,9 @@ class WordBpe:
                 ids.append(special[part])
                 continue
             if not part.isascii():
+                if self._has_unassigned(part):  # the libraries' character tables are of different age
+                    ids += [i for piece, _ in self._by_library(part) for i in self.automaton.encode(piece)]
+                    continue
                 part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")  # capital sigma, which lower() treats by its place
             for word in self._words(part.lower()):
                 ids += get(word) or self._word(word)
