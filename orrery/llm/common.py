@@ -38,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_plain(df: DataFrame) -> DataFrame:
+    """As cut(), for short rows of a loop. What Spark infers about a frame's columns outlives checkpoint() and grows from round to round, until planning takes
+    longer than the work; a frame made anew from the checkpointed rows carries none of it."""
+    done = cut(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), df.sparkSession)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least two tasks a core: a table of few files or row groups would keep most cores idle. Rows move only when the scan is that narrow."""
     want = 2 * df.sparkSession.sparkContext.defaultParallelism

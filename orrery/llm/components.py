@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut
+from orrery.llm.common import cut_plain
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """A row (node, root) for each node with a link; nodes of one component share the root, one of them.
 
-    Each round draws a fresh order of the nodes by hash, leads every node to the least of itself and its neighbours, and contracts the links;
-    about half the nodes or more vanish each time, chains and stars alike. Every step is a join or a sum on the node, and is written to the shared
+    Each round draws a fresh order of the nodes by hash, leads every node to the least of itself and its neighbours, and from there once more in the same way, and
+    contracts the links; most nodes vanish each time, chains and stars alike. Every step is a join or a sum on the node, and is written to the shared
     checkpoint folder, so nothing depends on one executor.
     """
-    edges = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    edges = cut_plain(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     root, salt = None, 0
     while not edges.isEmpty():
         salt += 1
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
-        leads = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("least")).select("node", F.least(rank("node"), "least")["node"].alias("to")))
+        leads = cut_plain(both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("least")).select("node", F.least(rank("node"), "least")["node"].alias("to")))
+        leads = cut_plain(leads.join(leads.select(F.col("node").alias("to"), F.col("to").alias("then")), "to").select("node", F.col("then").alias("to")))
         if root is None:
             root = leads.select("node", F.col("to").alias("root"))
         else:
-            root = cut(root.join(leads.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            root = cut_plain(root.join(leads.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         on = lambda c: leads.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
         new = edges.join(on("a"), "a").join(on("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
-        edges = cut(new.where("a <> b").distinct())
+        edges = cut_plain(new.where("a <> b").distinct())
     return root if root is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

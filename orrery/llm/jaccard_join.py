@@ -14,7 +14,7 @@ each key with the others of its key, then the second and so on, and link what ve
 compared again, so that a key of m near copies costs about m comparisons and not m * m. When few enough pairs in unlike components are left, all of them
 are compared. No pair that reaches the threshold is left out: its two documents end in one component, or are compared.
 
-Verification intersects the whole sets, for documents that occur in pairs only. Links join to components by contraction.
+Parity sketches of the sets rule out most pairs that are far apart. Verification intersects the whole sets, for documents that occur in what is left. Links join to components by contraction.
 
 Defined cases: A-Z are lower-cased; with fewer words than a shingle has, the sequence is one token; null and blank texts have empty sets and
 link with nothing; rows that repeat a doc_id are one document with the links of all of them, and give a row each; rows with a null doc_id
@@ -30,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import AZ, cut, free_name, mixed, named_words, need, short, small_batches, spread, utf8
+from orrery.llm.common import AZ, cut, cut_plain, free_name, mixed, named_words, need, short, small_batches, spread, utf8
 from orrery.llm.components import components
 from orrery.llm.packed_sums import total
 
 WORDS, PERCENT = 3, 90
 #: Tokens in a combination, and the longest extended prefix that is combined: 16 tokens have 120 pairs.
 COMBINED, COMBINED_PREFIX = 2, 16
-#: Slots of the sketch of counts (4 MB) and of the filter of documents that occur in pairs (1 MB), whatever the input's size.
-COUNT_BITS, FILTER_BITS = 19, 23
+#: Slots of the sketch of counts (8 MB) and of the filter of documents that occur in pairs (1 MB), whatever the input's size.
+COUNT_BITS, FILTER_BITS = 20, 23
+#: Bits of a set's parity sketch.
+PARITY_BITS = 1024
 #: Rounds that compare one document of a key with the rest, before all that is left is compared; fewer where that is little.
 ROUNDS = 6
+#: Pairs for each document that are compared at once when so many or fewer are left, before the bounds on sizes and places thin them out.
+ENOUGH = 100
 SHINGLE = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -84,11 +88,11 @@ def frequent_slots(docs: DataFrame, words: int) -> np.ndarray:
 
     counts = total(docs.select("text"), size, add)
     mean = counts.mean()
-    return counts > mean + 8 * np.sqrt(mean) + 32
+    return counts > mean + 4 * np.sqrt(mean) + 8
 
 
 def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row for each document: doc_id, n, s1, s2 (a hash of the set), keys, places (of each key's first token in the document's order)."""
+    """A row for each document: doc_id, n, s1, s2 (a hash of the set), keys, places (of each key's first token in the document's order), parity."""
     frequent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_slots(docs, words)))
     k = COMBINED
 
@@ -103,6 +107,9 @@ def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             tokens, starts = token_sets(utf8(b.column("text")), words)
             is_frequent = often[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
             names, more = mixed(tokens + np.uint64(1)), mixed(tokens ^ SHINGLE)
+            slot = np.repeat(np.arange(b.num_rows), np.diff(starts)) * PARITY_BITS + (names & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+            odd = np.bincount(slot, minlength=b.num_rows * PARITY_BITS).reshape(b.num_rows, -1).astype(np.uint8) & 1
+            parity = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
             sizes, s1, s2, keys, places = [], [], [], [], []
             for d in range(b.num_rows):
                 lo, hi = int(starts[d]), int(starts[d + 1])
@@ -129,9 +136,9 @@ def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 places.append(np.concatenate(place).astype(np.int32))
             offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
             of = lambda parts, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), of(keys, pa.int64()), of(places, pa.int32())], names=["doc_id", "n", "s1", "s2", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), of(keys, pa.int64()), of(places, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * parity.shape[1]), pa.array(parity.ravel()))], names=["doc_id", "n", "s1", "s2", "keys", "places", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, keys array<long>, places array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, keys array<long>, places array<int>, parity array<long>")
 
 
 def _slot(column):
@@ -160,6 +167,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return found.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
 
+def not_far(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that parity sketches (doc_id, n, parity) don't rule out.
+
+    A sketch has for each slot whether an odd number of the set's tokens fall there, so the slots in which two sketches differ are at most the tokens that only one of
+    the sets has. Too many of them prove that a pair can't reach the threshold; no pair that reaches it is dropped.
+    """
+    side = lambda name: sketches.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_parity"))
+    apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -199,6 +218,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     index = index.select("*", F.row_number().over(by_key).alias("rank"), F.lead("doc").over(by_key).isNull().alias("last"))
     shared = cut(index.where("NOT (last AND rank = 1)").drop("last"))
 
+    sketches = firsts.select("doc_id", "n", "parity")
+    count = members.count()
     links = repeats
     roots = None
     tested = 0
@@ -220,7 +241,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             number = of_key.agg(F.sum((F.col("m") - F.col("most.m")) * F.col("m"))).first()[0] or 0
             if number == 0:
                 break
-            last = tested > ROUNDS or number <= 4 * members.count() + 100_000
+            last = tested > ROUNDS or number <= ENOUGH * count + 1_000_000
             if last:
                 away = left.join(of_key.select("key", F.col("most.root").alias("most")), "key").where("root <> most")
                 a = away.select("key", *(F.col(c).alias(f"a_{c}") for c in ("doc", "n", "place", "root")), F.col("most"))
@@ -229,8 +250,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         else:
             last = False
         pairs = pairs.where(F.col("a_root") != F.col("b_root")).where(may_link(percent)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).where("a <> b").distinct()
-        new = cut(verified(cut(pairs), docs, words, percent))
-        links = cut(links.union(new))
+        new = cut_plain(verified(cut_plain(not_far(pairs, sketches, percent)), docs, words, percent))
+        links = cut_plain(links.union(new))
         roots = components(links)
         if last:
             break
