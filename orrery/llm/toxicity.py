@@ -41,9 +41,10 @@ DROP_REPEAT, DROP_SIGN, DROP_LETTER, IMITATE = 0.3, 0.1, 3.0, 0.5
 OTHER, GAP = 26, 27
 #: The letter model's classes: a to z, any byte of a longer character, and everything else.
 CLASS = np.array([b - 97 if 97 <= b <= 122 else b - 65 if 65 <= b <= 90 else OTHER if b >= 128 else GAP for b in range(256)], np.int64)
-LONGEST = 64
+LONGEST, CACHE_ENTRIES = 64, 300_000
 
 disguised = re.compile(rb"[0-9@$!|+(*][a-z]|[a-z][0-9@$*|(]+$|([a-z])\1\1|^(?:[a-z0-9@$!|][.\-_*~'/]+){3,}[a-z0-9@$!|]$").search
+tripled = re.compile(rb"([a-z])\1\1").search
 letters = re.compile(rb"[a-z\x80-\xff]+").findall
 edges = b"!?.,;:#%&\"'()[]{}<>~-_=*^`/\\"
 
@@ -109,8 +110,8 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
 
 def words_of_token(token: bytes, model: LetterModel) -> list[bytes]:
     """The restored words of one token, in small letters."""
-    if token.isalpha() and len(token) < 3:
-        return [token]
+    if token.isalpha():
+        return [model.restore(token)] if tripled(token) and len(token) <= LONGEST else [token]
     core = token.strip(edges) or token
     if len(core) <= LONGEST and not core.isdigit() and disguised(core):
         return [model.restore(core)]
@@ -123,31 +124,34 @@ def buckets(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(word, 99) % BUCKETS] + [xxhash.xxh3_64_intdigest(word[:k], k) % BUCKETS for k in range(4, min(n, 9))]
 
 
-def restored(texts: list[bytes], model: LetterModel) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each distinct token of some texts; then, for each text and distinct token in it, both numbers; and each text's number of tokens."""
+def tokens_of(texts: list[bytes], model: LetterModel) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts; for each place the text and the token there; each text's number of tokens.
+
+    Letters that stand alone, four or more in a row, are a word in pieces: it is restored and added as a token of its text.
+    """
     lists = [byte_words(t.translate(AZ) if t.isascii() else t.decode(errors="replace").lower().encode()) for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
     index: dict[bytes, int] = {}
     at = np.fromiter((index.setdefault(w, len(index)) for x in lists for w in x), np.int64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(texts)), sizes)
-    tokens = list(index)
-    words = [words_of_token(t, model) for t in tokens]
-    # Letters that stand alone, four or more in a row, are a word in pieces.
-    single = np.array([len(t) == 1 and (t.isalpha() or t.decode("latin-1") in IMITATED) for t in tokens], bool)[at] if len(at) else np.zeros(0, bool)
-    if single.any():
-        edge = np.flatnonzero(np.diff(np.r_[0, (single).astype(np.int8), 0]))
-        extra_doc, extra = [], []
-        for a, z in zip(edge[::2], edge[1::2], strict=True):
-            for d in np.unique(doc[a:z]):  # a run doesn't go on in the next text
-                run = np.flatnonzero(doc[a:z] == d) + a
-                if len(run) >= 4:
-                    joined = b"".join(tokens[i] for i in at[run[:LONGEST]].tolist())
-                    extra_doc.append(int(d))
-                    extra.append(len(words))
-                    words.append([model.restore(joined)])
-        doc, at = np.r_[doc, np.array(extra_doc, np.int64)], np.r_[at, np.array(extra, np.int64)]
-    pairs = np.unique(doc * max(1, len(words)) + at)
-    return words, pairs // max(1, len(words)), pairs % max(1, len(words)), sizes
+    alone = [i for t, i in index.items() if len(t) == 1 and (t.isalpha() or t.decode("latin-1") in IMITATED)]
+    if alone:
+        is_alone = np.zeros(len(index), bool)
+        is_alone[alone] = True
+        single = is_alone[at]
+        # A run ends where the letters do, and where the text does.
+        new = np.flatnonzero(np.r_[True, (single[1:] != single[:-1]) | (doc[1:] != doc[:-1])]) if len(at) else at
+        size = np.diff(np.r_[new, len(at)])
+        runs = np.flatnonzero(single[new] & (size >= 4)) if len(at) else at
+        known = list(index)
+        extra = []
+        for r in runs.tolist():
+            word = model.restore(b"".join(known[i] for i in at[new[r] : new[r] + min(LONGEST, size[r])].tolist()))
+            extra.append((int(doc[new[r]]), index.setdefault(word, len(index))))
+        if extra:
+            more = np.array(extra, np.int64)
+            doc, at = np.r_[doc, more[:, 0]], np.r_[at, more[:, 1]]
+    return list(index), doc, at, sizes
 
 
 def feature_counts(labelled: DataFrame, model: LetterModel) -> np.ndarray:
@@ -157,8 +161,10 @@ def feature_counts(labelled: DataFrame, model: LetterModel) -> np.ndarray:
     def add(sums: np.ndarray, batch: pa.RecordBatch) -> None:
         for b in small_batches([batch]):
             label = b.column("toxic").to_numpy().astype(np.int64)
-            words, doc, token, _ = restored(utf8(b.column("text")), shared.value)
-            own = [[f for w in ws for f in buckets(w)] for ws in words]
+            tokens, doc, at, _ = tokens_of(utf8(b.column("text")), shared.value)
+            pairs = np.unique(doc * max(1, len(tokens)) + at)
+            doc, token = pairs // max(1, len(tokens)), pairs % max(1, len(tokens))
+            own = [[f for w in words_of_token(t, shared.value) for f in buckets(w)] for t in tokens]
             n = np.array([len(x) for x in own], np.int64)
             flat = np.array([f for x in own for f in x], np.int64)
             begin = np.r_[0, np.cumsum(n)]
@@ -185,16 +191,27 @@ def weights(counts: np.ndarray) -> np.ndarray:
 
 def evidence(docs: DataFrame, model: LetterModel, weight: np.ndarray) -> DataFrame:
     """docs without the text, with evidence: the strongest word's weight, the next one's, the sum of the five strongest, and the log of the length."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, weight))
+    heavy = np.flatnonzero(weight)
+    shared = docs.sparkSession.sparkContext.broadcast((model, dict(zip(heavy.tolist(), weight[heavy].tolist(), strict=True))))
     others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weight = shared.value
+        known: dict[bytes, float] = {}
+
+        def weigh(token: bytes) -> float:
+            if len(known) > CACHE_ENTRIES:
+                known.clear()
+            best = known[token] = max((weight.get(f, 0.0) for w in words_of_token(token, model) for f in buckets(w)), default=0.0)
+            return best
+
         for b in small_batches(batches):
-            words, doc, token, sizes = restored(utf8(b.column("text")), model)
-            of_token = np.array([max((float(weight[buckets(w)].max()) for w in ws), default=0.0) for ws in words])
-            found = of_token[token] if len(token) else np.zeros(0)
-            doc, found = doc[found > 0], found[found > 0]
+            tokens, doc, at, sizes = tokens_of(utf8(b.column("text")), model)
+            get = known.get
+            of_token = np.array([w if (w := get(t)) is not None else weigh(t) for t in tokens], float)
+            strong = np.flatnonzero(of_token[at] > 0) if len(at) else at
+            pairs = np.unique(doc[strong] * max(1, len(tokens)) + at[strong])
+            doc, found = pairs // max(1, len(tokens)), of_token[pairs % max(1, len(tokens))]
             order = np.lexsort((-found, doc))
             doc, found = doc[order], found[order]
             rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
