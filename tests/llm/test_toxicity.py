@@ -6,7 +6,7 @@ from orrery.llm import toxicity as X
 
 @pytest.fixture(scope="module")
 def tables(spark, data):
-    base = data.replace("sf0.001", "sf0.01")
+    base = data.replace("sf0.001", "sf0.1")  # enough labels to learn from
     return spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
 
 
@@ -32,7 +32,7 @@ def test_held_out_accuracy(tables):
     out = X.query(docs, labels).join(labels, "doc_id").where("held_out").select("score", "toxic", "predicted").collect()
     score, toxic = np.array([r["score"] for r in out]), np.array([r["toxic"] for r in out])
     above = (score[toxic == 1][:, None] > score[toxic == 0][None]).mean() + 0.5 * (score[toxic == 1][:, None] == score[toxic == 0][None]).mean()
-    assert above > 0.75 and ((score >= 0) & (score <= 1)).all() and all(r["predicted"] == (r["score"] >= 0.5) for r in out)
+    assert above > 0.9 and ((score >= 0) & (score <= 1)).all() and all(r["predicted"] == (r["score"] >= 0.5) for r in out)
 
 
 def test_held_out_labels_teach_nothing(tables):
