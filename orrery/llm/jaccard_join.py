@@ -1,18 +1,18 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document's tokens are its distinct word shingles, named by 64-bit hashes. All documents order their tokens alike: rare ones first, those
-of frequent classes last, by hash within each. Two sets that reach the threshold share a token among the first n - o + 1 of each (o: the least
+A document's tokens are its distinct word shingles, named by 64-bit hashes. All documents order their tokens alike: by how often they
+occur, then by hash. Two sets that reach the threshold share a token among the first n - o + 1 of each (o: the least
 overlap that a set of n can link with), and k tokens among the first n - o + k. So rare tokens of the first prefix are indexed singly; if
 the first common token is frequent, then all are, and the k-combinations of frequent tokens in the extended prefix find the pair. Only
 sets whose extended prefix is short have combinations; longer sets index frequent tokens singly too, and sets near that bound both ways.
 
-Which class a token is in comes from counts over all documents, in a sketch of a fixed size: a token is frequent if its slot counts far
-more than the mean. A slot shared by chance changes the order alone, never the result.
+How often tokens occur, and which classes are frequent, comes from counts over all documents, in a sketch of a fixed size: a token has its slot's
+count, and is frequent if that is far above the mean. A slot shared by chance changes the order alone, never the result.
 
-Equal sets become one first. Then each key's documents are sorted by the token's place in them. Rounds compare the first document of
-each key with the others of its key, then the second and so on, and link what verifies; documents that are in one component already aren't
-compared again, so that a key of m near copies costs about m comparisons and not m * m. When few enough pairs in unlike components are left, all of them
-are compared. No pair that reaches the threshold is left out: its two documents end in one component, or are compared.
+Equal sets become one first. Then each key's documents are sorted by the token's place in them, and the first one leads. A round compares each document with
+one leader of its keys, of another component, and links what verifies; so a group of m near copies costs about m comparisons and not m * m. When few enough pairs
+in unlike components are left, or after ROUNDS rounds, all of them are compared. No pair that reaches the threshold is left out: its two documents end in
+one component, or are compared.
 
 Parity sketches of the sets rule out most pairs that are far apart. Verification intersects the whole sets, for documents that occur in what is left. Links join to components by contraction.
 
@@ -35,14 +35,14 @@ from orrery.llm.components import components
 from orrery.llm.packed_sums import total
 
 WORDS, PERCENT = 3, 90
-#: Tokens in a combination, and the longest extended prefix that is combined: 16 tokens have 120 pairs.
-COMBINED, COMBINED_PREFIX = 2, 16
+#: Tokens in a combination, and the longest extended prefix that is combined: 12 tokens have 66 pairs.
+COMBINED, COMBINED_PREFIX = 2, 12
 #: Slots of the sketch of counts (8 MB) and of the filter of documents that occur in pairs (1 MB), whatever the input's size.
 COUNT_BITS, FILTER_BITS = 20, 23
 #: Bits of a set's parity sketch.
 PARITY_BITS = 1024
-#: Rounds that compare one document of a key with the rest, before all that is left is compared; fewer where that is little.
-ROUNDS = 6
+#: Rounds that compare each document with one leader, before all that is left is compared; fewer where that is little.
+ROUNDS = 4
 #: Pairs for each document that are compared at once when so many or fewer are left, before the bounds on sizes and places thin them out.
 ENOUGH = 100
 SHINGLE = np.uint64(0x9FB21C651E98DF25)
@@ -77,8 +77,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def frequent_slots(docs: DataFrame, words: int) -> np.ndarray:
-    """For each slot of the sketch, whether its tokens count as frequent: far above the mean of all slots, over all documents."""
+def slot_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How often tokens of each slot of the sketch occur, over all documents; at most 2 ** 16 - 1 is kept."""
     size = 1 << COUNT_BITS
 
     def add(counts: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -87,13 +87,20 @@ def frequent_slots(docs: DataFrame, words: int) -> np.ndarray:
             counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=size)
 
     counts = total(docs.select("text"), size, add)
-    mean = counts.mean()
-    return counts > mean + 4 * np.sqrt(mean) + 8
+    # Counts are scaled so that the mean keeps eight bits or fewer: the order of slots is what matters.
+    return np.minimum(counts // max(1, int(counts.mean()) >> 8), 65535).astype(np.uint16)
+
+
+def often(counts: np.ndarray) -> int:
+    """The count from which a slot's tokens are in the frequent class: far above the mean of all slots."""
+    mean = float(counts.mean())
+    return int(mean + 4 * np.sqrt(mean) + 8)
 
 
 def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row for each document: doc_id, n, s1, s2 (a hash of the set), keys, places (of each key's first token in the document's order), parity."""
-    frequent = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_slots(docs, words)))
+    """A row for each document: doc_id, n, s1, s2 (a hash of the set), keys, places (of the first token of each combination, which are the last keys; before them, a key's place is its index), parity."""
+    counts = slot_counts(docs, words)
+    shared, least_often = docs.sparkSession.sparkContext.broadcast(counts), often(counts)
     k = COMBINED
 
     def bounds(n: int) -> tuple[bool, bool]:
@@ -102,10 +109,11 @@ def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
         return longest(n * percent // 100) <= COMBINED_PREFIX, longest(-(-n * 100 // percent)) > COMBINED_PREFIX
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(frequent.value).astype(bool)
+        count_of = shared.value
         for b in small_batches(batches):
             tokens, starts = token_sets(utf8(b.column("text")), words)
-            is_frequent = often[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+            count = count_of[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+            ranked = (count.astype(np.uint64) << np.uint64(48)) | (mixed(tokens) >> np.uint64(16))
             names, more = mixed(tokens + np.uint64(1)), mixed(tokens ^ SHINGLE)
             slot = np.repeat(np.arange(b.num_rows), np.diff(starts)) * PARITY_BITS + (names & np.uint64(PARITY_BITS - 1)).astype(np.int64)
             odd = np.bincount(slot, minlength=b.num_rows * PARITY_BITS).reshape(b.num_rows, -1).astype(np.uint8) & 1
@@ -118,24 +126,23 @@ def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 s1.append(int(names[lo:hi].sum(dtype=np.uint64)) - (1 << 63))
                 s2.append(int(more[lo:hi].sum(dtype=np.uint64)) - (1 << 63))
                 prefix = n - least_overlap(n, percent) + 1
-                t, f = tokens[lo:hi], is_frequent[lo:hi]
-                rare, common = t[~f][:prefix], t[f]
-                own, place = [rare], [np.arange(len(rare))]
+                first = np.argsort(ranked[lo:hi], kind="stable")[: prefix + k]
+                t, is_rare = tokens[lo:hi][first], count[lo:hi][first] < least_often
+                rare, common = t[is_rare][:prefix], t[~is_rare]
+                own, place = [rare], []
                 room = prefix - len(rare)
                 if n and room > 0:
                     combined, single = bounds(n)
                     if single:
                         own.append(common[:room])
-                        place.append(np.arange(len(rare), len(rare) + len(own[-1])))
                     if combined:
                         c = common[: room + k - 1]
                         i, j = np.triu_indices(len(c), 1)
                         own.append(mixed(c[i] * SHINGLE + c[j]))
                         place.append(len(rare) + i)
                 keys.append(np.concatenate(own).view(np.int64))
-                places.append(np.concatenate(place).astype(np.int32))
-            offsets = np.r_[0, np.cumsum([len(x) for x in keys])].astype(np.int32)
-            of = lambda parts, kind: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))  # noqa: B023, E731
+                places.append(place[0].astype(np.int32) if place else np.zeros(0, np.int32))
+            of = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)), pa.array(np.concatenate(parts) if parts else [], kind))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), of(keys, pa.int64()), of(places, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * parity.shape[1]), pa.array(parity.ravel()))], names=["doc_id", "n", "s1", "s2", "keys", "places", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, keys array<long>, places array<int>, parity array<long>")
@@ -212,44 +219,43 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     repeats = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a < z").select("doc_id", "a").join(members, "doc_id").where("a <> first").select("a", F.col("first").alias("b"))
 
     # A key's documents, by the place of its token; keys of one document end here.
-    at = F.explode(F.arrays_zip("keys", "places")).alias("at")
-    index = firsts.select(F.col("doc_id").alias("doc"), "n", at).select("doc", "n", F.col("at.keys").alias("key"), F.col("at.places").alias("place"))
+    first_combined = F.size("keys") - F.size("places")
+    index = firsts.select(F.col("doc_id").alias("doc"), "n", "places", first_combined.alias("singles"), F.posexplode("keys").alias("at", "key"))
+    index = index.select("doc", "n", "key", F.when(F.col("at") < F.col("singles"), F.col("at")).otherwise(F.get("places", F.col("at") - F.col("singles"))).alias("place"))
     by_key = Window.partitionBy("key").orderBy("place", "doc")
     index = index.select("*", F.row_number().over(by_key).alias("rank"), F.lead("doc").over(by_key).isNull().alias("last"))
     shared = cut(index.where("NOT (last AND rank = 1)").drop("last"))
 
     sketches = firsts.select("doc_id", "n", "parity")
     count = members.count()
-    links = repeats
-    roots = None
-    tested = 0
-    while True:
-        if roots is None:
-            active = shared.withColumn("root", F.col("doc"))
+    side = lambda df, name, *more: df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", "place", "root")), *more)
+    pair = (F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
+    links, tested, roots = repeats, None, components(repeats)
+    in_key = Window.partitionBy("key")
+    for turn in range(1, ROUNDS + 2):
+        # Keys whose documents are in one component are done.
+        active = shared.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        active = cut(active.select("*", (F.min("root").over(in_key) != F.max("root").over(in_key)).alias("unlike")).where("unlike").drop("unlike"))
+        # Each pair that is left has an end outside the component that most of its key's documents are in.
+        of_key = active.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most"))
+        number = of_key.agg(F.sum((F.col("m") - F.col("most.m")) * F.col("m"))).first()[0] or 0
+        if number == 0:
+            break
+        last = turn > ROUNDS or (turn > 1 and number <= ENOUGH * count + 1_000_000)
+        if last:
+            away = active.join(of_key.select("key", F.col("most.root").alias("most")), "key").where("root <> most")
+            near = side(away, "a", "most").join(side(active, "b"), "key").where((F.col("b_root") == F.col("most")) | (F.col("a_doc") < F.col("b_doc")))
         else:
-            active = shared.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-            in_key = Window.partitionBy("key")
-            active = cut(active.select("*", (F.min("root").over(in_key) != F.max("root").over(in_key)).alias("unlike")).where("unlike").drop("unlike"))
-        tested += 1
-        lead = active.where(F.col("rank") == tested).select("key", *(F.col(c).alias(f"a_{c}") for c in ("doc", "n", "place", "root")))
-        rest = active.where(F.col("rank") > tested).select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc", "n", "place", "root")))
-        pairs = rest.join(lead, "key")
-        if roots is not None:
-            # All pairs of a key that are not tested yet have an end outside the root of most; their number decides if this is the last round.
-            left = active.where(F.col("rank") >= tested)
-            of_key = left.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most")).select("key", F.col("m"), "most")
-            number = of_key.agg(F.sum((F.col("m") - F.col("most.m")) * F.col("m"))).first()[0] or 0
-            if number == 0:
-                break
-            last = tested > ROUNDS or number <= ENOUGH * count + 1_000_000
-            if last:
-                away = left.join(of_key.select("key", F.col("most.root").alias("most")), "key").where("root <> most")
-                a = away.select("key", *(F.col(c).alias(f"a_{c}") for c in ("doc", "n", "place", "root")), F.col("most"))
-                b = left.select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc", "n", "place", "root")))
-                pairs = a.join(b, "key").where((F.col("b_root") == F.col("most")) | (F.col("a_doc") < F.col("b_doc")))
+            near = side(active.where("rank = 1"), "a").join(side(active.where("rank > 1"), "b"), "key")
+        near = near.where(F.col("a_root") != F.col("b_root")).where(may_link(percent))
+        if tested is not None:
+            near = near.select(*pair, "b_doc", "a_doc").join(tested, ["a", "b"], "left_anti") if not last else near.select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
         else:
-            last = False
-        pairs = pairs.where(F.col("a_root") != F.col("b_root")).where(may_link(percent)).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).where("a <> b").distinct()
+            near = near.select(*pair, "b_doc", "a_doc")
+        if not last:  # one leader for each document, from either end in turn
+            near = near.groupBy("b_doc").agg((F.min if turn % 2 else F.max)("a_doc").alias("a_doc")).select(*pair)
+        pairs = cut_plain(near.distinct())
+        tested = pairs if tested is None else cut_plain(tested.union(pairs))
         new = cut_plain(verified(cut_plain(not_far(pairs, sketches, percent)), docs, words, percent))
         links = cut_plain(links.union(new))
         roots = components(links)

@@ -47,11 +47,12 @@ def near_copies(rng, base, n, most):
 
 
 @pytest.mark.parametrize(("k", "percent", "size"), [(3, 90, 60), (3, 90, 400), (5, 80, 40), (5, 80, 150)])
-def test_near_copies(spark, k, percent, size):
+def test_near_copies(spark, monkeypatch, k, percent, size):
     rng = random.Random(size)
     out = []
     for _ in range(4):
         out += near_copies(rng, " ".join(f"w{rng.randrange(3000)}" for _ in range(size)), 25, 8)
+    monkeypatch.setattr(J, "ENOUGH", rng.choice((0, 100)))
     common = " ".join(f"c{i}" for i in range(size // 2))
     out += [f"{common} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(size // 3))}" for _ in range(25)]
     rng.shuffle(out)
@@ -68,11 +69,9 @@ def test_edges(spark):
 
 def test_frequent_tokens_are_combined(spark, monkeypatch):
     """With every token frequent, short sets are found by combinations alone."""
-    import numpy as np
-
     rng = random.Random(1)
     out = [t for _ in range(6) for t in near_copies(rng, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice((20, 60, 110, 140, 160, 200)))), 12, 4)]
-    monkeypatch.setattr(J, "frequent_slots", lambda docs, words: np.ones(1 << J.COUNT_BITS, bool))
+    monkeypatch.setattr(J, "often", lambda counts: 0)
     check(spark, list(enumerate(out)))
 
 
@@ -81,7 +80,9 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] or 0 for r in J.one_of_each(docs, 3, 90).collect()) == [0, 1, 2]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10, 20_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("orrery.llm.components.FEW", few)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (200, 201), (201, 200)]
     got = {}
     for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
