@@ -126,3 +126,14 @@ def test_memory_scores(spark):
     assert got == {"hi": 0.45, "lo": 0.05}  # recency 0.5; frequency 1 and 0.5
     assert {r["id"]: r["score"] for r in vector.recall(m, q, 1100, boost="recency").collect()}["hi"] == 0.225
     assert {r["agent"]: (r["pruned"], r["lowest_id"]) for r in vector.decay(m, 1100, 0.1).collect()} == {"x": (1, "lo"), "y": (0, "other")}
+
+
+def test_embedding(spark):
+    from orrery.sources.embedding import embed
+
+    texts = spark.createDataFrame([("a", "Red cars, fast"), ("b", "fast red cars"), ("c", "slow boats"), ("d", None)], "key string, text string")
+    vectors = embed(texts)
+    query = embed(spark.createDataFrame([("q", "red cars fast!")], "query string, text string"))
+    got = [(r["key"], r["score"]) for r in vector.search(vectors, query, 2).orderBy("rank").collect()]
+    assert got == [("a", 1.0), ("b", 1.0)]
+    assert embed(texts, embedder=lambda xs: [[float(len(x))] for x in xs]).where("key = 'd'").first()["vec"] == [0.0]
