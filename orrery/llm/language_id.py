@@ -88,7 +88,7 @@ def likelihoods(docs: DataFrame, logs: np.ndarray) -> DataFrame:
         for b in small_batches(batches):
             bucket, doc = trigrams(utf8(b.column("text")))
             n = np.bincount(doc, minlength=b.num_rows)
-            sums = np.stack([np.bincount(doc, row[bucket], minlength=b.num_rows) for row in table], 1)
+            sums = np.stack([np.bincount(doc, row[bucket], minlength=b.num_rows) for row in table], 1).astype(float)  # bincount of nothing gives integers
             sums *= (np.minimum(n, TEMPER) / np.maximum(n, 1))[:, None]
             width = len(table)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, width, dtype=np.int32)), pa.array(sums.ravel()))
