@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import need, spread
+from orrery.llm.common import give_back, need, small_batches, spread
 
 NEVER = 1 << 60
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES, TABLE_ENTRIES = 300_000, 250_000
 
 
 def byte_letters() -> list[str]:
@@ -95,7 +95,7 @@ class MergeAutomaton:
             return True
         known = self.table.get((state, token))
         if known is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) > TABLE_ENTRIES:
                 self.table.clear()
             known = self.table[state, token] = self._reads(state, token)
         return known
@@ -163,6 +163,12 @@ class WordBpe:
         self._description = description
         self._seen: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Empty the caches: a worker that lives on does other work, too."""
+        self._seen = {}
+        self._assigned = set()
+        self.automaton.table = {}
+
     def _has_unassigned(self, text: str) -> bool:
         """Whether a text has characters that were not assigned when this Python's tables were made."""
         new = set(text) - self._assigned
@@ -234,14 +240,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(description.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                tokens = [tokenizer.encode(t.as_py() or "") for t in batch.column(text)]
-                columns = [*batch.columns, pa.array(tokens, pa.list_(pa.int32()))]
-                if decoded:
-                    columns.append(pa.array([tokenizer.decode(x) for x in tokens], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
+        for batch in small_batches(batches):
+            tokens = [tokenizer.encode(t.as_py() or "") for t in batch.column(text)]
+            columns = [*batch.columns, pa.array(tokens, pa.list_(pa.int32()))]
+            if decoded:
+                columns.append(pa.array([tokenizer.decode(x) for x in tokens], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
+        tokenizer.forget()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

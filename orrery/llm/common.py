@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 
@@ -45,8 +46,18 @@ def cut_plain(df: DataFrame) -> DataFrame:
     return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), df.sparkSession)
 
 
+#: Rows in the Arrow batches that Spark sends to Python: whole texts are long, and each task holds a batch or two.
+ARROW_ROWS = 1000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least two tasks a core: a table of few files or row groups would keep most cores idle. Rows move only when the scan is that narrow."""
+    """df over at least two tasks a core: a table of few files or row groups would keep most cores idle. Rows move only when the scan is that narrow; frames
+    that are dealt by a shuffle already stay as they are, as asking for their partitions would run it. The session's Arrow batches get ARROW_ROWS rows at most."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, ARROW_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want // 2 else df.repartition(want)
 
@@ -116,8 +127,16 @@ def named_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return names[at], starts
 
 
-def small_batches(batches, rows: int = 512):
-    """Arrow batches cut to a few hundred rows, so that a task's memory stays small."""
+def small_batches(batches, rows: int = 256):
+    """Arrow batches cut to a few hundred rows, so that a task's memory stays small. At the end, free memory goes back to the system: workers live on for other tasks."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

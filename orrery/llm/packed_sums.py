@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from orrery.llm.common import give_back
+
 SEGMENTS = 32
 
 
@@ -24,6 +26,7 @@ def total(rows: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch]
         sums = np.zeros(padded, np.int64)
         for b in batches:
             add(sums, b)
+        give_back()
         if sums.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([p.tobytes() for p in sums.reshape(SEGMENTS, -1)], pa.binary())], names=["segment", "sums"])
 
