@@ -9,14 +9,17 @@ The posterior of a language is the product of four sources, normalised:
   towards the whole corpus's. A document's own text is taken out of its host's sums first.
 
 One more class, "und", spreads evenly over all trigrams. A document is rejected if it has no letters, if "und" wins, or if the best language's
-posterior is under MIN_POSTERIOR.
+posterior is under MIN_POSTERIOR; but one with letters whose declared language has no model keeps what it declares, as nothing speaks against it.
 
-Texts are read twice: for the counts, whose size is fixed by the languages, and for the likelihoods, of which a short row for each
+A declared value has a model if its texts hold MIN_TRIGRAMS trigrams, however large the rest of the corpus is, or if it has MIN_SHARE of the rows (in
+tables with little text).
+
+Texts are read for their sizes, for the counts (once for each GROUP of languages, which bounds a task's counts; a model is 256 KB) and for the likelihoods, of which a short row for each
 document is kept. Priors join by host and declared value: they are broadcast when a count shows up to MAX_BROADCAST groups, else joined by
 shuffle. All sums have partial sums on the map side, so a host with a third of all documents is no hot spot.
 
 Defined cases: a null or empty text, or one without letters, is rejected as "und"; a null declared value or address is a group of its own and
-is evidence like any other value; without a declaration in the whole table there is no model, and all rows are "und"; rows that repeat give a row
+is evidence like any other value; without a declaration in the whole table there is no model, and all rows are "und"; an empty declared value declares nothing; rows that repeat give a row
 each; other columns pass through, and a clashing output name raises an error; an empty table gives an empty result.
 """
 
@@ -33,8 +36,10 @@ from pyspark.sql import types as T
 from orrery.llm.common import cut, need, small_batches, spread, utf8, without
 from orrery.llm.packed_sums import total
 
-#: Buckets of trigrams; the least share of rows that makes a declared value a language; trigrams that a text's evidence counts as, at most.
-BUCKETS, MIN_SHARE, TEMPER = 1 << 16, 0.002, 60.0
+#: Buckets of trigrams; trigrams, or else the share of rows, that make a declared value a language; trigrams that a text's evidence counts as, at most.
+BUCKETS, MIN_TRIGRAMS, MIN_SHARE, TEMPER = 1 << 16, 1000, 0.002, 60.0
+#: Languages whose trigrams are counted at once.
+GROUP = 64
 #: Weight of the parent in the smoothing of priors, in documents; prior of "und"; least posterior of a document that stays.
 SMOOTH, UND_PRIOR, MIN_POSTERIOR = 20.0, 1e-3, 0.5
 MAX_BROADCAST = 100_000
@@ -54,28 +59,36 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((three * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), np.searchsorted(ends, middle, "right")
 
 
-def languages(docs: DataFrame, declared: str) -> list[str]:
-    """Declared values with at least MIN_SHARE of the rows that declare any: 1 / MIN_SHARE of them at most."""
-    counts = docs.where(F.col(declared).isNotNull()).groupBy(declared).count()
-    least = F.lit(MIN_SHARE) * (counts.agg(F.sum("count")).first()[0] or 0)
-    return [r[0] for r in counts.where(F.col("count") >= least).orderBy(declared).collect() if r[0]]
+def languages(docs: DataFrame, declared: str) -> dict[str, bool]:
+    """Declared values whose texts may hold MIN_TRIGRAMS trigrams, or with at least MIN_SHARE of the rows that declare any, and whether they have that share."""
+    counts = docs.where(F.col(declared).isNotNull()).groupBy(declared).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    least = F.lit(MIN_SHARE) * (counts.agg(F.sum("n")).first()[0] or 0)
+    found = counts.select(declared, (F.col("n") >= least).alias("share"), "bytes").where(F.col("share") | (F.col("bytes") >= MIN_TRIGRAMS))
+    return {r[0]: r["share"] for r in found.orderBy(declared).collect() if r[0]}
 
 
-def models(docs: DataFrame, declared: str, names: list[str]) -> np.ndarray:
-    """For each language, and at last for "und", the log probability of each bucket."""
-    place = {n: i for i, n in enumerate(names)}
+def trigram_counts(docs: DataFrame, declared: str, names: list[str]) -> np.ndarray:
+    """How often each bucket occurs in the texts that declare each language."""
+    out = np.zeros((len(names), BUCKETS), np.int64)
+    for first in range(0, len(names), GROUP):
+        place = {n: i for i, n in enumerate(names[first : first + GROUP])}
 
-    def add(sums: np.ndarray, batch: pa.RecordBatch) -> None:
-        for b in small_batches([batch]):
-            own = np.array([place.get(x, -1) for x in b.column(declared).to_pylist()], np.int64)
-            bucket, doc = trigrams(utf8(b.column("text")))
-            of = own[doc] if len(doc) else doc
-            sums += np.bincount((of * BUCKETS + bucket)[of >= 0], minlength=len(sums))[: len(sums)]
+        def add(sums: np.ndarray, batch: pa.RecordBatch, place: dict[str, int] = place) -> None:
+            for b in small_batches([batch]):
+                own = np.array([place.get(x, -1) for x in b.column(declared).to_pylist()], np.int64)
+                bucket, doc = trigrams(utf8(b.column("text")))
+                of = own[doc] if len(doc) else doc
+                sums += np.bincount((of * BUCKETS + bucket)[of >= 0], minlength=len(sums))[: len(sums)]
+
+        out[first : first + GROUP] = total(docs.select("text", declared), len(place) * BUCKETS, add).reshape(len(place), BUCKETS)
+    return out
 
-    size = len(names) * BUCKETS
-    counts = total(docs.select("text", declared), size, add).reshape(len(names), BUCKETS) + 0.5
+
+def models(counts: np.ndarray) -> np.ndarray:
+    """For each language, and at last for "und", the log probability of each bucket."""
+    smooth = counts + 0.5
     uniform = np.full((1, BUCKETS), -np.log(BUCKETS))
-    return np.vstack([np.log(counts / counts.sum(1, keepdims=True)), uniform]).astype(np.float32)
+    return np.vstack([np.log(smooth / smooth.sum(1, keepdims=True)), uniform]).astype(np.float32)
 
 
 def likelihoods(docs: DataFrame, logs: np.ndarray) -> DataFrame:
@@ -117,22 +130,28 @@ def identify(docs: DataFrame, declared: str | None = None, address: str | None =
     need(docs, "doc_id", "text", *(c for c in (declared, address) if c))
     as_is = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     work = spread(docs.select("doc_id", "text", F.xxhash64("text").alias("copy"), as_is(declared).alias("declared"), host_of(as_is(address)).alias("host")))
-    names = languages(work, "declared") if names is None else names
-    if not names:
-        return work.select("doc_id", "copy", F.lit(UND).alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"), F.lit(0).cast("long").alias("letters"))
+    share = languages(work, "declared") if names is None else dict.fromkeys(names, True)
+    counts = trigram_counts(work, "declared", list(share))
+    enough = [s or n >= MIN_TRIGRAMS for s, n in zip(share.values(), counts.sum(1).tolist(), strict=True)]
+    names, counts = [n for n, e in zip(share, enough, strict=True) if e], counts[np.array(enough, bool)]
+    # Languages that lack a model can't be told from "und", so a declaration of one stands.
+    unmodelled = (F.coalesce(F.col("declared"), F.lit("")) != "") & (~F.col("declared").isin(names) if names else F.lit(True))
     size = len(names)
-    scored = likelihoods(work, models(work, "declared", names)).withColumn("suffix", F.when(F.instr("host", ".") > 0, F.element_at(F.split("host", r"\."), -1)))
+    if not names:
+        stays = unmodelled & (F.col("letters") > 0)
+        return likelihoods(work, models(counts)).select("doc_id", "copy", F.when(stays, F.col("declared")).otherwise(UND).alias("language"), F.lit(0.0).alias("posterior"), (~stays).alias("rejected"), "letters")
+    scored = likelihoods(work, models(counts)).withColumn("suffix", F.when(F.instr("host", ".") > 0, F.element_at(F.split("host", r"\."), -1)))
     scored = cut(scored.withColumn("says", F.when(F.col("letters") > 0, F.slice(normal(F.col("loglik")), 1, size)).otherwise(F.array_repeat(F.lit(0.0), size))))
 
     def sums(*keys: str) -> DataFrame:
         return scored.groupBy(*keys).agg(F.array(*(F.sum(F.col("says")[i]) for i in range(size))).alias("sums"))
 
     flat = F.array_repeat(F.lit(1.0 / size), size)
-    share = lambda own, parent: F.zip_with(own, parent, lambda x, p: (x + SMOOTH * p) / (F.aggregate(own, F.lit(0.0), lambda a, y: a + y) + SMOOTH))
+    smoothed = lambda own, parent: F.zip_with(own, parent, lambda x, p: (x + SMOOTH * p) / (F.aggregate(own, F.lit(0.0), lambda a, y: a + y) + SMOOTH))
     whole = sums().select(F.transform("sums", lambda x: F.coalesce(x, F.lit(0.0))).alias("all_sums"))
     # One row of as many numbers as languages.
     everywhere = F.array(*(F.lit(float(x)) for x in (whole.first()["all_sums"] or [0.0] * size)))
-    suffixes = sums("suffix").select("suffix", share(F.col("sums"), share(everywhere, flat)).alias("suffix_prior"))
+    suffixes = sums("suffix").select("suffix", smoothed(F.col("sums"), smoothed(everywhere, flat)).alias("suffix_prior"))
     by_host = sums("host").withColumnRenamed("sums", "host_sums")
     by_value = sums("declared").withColumnRenamed("sums", "value_sums")
 
@@ -145,14 +164,15 @@ def identify(docs: DataFrame, declared: str | None = None, address: str | None =
     others = F.zip_with("host_sums", "says", lambda h, own: F.greatest(h - own, F.lit(0.0)))
     # How often a language declares this value: the value's sum for it, over the language's own sum, smoothed to one document in SMOOTH.
     declares = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.log((F.get("value_sums", i) + 1.0 / SMOOTH) / (F.get(everywhere, i) + 1.0)))
-    fused = fused.withColumn("prior", share(others, F.col("suffix_prior"))).withColumn("declares", declares)
+    fused = fused.withColumn("prior", smoothed(others, F.col("suffix_prior"))).withColumn("declares", declares)
     logs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.get("loglik", i) + F.log(F.get("prior", i) * (1 - UND_PRIOR)) + F.get("declares", i))
     nothing = F.get("loglik", F.lit(size)) + F.lit(float(np.log(UND_PRIOR))) + F.array_max("declares")
     fused = fused.withColumn("posteriors", normal(F.concat(logs, F.array(nothing))))
     top = F.array_max("posteriors")
     best = F.array_position("posteriors", top).cast("int")
-    rejected = (F.col("letters") == 0) | (best == size + 1) | (top < MIN_POSTERIOR)
-    language = F.when(rejected, UND).otherwise(F.element_at(F.array(*map(F.lit, names), F.lit(UND)), best))
+    unclear = (best == size + 1) | (top < MIN_POSTERIOR)
+    rejected = (F.col("letters") == 0) | (unclear & ~unmodelled)
+    language = F.when(rejected, UND).when(unclear, F.col("declared")).otherwise(F.element_at(F.array(*map(F.lit, names), F.lit(UND)), best))
     return fused.select("doc_id", "copy", language.alias("language"), top.alias("posterior"), rejected.alias("rejected"), "letters")
 
 

@@ -39,3 +39,22 @@ def test_edges(spark, monkeypatch, limit):
     assert L.known(docs).count() == len(rows) - 4
     assert L.query(docs.limit(0)).count() == 0
     assert L.query(docs.withColumn("lang", F.lit(None).cast("string"))).where("NOT rejected").count() == 0
+
+
+def test_rare_languages_stay(spark):
+    en, el, ca = "the cat and the dog were there with other things ", "η γάτα και ο σκύλος ήταν εκεί μαζί με άλλα πράγματα ", "el gat i el gos eren allà amb altres coses "
+    rows = [(i, en * 40, "en", "h") for i in range(3000)] + [(5000 + i, el * 20, "el", "h") for i in range(3)]  # 0.1 percent, with text enough
+    rows += [(6000, ca, "ca", "h"), (6001, "много слов на языке без модели здесь", "ru", "h"), (6002, "много слов", "", "h"), (6003, "много слов", None, "h"), (6004, "12", "ru", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: (r["language"], r["rejected"]) for r in L.query(docs).collect()}
+    assert len(out) == len(rows) and {out[5000 + i] for i in range(3)} == {("el", False)} and {out[i] for i in range(3000)} == {("en", False)}
+    assert out[6001] == ("ru", False) and not out[6000][1] and all(out[i] == ("und", True) for i in (6002, 6003, 6004))
+
+
+def test_many_small_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "GROUP", 2)
+    words = {f"x{k}": " ".join(chr(0x400 + 20 * k + j) * 3 for j in range(9)) + " " for k in range(7)}
+    docs = spark.createDataFrame([(10 * k + i, w * 9, n, "h") for k, (n, w) in enumerate(words.items()) for i in range(4)], "doc_id long, text string, lang string, source string")
+    assert all(r["language"] == f"x{r['doc_id'] // 10}" and not r["rejected"] for r in L.query(docs).collect())
+    alone = spark.createDataFrame([(i, "kurz", f"v{i}", "h") for i in range(1000)] + [(5000, "1", "w", "h")], "doc_id long, text string, lang string, source string")
+    assert L.known(alone).count() == 1000  # no value has text enough, or a share
