@@ -64,7 +64,8 @@ MARKUP_AWAY, MARKUP_HERE, MOST = 20.0, 8.0, 6.0
 TIE_NEXT, TIE_PARENT = 0.6, 0.8
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: An attribute: its whole name, and its value if it has one. Read one after the other, so that nothing inside a name or a value counts as an attribute.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg")}
 WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
 

@@ -52,3 +52,13 @@ def test_edges(spark):
     assert len(out) == len(rows) and all(n == len(t) for _, t, n in out) and {t for p, t, _ in out if p in (1, 2, 6, 7, None)} == {""}
     assert {p: t.count("\n\n") for p, t, _ in out}[4] == 2999
     assert M.query(pages.limit(0)).count() == 0
+
+
+def test_words_inside_other_attributes_hide_nothing():
+    for shown in ('style="overflow:hidden"', 'href="/hidden-valley"', 'data-hidden="false"', "title='hidden id=nav'", 'data-id="nav"', "data-x=a/hidden", 'alt="x" data-role=menu', 'aria-hidden="false"'):
+        assert M.markup_words(f" {shown}") == ((), False), shown
+    for gone in ("hidden", ' class="a b" HIDDEN', "hidden=''", 'aria-hidden="true"', "ARIA-HIDDEN = true", 'x="1"hidden', "hidden/", "x='1' hidden /"):
+        assert M.markup_words(f" {gone}")[1], gone
+    assert M.markup_words(" data-id=\"x\" id = 'mainNav' class=post-content") == (("mainnav", "main", "nav", "post", "content"), False)
+    page = '<article><div style="overflow:hidden"><p>The text, with a <a href="/hidden-valley">link</a> in it.</p></div><div hidden><p>Not this.</p></div></article>'
+    assert M.main_text(page, M.np.zeros(M.BUCKETS)) == "The text, with a link in it."
