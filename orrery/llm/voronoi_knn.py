@@ -70,6 +70,14 @@ def best(ids: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -found))[:k]
 
 
+def nearest(cell: np.ndarray, distance: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Positions of each cell's n nearest ids, of each id its nearest row."""
+    order = np.lexsort((distance, ids, cell))
+    own = order[np.r_[True, (np.diff(cell[order]) != 0) | (np.diff(ids[order]) != 0)]] if len(order) else order
+    own = own[np.lexsort((ids[own], distance[own], cell[own]))]
+    return own[np.arange(len(own)) - np.searchsorted(cell[own], cell[own]) < n]
+
+
 class Pivots:
     """The pivots, with what the summaries of their cells say."""
 
@@ -77,7 +85,7 @@ class Pivots:
         self.ids, self.vectors, self.exact = ids, vectors.astype(float), vectors
         self.norms = np.linalg.norm(self.vectors, axis=1)
         self.radius = np.zeros(len(ids))
-        self.near: list[list[float]] = [[] for _ in ids]
+        self.near: list[list[tuple[float, int]]] = [[] for _ in ids]
 
     def distances(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(float)
@@ -107,27 +115,38 @@ def search(data: DataFrame, id_: str = "vec_id", vec: str = "embedding", k: int
 
     placed = cut(spread(vectors).mapInArrow(to_cells, "id long, vec array<long>, cell int, distance double"))
 
-    # Summaries: one row for each cell, and its k + 1 members nearest to the pivot (one may be the query itself).
+    # Summaries: one row for each cell, and the k + 1 ids nearest to the pivot, each with its nearest row, so that k are left whichever id asks.
     for r in placed.groupBy("cell").agg(F.max("distance").alias("radius")).collect():
         cells.radius[r["cell"]] = r["radius"]
-    nearest = Window.partitionBy("cell").orderBy("distance", "id")
-    per_task = placed.select("cell", "distance", "id", F.spark_partition_id().alias("part"))
-    first = per_task.withColumn("n", F.row_number().over(Window.partitionBy("cell", "part").orderBy("distance", "id"))).where(F.col("n") <= k + 1)
-    for r in first.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).orderBy("cell", "n").collect():
-        cells.near[r["cell"]].append(r["distance"])
+    def to_nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, distance, ids = np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64)
+        for b in small_batches(batches, 4096):
+            cell, distance, ids = (np.r_[x, b.column(n).to_numpy()] for x, n in ((cell, "cell"), (distance, "distance"), (ids, "id")))
+            kept = nearest(cell, distance, ids, k + 1)
+            cell, distance, ids = cell[kept], distance[kept], ids[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(distance), pa.array(ids)], names=["cell", "distance", "id"])
+
+    per_task = placed.select("cell", "distance", "id").mapInArrow(to_nearest, "cell int, distance double, id long")
+    by_distance = Window.partitionBy("cell").orderBy("distance", "id")
+    members = per_task.groupBy("cell", "id").agg(F.min("distance").alias("distance")).withColumn("n", F.row_number().over(by_distance)).where(F.col("n") <= k + 1)
+    for r in members.orderBy("cell", "n").collect():
+        cells.near[r["cell"]].append((r["distance"], r["id"]))
     known = spark.sparkContext.broadcast(cells)
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = known.value
-        near = np.array([n + [np.inf] * (k + 1 - len(n)) for n in c.near])
+        near = np.array([x for n in c.near for x, _ in n])
+        near_ids = np.array([i for n in c.near for _, i in n], np.int64)
+        near_cell = np.repeat(np.arange(len(c.near)), [len(n) for n in c.near])
         for b in small_batches(batches, 1024):
             q = matrix(b.column("vec"), width)
             ids = b.column("id").to_numpy()
             norm = np.linalg.norm(q.astype(float), axis=1)
             with_pivots = scores(q, c.exact).astype(float)
-            listed = (with_pivots[:, :, None] - norm[:, None, None] * near[None]).reshape(len(q), -1)
+            listed = with_pivots[:, near_cell] - norm[:, None] * near[None]
+            listed[ids[:, None] == near_ids[None, :]] = -np.inf
             with_pivots[ids[:, None] == c.ids[None, :]] = -np.inf
-            listed = np.partition(listed, -(k + 1), 1)[:, -(k + 1)] if listed.shape[1] > k else np.full(len(q), -np.inf)
+            listed = np.partition(listed, -k, 1)[:, -k] if listed.shape[1] >= k else np.full(len(q), -np.inf)
             scored = np.partition(with_pivots, -k, 1)[:, -k] if len(c.ids) >= k else np.full(len(q), -np.inf)
             floor = np.maximum(listed, scored)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(norm), pa.array(np.where(np.isnan(floor), -np.inf, floor))], names=[*b.schema.names, "norm", "floor"])

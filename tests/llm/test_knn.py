@@ -38,3 +38,14 @@ def test_ties_one_common_vector_and_bad_rows(spark):
 def test_few_rows(spark):
     assert run(spark, []) == set() and run(spark, [(1, [1.0])]) == set() and run(spark, [(0, [1.0])]) == set()
     assert run(spark, [(0, [1.0]), (3, [-1.0])]) == {(0, 1, 3, -65536)}
+
+
+def test_queries_with_repeated_ids(spark):
+    rng = random.Random(5)
+    rows = [(50, [4.0, 0.1])] * 6 + [(i, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(1, 30)]  # a pivot each, so the query's own copies are its cell
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in V.search(data).collect()]
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    q = fine[0][1]
+    found = sorted((-sum(a * b for a, b in zip(q, x)), i) for i, x in fine if i != 50)[:5]
+    assert sorted(got) == [(50, r + 1, i, -s) for r, (s, i) in enumerate(found)]
