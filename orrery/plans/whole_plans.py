@@ -1,0 +1,139 @@
+"""Queries over whole tables, beside those of the same operators on a few ids, whose SQL stays as it is."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orrery.functions import normalize
+from orrery.operators import graph, kv, vector
+from orrery.plans.collection_plans import HASHES, hashes
+from orrery.plans.graph_plans import G
+from orrery.plans.kv_plans import STATE, state
+from orrery.plans.registry import ORACLES, register
+from orrery.plans.vector_plans import NOW, V
+from orrery.sources.adapters import edges, memories, nodes, table, vectors
+
+
+def without(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query on a few ids, with its filters replaced."""
+    sql = ORACLES[name]
+    for old, new in cuts:
+        if old not in sql:
+            raise ValueError(f"{name}: no {old!r} in its SQL")
+        sql = sql.replace(old, new)
+    return sql
+
+
+ENTRIES, PROBES = (" FROM embeddings WHERE vec_id < 400", " FROM embeddings"), ("WHERE vec_id >= 400 AND vec_id < 460", "WHERE vec_id % 50 = 0")
+AGENTS = (" FROM embeddings WHERE vec_id < 60", " FROM embeddings")
+
+
+@register(f"WITH {V} SELECT key, round(list_sum([x::DOUBLE for x in vec]) / sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in vec])), 6) AS total FROM v")
+def vector_get_whole(spark, d):
+    stored = vectors(spark, d).select("key", normalize(F.col("vec")).alias("vec"))
+    return stored.select("key", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def cache(spark, d):
+    number = F.col("vec_id").cast("string")
+    return table(spark, d, "embeddings").select(F.concat(F.lit("vec:"), number).alias("key"), F.concat(F.lit("answer "), number).alias("response"), (0.2 + (F.col("vec_id") % 4) / 10).alias("threshold"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("tag"), F.when(F.col("vec_id") % 7 == 0, 1000).cast("long").alias("expires_at_ms"), F.col("embedding").alias("vec"))
+
+
+def probes(spark, d):
+    return vectors(spark, d).where("id % 50 = 0").select(F.col("key").alias("query"), "vec")
+
+
+@register(without("cache_get", ENTRIES, PROBES))
+def cache_get_whole(spark, d):
+    return vector.cache_get(cache(spark, d), probes(spark, d), 2000, count=3)
+
+
+@register(without("cache_stats", ENTRIES, PROBES))
+def cache_stats_whole(spark, d):
+    return vector.cache_stats(cache(spark, d), probes(spark, d), 2000, count=3)
+
+
+@register(without("cache_invalidate", ENTRIES))
+def cache_invalidate_whole(spark, d):
+    return vector.cache_invalidate(cache(spark, d), tag="t3").select("key", "response")
+
+
+@register("SELECT 'vec:' || vec_id AS key, 'new' AS response FROM embeddings")
+def cache_set_whole(spark, d):
+    c = cache(spark, d)
+    writes = c.withColumn("response", F.lit("older")).withColumn("seq", F.lit(1)).unionByName(c.withColumn("response", F.lit("new")).withColumn("seq", F.lit(2)))
+    return vector.cache_set(c, writes).select("key", "response")
+
+
+def askers(spark, d):
+    agent = F.concat(F.lit("agent:"), F.col("vec_id").cast("string"))
+    return table(spark, d, "embeddings").select(agent.alias("query"), agent.alias("agent"), F.col("embedding").alias("vec"))
+
+
+@register(without("memory_recall", AGENTS))
+def memory_recall_whole(spark, d):
+    return vector.recall(memories(spark, d), askers(spark, d), NOW, 5, 0.05)
+
+
+@register(without("memory_recall_filtered", AGENTS))
+def memory_recall_filtered_whole(spark, d):
+    return vector.recall(memories(spark, d), askers(spark, d), NOW, 3, 0.0, "click", 1704500000, 1706000000, "recency")
+
+
+@register(without("memory_context", (" WHERE event_id < 20", "")))
+def memory_context_whole(spark, d):
+    from pyspark.sql import Window
+
+    m = memories(spark, d).drop("vec")
+    chain = m.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("agent").orderBy("event_id")).alias("dst")).where("dst IS NOT NULL")
+    return vector.context(m, chain.withColumn("type", F.lit("next")).withColumn("weight", F.lit(1.0)), m.select("agent", "id"), 2)
+
+
+@register(without("memory_store", (" WHERE event_id < 500", "")))
+def memory_store_whole(spark, d):
+    m = memories(spark, d).select("agent", "id", "type", "event_id")
+    return vector.memory_store(m.limit(0).select("agent", "id", "type"), m.select("agent", F.lit(None).cast("string").alias("id"), "type", F.col("event_id").alias("seq")))
+
+
+@register(f"""WITH RECURSIVE {G}, w AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+b(source, key, depth) AS (SELECT key, key, 0 FROM nodes WHERE type = 'region' UNION SELECT b.source, w.dst, b.depth + 1 FROM b JOIN w ON w.src = b.key WHERE b.depth < 6)
+SELECT source, key AS target, min(depth) AS hops FROM b JOIN nodes USING (key) GROUP BY ALL""")
+def graph_path_whole(spark, d):
+    n = nodes(spark, d)
+    pairs = n.select(F.col("key").alias("target")).join(F.broadcast(n.where("type = 'region'").select(F.col("key").alias("source"))))
+    return graph.shortest_paths(n, edges(spark, d), pairs, 6).select("source", "target", "hops")
+
+
+@register(without("graph_wpath", (" WHERE l_partkey < 40", "")))
+def graph_wpath_whole(spark, d):
+    parts = nodes(spark, d).where("type = 'part'").select(F.col("key").alias("target"))
+    pairs = parts.join(F.broadcast(spark.createDataFrame([("customer:1",), ("nation:2",)], "source string")))
+    found = graph.weighted_paths(nodes(spark, d), edges(spark, d).where("type <> 'has_supplier'"), pairs)
+    return found.select("source", "target", F.round("weight", 2).alias("weight"))
+
+
+@register(without("graph_upsert_node", (" WHERE p_partkey < 50", "")))
+def graph_upsert_node_whole(spark, d):
+    parts = table(spark, d, "part").withColumn("key", F.concat(F.lit("part:"), F.col("p_partkey").cast("string")))
+    old = parts.where("p_partkey % 2 = 0").select("key", F.lit("old").alias("type"), F.create_map(F.lit("brand"), "p_brand").alias("props"))
+    new = parts.select("key", F.when(F.col("p_partkey") % 2 == 0, "part").otherwise("item").alias("type"), F.create_map(F.lit("name"), "p_name").alias("props"))
+    return graph.upsert_nodes(old, new).select("key", "type", F.size("props").alias("n"))
+
+
+@register(without("graph_upsert_edge", (" WHERE l_orderkey < 100", "")))
+def graph_upsert_edge_whole(spark, d):
+    n, e = nodes(spark, d).where("type = 'part'").select("key", "type"), edges(spark, d).where("type = 'contains'")
+    all_nodes, all_edges = graph.upsert_edges(n, e.limit(0), e)
+    count = lambda df, what: df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "type", "n")
+    return count(all_nodes, "node").unionByName(count(all_edges, "edge"))
+
+
+@register(f"WITH {STATE} SELECT db, key, 'string' AS type FROM state UNION SELECT 0, 'nation:' || c_nationkey, 'set' FROM customer")
+def kv_type_whole(spark, d):
+    c = table(spark, d, "customer")
+    return kv.kind_of({"string": state(spark, d), "set": c.select(F.lit(0).alias("db"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"))})
+
+
+@register(f"WITH {HASHES} SELECT * FROM hashes")
+def hash_hgetall_whole(spark, d):
+    return hashes(spark, d)
