@@ -137,3 +137,8 @@ def kv_type_whole(spark, d):
 @register(f"WITH {HASHES} SELECT * FROM hashes")
 def hash_hgetall_whole(spark, d):
     return hashes(spark, d)
+
+
+@register(without("graph_cooccur", ("BETWEEN 2 AND 5)", "BETWEEN 2 AND 50)")))
+def graph_cooccur_whole(spark, d):
+    return graph.cooccur(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("key")))
