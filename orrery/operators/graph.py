@@ -174,16 +174,20 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_dep
     return found
 
 
-def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(source, target, weight, path): a directed path of least total weight for each pair; weights must not be negative. Rounds of relaxation, which
-    drop what can't beat the target's best so far."""
+    drop what can't beat the target's best so far, until nothing gets better; if max_rounds are given and don't suffice, that is an error."""
     walked = directed(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     if walked.where("weight < 0").limit(1).count():
         raise ValueError("weights must not be negative")
     asked = settled(pairs.select("source", "target").distinct().join(nodes.select(F.col("key").alias("source")), "source", "left_semi").join(nodes.select(F.col("key").alias("target")), "target", "left_semi"))
     best = settled(asked.select("source", F.col("source").alias("key"), F.lit(0.0).alias("weight"), F.array("source").alias("path")).distinct())
     frontier = best
-    for _ in range(max_rounds):
+    rounds = 0
+    while not frontier.isEmpty():
+        if rounds == max_rounds:
+            raise ValueError(f"paths aren't settled after {max_rounds} rounds")
+        rounds += 1
         # Beyond the farthest target known, nothing matters; sources with a target not reached yet have no bound.
         bound = asked.join(best.select("source", F.col("key").alias("target"), "weight"), ["source", "target"], "left").groupBy("source").agg(F.when(F.count("weight") == F.count("*"), F.max("weight")).alias("bound"))
         step = frontier.select("source", F.col("key").alias("src"), F.col("weight").alias("so_far"), "path").join(walked, "src").select("source", F.col("dst").alias("key"), (F.col("so_far") + F.col("weight")).alias("weight"), F.concat("path", F.array("dst")).alias("path"))
@@ -191,8 +195,6 @@ def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rou
         least = step.groupBy("source", "key").agg(F.min(F.struct("weight", "path")).alias("new")).select("source", "key", "new.*")
         old = best.select("source", "key", F.col("weight").alias("old"))
         frontier = settled(least.join(old, ["source", "key"], "left").where("old IS NULL OR weight < old").drop("old"))
-        if frontier.isEmpty():
-            break
         best = settled(best.join(frontier.select("source", "key"), ["source", "key"], "left_anti").unionByName(frontier))
     return asked.join(best.withColumnRenamed("key", "target"), ["source", "target"]).select("source", "target", "weight", "path")
 

@@ -127,3 +127,11 @@ def test_upsert_keeps_type_and_delete_cascades(spark):
     n, e = make(spark, *CHAIN)
     left, rest = graph.delete_nodes(n, e, seeds(spark, "b"))
     assert left.count() == 2 and rest.count() == 0
+
+
+def test_weighted_paths_end_only_when_settled(spark):
+    n, e = make(spark, [f"{x}:t" for x in "abcde"], [("a", "l", "b", 1), ("b", "l", "c", 1), ("c", "l", "d", 1), ("d", "l", "e", 1), ("a", "l", "e", 9)])
+    pairs = spark.createDataFrame([("a", "e")], "source string, target string")
+    assert [r["weight"] for r in graph.weighted_paths(n, e, pairs).collect()] == [4]
+    with pytest.raises(ValueError, match="rounds"):
+        graph.weighted_paths(n, e, pairs, max_rounds=2)
