@@ -9,7 +9,10 @@ log odds between toxic and other labelled documents, so that what was seen by ch
 document's strongest words, and its length, go to a logistic model. Weights and model learn from different labelled rows (by a hash of the id), at most MAX_LABELLED of
 them; rows that are held out (crc32(doc_id) mod 5 = 0) teach neither. Nothing but the text goes into a score.
 
-All documents are read for the letter model (a sum of a fixed size), and for the scores; labelled ones also for weights and model. Labels are broadcast, MAX_LABELLED rows at
+A run of single letters, and a token too long for a word, is split into words: letters by the same search with a gap between words, words by how often the corpus
+has them. No length is too long for that.
+
+All documents are read for the letter and word counts (a sum of a fixed size), and for the scores; labelled ones also for weights and model. Labels are broadcast, MAX_LABELLED rows at
 most. A document needs no other one, so texts are never shuffled.
 
 Defined cases: null and empty texts have no words and get the model's score for that; without labels of both kinds every score is 0; null labels teach nothing; a null doc_id isn't held out; repeated
@@ -39,12 +42,18 @@ IMITATED = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 #: Costs in nats: to drop a repeated letter, a sign between letters, and a sign that could be a letter; to read a sign as a letter.
 DROP_REPEAT, DROP_SIGN, DROP_LETTER, IMITATE = 0.3, 0.1, 3.0, 0.5
 OTHER, GAP = 26, 27
+#: Bytes of a token that is one word at most, and scores of tokens that are kept; longer tokens are split into words.
+LONGEST, CACHE_ENTRIES = 64, 300_000
+#: Words by hash: bits of it, factors, the longest word counted, and how often a word occurs that is known. Cost of an unknown word, and of each letter in it.
+WORD_BITS, LONGEST_WORD, OFTEN, UNKNOWN = 20, 24, 3, (12.0, 4.5)
+WORD_SHIFT, MASK, MIX = 64 - WORD_BITS, (1 << 64) - 1, 0x9E3779B97F4A7C15
+POWERS = [pow(0xD1342543DE82EF95, k, 1 << 64) for k in range(LONGEST_WORD)]
 #: The letter model's classes: a to z, any byte of a longer character, and everything else.
 CLASS = np.array([b - 97 if 97 <= b <= 122 else b - 65 if 65 <= b <= 90 else OTHER if b >= 128 else GAP for b in range(256)], np.int64)
-LONGEST, CACHE_ENTRIES = 64, 300_000
 
 disguised = re.compile(rb"[0-9@$!|+(*][a-z]|[a-z][0-9@$*|(]+$|([a-z])\1\1|^(?:[a-z0-9@$!|][.\-_*~'/]+){3,}[a-z0-9@$!|]$").search
 tripled = re.compile(rb"([a-z])\1\1").search
+thrice, twice = re.compile(rb"([a-z])\1{2,}").sub, re.compile(rb"([a-z])\1+").sub
 letters = re.compile(rb"[a-z\x80-\xff]+").findall
 edges = b"!?.,;:#%&\"'()[]{}<>~-_=*^`/\\"
 
@@ -53,7 +62,10 @@ class LetterModel:
     """Log probabilities of a letter after two others, smoothed by shorter contexts."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        three = counts.reshape(28, 28, 28).astype(float)
+        three = counts[: 28**3].reshape(28, 28, 28).astype(float)
+        frequent = np.flatnonzero(counts[28**3 :] >= OFTEN)
+        own = counts[28**3 :][frequent]
+        self.costs: dict[int, float] = dict(zip(frequent.tolist(), (-np.log(own / max(1, own.sum()))).tolist(), strict=True))
         one = (three.sum((0, 1)) + 1) / (three.sum() + 28)
         two = three.sum(0)
         two = (two + 5 * one[None, :]) / (two.sum(1, keepdims=True) + 5)
@@ -93,9 +105,61 @@ class LetterModel:
             states = new
         return min((cost - self.logs[a][b][GAP], word) for (a, b), (cost, word) in states.items())[1]
 
+    def split(self, token: bytes) -> list[bytes]:
+        """The likeliest words that a long disguised token, or a run of letters, stands for. Paths share what they have in common, so memory grows with the length alone."""
+        logs, states = self.logs, {(GAP, GAP): (0.0, None)}
+        start = logs[GAP][GAP]
+        for c in token:
+            reads = [(c, 0.0)] if 97 <= c <= 122 or c >= 128 else [(ord(x), IMITATE) for x in IMITATED.get(chr(c), "")]
+            drop = DROP_SIGN if not reads else DROP_LETTER if reads[0][1] else None
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in states.items():
+                end = cost - logs[a][b][GAP]
+                for x, more in reads:
+                    k = int(CLASS[x])
+                    price = cost + more - logs[a][b][k]
+                    if (b, k) not in new or price < new[b, k][0]:
+                        new[b, k] = (price, (path, x))
+                    if b != GAP:  # a new word begins here
+                        price = end + more - start[k]
+                        if (GAP, k) not in new or price < new[GAP, k][0]:
+                            new[GAP, k] = (price, ((path, 32), x))
+                if drop is not None and ((a, b) not in new or cost + drop < new[a, b][0]):
+                    new[a, b] = (cost + drop, path)
+            states = new
+        path = min(((cost - logs[a][b][GAP], path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])[1]
+        out = bytearray()
+        while path:
+            path, x = path
+            out.append(x)
+        return self._known_words(thrice(rb"\1\1", bytes(out[::-1]).replace(b" ", b"")))
+
+    def _known_words(self, run: bytes) -> list[bytes]:
+        """The cheapest words that make up some letters: frequent words of the corpus, as they stand or with repeated letters dropped, and unknown ones."""
+        least, back = [0.0] + [np.inf] * len(run), [(0, b"")] * (len(run) + 1)
+        for i in range(len(run)):
+            plain = bare = size = dropped = 0
+            for j in range(i, min(len(run), i + LONGEST_WORD)):
+                c = run[j] - 96 if run[j] < 128 else 27
+                plain = plain + c * POWERS[j - i] & MASK
+                if j > i and run[j] == run[j - 1]:
+                    dropped += 1
+                else:
+                    bare, size = bare + c * POWERS[size] & MASK, size + 1
+                cost = self.costs.get((plain * MIX & MASK) >> WORD_SHIFT, UNKNOWN[0] + UNKNOWN[1] * (j + 1 - i))
+                shorter = self.costs.get((bare * MIX & MASK) >> WORD_SHIFT, np.inf) + DROP_REPEAT * dropped if dropped else np.inf
+                if least[i] + min(cost, shorter) < least[j + 1]:
+                    word = run[i : j + 1]
+                    least[j + 1], back[j + 1] = least[i] + min(cost, shorter), (i, twice(rb"\1", word) if shorter < cost else word)
+        words, at = [], len(run)
+        while at:
+            at, word = back[at]
+            words.append(word)
+        return words[::-1]
+
 
 def letter_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all letter trigrams of all documents, words parted by two gaps before and one after."""
+    """Counts of all letter trigrams of all documents, words parted by two gaps before and one after, and at the end of words of letters by hash."""
 
     def add(sums: np.ndarray, batch: pa.RecordBatch) -> None:
         for b in small_batches([batch]):
@@ -103,18 +167,30 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
             before, middle, last = c[:-2], c[1:-1], c[2:]
             kept = (middle != GAP) | ((last != GAP) & (last != OTHER))
             code = np.where(middle == GAP, GAP, before) * 784 + middle * 28 + last  # a word's first letter follows two gaps
-            sums += np.bincount(code[kept], minlength=len(sums))
+            sums[: 28**3] += np.bincount(code[kept], minlength=28**3)
+            edge = np.flatnonzero(np.diff((c != GAP).astype(np.int8)))  # texts begin and end with gaps
+            first, after = edge[::2] + 1, edge[1::2] + 1
+            of = (after - first <= LONGEST_WORD) & (np.diff(np.r_[0, np.cumsum(c == OTHER)][np.stack([first, after])], axis=0)[0] == 0)
+            first, size = first[of], (after - first)[of]
+            if len(first):
+                begin = np.r_[0, np.cumsum(size)[:-1]]
+                place = np.arange(int(size.sum())) - np.repeat(begin, size)
+                h = np.add.reduceat((c[np.repeat(first, size) + place] + 1).astype(np.uint64) * np.array(POWERS, np.uint64)[place], begin)
+                which, n = np.unique((h * np.uint64(MIX)) >> np.uint64(WORD_SHIFT), return_counts=True)
+                sums[28**3 + which.astype(np.int64)] += n
 
-    return total(docs.select("text"), 28**3, add)
+    return total(docs.select("text"), 28**3 + (1 << WORD_BITS), add)
 
 
 def words_of_token(token: bytes, model: LetterModel) -> list[bytes]:
     """The restored words of one token, in small letters."""
     if token.isalpha():
-        return [model.restore(token)] if tripled(token) and len(token) <= LONGEST else [token]
+        if not tripled(token):
+            return [token]
+        return [model.restore(token)] if len(token) <= LONGEST else [token, *model.split(token)]
     core = token.strip(edges) or token
-    if len(core) <= LONGEST and not core.isdigit() and disguised(core):
-        return [model.restore(core)]
+    if not core.isdigit() and disguised(core):
+        return [model.restore(core)] if len(core) <= LONGEST else [*letters(core), *model.split(core)]
     return letters(core)
 
 
@@ -127,7 +203,8 @@ def buckets(word: bytes) -> list[int]:
 def tokens_of(texts: list[bytes], model: LetterModel) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """The distinct tokens of some texts; for each place the text and the token there; each text's number of tokens.
 
-    Letters that stand alone, four or more in a row, are a word in pieces: it is restored and added as a token of its text.
+    Letters that stand alone, four or more in a row, are a word or several in pieces: the whole run is restored, and its words are added as tokens of
+    its text; so is a run of up to LONGEST letters read as one word.
     """
     lists = [byte_words(t.translate(AZ) if t.isascii() else t.decode(errors="replace").lower().encode()) for t in texts]
     sizes = np.array([len(x) for x in lists], np.int64)
@@ -146,8 +223,9 @@ def tokens_of(texts: list[bytes], model: LetterModel) -> tuple[list[bytes], np.n
         known = list(index)
         extra = []
         for r in runs.tolist():
-            word = model.restore(b"".join(known[i] for i in at[new[r] : new[r] + min(LONGEST, size[r])].tolist()))
-            extra.append((int(doc[new[r]]), index.setdefault(word, len(index))))
+            run = b"".join(known[i] for i in at[new[r] : new[r] + size[r]].tolist())
+            words = {*model.split(run), *([model.restore(run)] if len(run) <= LONGEST else ())}
+            extra += [(int(doc[new[r]]), index.setdefault(w, len(index))) for w in sorted(words)]
         if extra:
             more = np.array(extra, np.int64)
             doc, at = np.r_[doc, more[:, 0]], np.r_[at, more[:, 1]]

@@ -52,3 +52,16 @@ def test_edges(spark):
         assert len(out) == 5 and all(r["score"] == 0 and r["predicted"] == 0 for r in out)
         assert {r["doc_id"]: r["held_out"] for r in out}[None] is False
     assert X.query(docs.limit(0), labels).count() == 0
+
+
+def test_runs_of_letters_are_split_into_words(model):
+    def said(text):
+        tokens, _, at, _ = X.tokens_of([text], model)
+        return {tokens[t] for t in at}
+
+    apart = lambda text: b" ".join(bytes([c]) for c in text.replace(b" ", b""))
+    assert b"loser" in said(b"a l o s e r") and {b"stupid", b"moron"} <= said(b"s t u p 1 d m 0 r 0 n")
+    long = b"they will all be still better and the quick clown was pathetic " * 3 + b"but the worthless idiot said a moron is trash"
+    assert set(long.split()) <= said(apart(long))  # all words of a spaced-out sentence of far more than 64 letters
+    assert {b"idiot", b"worthless"} <= set(X.words_of_token(b".".join(apart(long).split()), model)) and b"loser" in X.words_of_token(b"thequickclown" * 6 + b"l0ser", model)
+    assert len(said(apart(long * 300))) > 10
