@@ -1,16 +1,18 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's tokens are its distinct word shingles, named by 64-bit hashes. All documents order their tokens alike: by how often they
-occur, then by hash. Two sets that reach the threshold share a token among the first n - o + 1 of each (o: the least
-overlap that a set of n can link with), and k tokens among the first n - o + k. So rare tokens of the first prefix are indexed singly; if
-the first common token is frequent, then all are, and the k-combinations of frequent tokens in the extended prefix find the pair. Only
-sets whose extended prefix is short have combinations; longer sets index frequent tokens singly too, and sets near that bound both ways.
+occur, then by hash. Two sets that reach the threshold share a token among the first P = n - o + 1 of each (o: the least
+overlap that a set of n can link with), and t tokens among the first P + t - 1. Rare tokens among the first P are indexed singly. If
+the first common token is frequent, then all are; the frequent tokens of the prefix, extended to P + g, are dealt to g groups by hash, and g + 1
+common ones put two into one group: so pairs of frequent tokens of one group are indexed, some two or four for each token. The
+number of groups grows with P in powers of two; a set uses those of all sizes that its partners may have, and a pair of sets meets under that of the larger.
 
 How often tokens occur, and which classes are frequent, comes from counts over all documents, in a sketch of a fixed size: a token has its slot's
 count, and is frequent if that is far above the mean. A slot shared by chance changes the order alone, never the result.
 
-Equal sets become one first. Then each key's documents are sorted by the token's place in them, and the first one leads. A round compares each document with
-one leader of its keys, of another component, and links what verifies; so a group of m near copies costs about m comparisons and not m * m. When few enough pairs
+Equal sets become one first. A key's documents, sorted by size, fall apart where the next is too large to link with the one before; such chains replace the key, and documents
+alone in one leave. Where two are left, they are compared. In larger chains the document whose token comes first leads. A round compares each document with
+one leader of its chains, of another component, and links what verifies; so a group of m near copies costs about m comparisons and not m * m. When few enough pairs
 in unlike components are left, or after ROUNDS rounds, all of them are compared. No pair that reaches the threshold is left out: its two documents end in
 one component, or are compared.
 
@@ -30,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import AZ, cut, cut_plain, free_name, mixed, named_words, need, short, small_batches, spread, utf8
+from orrery.llm.common import AZ, MAX_BROADCAST_IDS, cut, cut_plain, free_name, mixed, named_words, need, short, small_batches, spread, utf8
 from orrery.llm.components import components
 from orrery.llm.packed_sums import total
 
 WORDS, PERCENT = 3, 90
-#: Tokens in a combination, and the longest extended prefix that is combined: 12 tokens have 66 pairs.
-COMBINED, COMBINED_PREFIX = 2, 12
+#: Tokens of a prefix for each group of frequent tokens, at least.
+IN_GROUP = 4
 #: Slots of the sketch of counts (8 MB) and of the filter of documents that occur in pairs (1 MB), whatever the input's size.
 COUNT_BITS, FILTER_BITS = 20, 23
 #: Bits of a set's parity sketch.
@@ -45,7 +47,7 @@ PARITY_BITS = 1024
 ROUNDS = 4
 #: Pairs for each document that are compared at once when so many or fewer are left, before the bounds on sizes and places thin them out.
 ENOUGH = 100
-SHINGLE = np.uint64(0x9FB21C651E98DF25)
+SHINGLE, MASK = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
 
 def token_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +99,51 @@ def often(counts: np.ndarray) -> int:
     return int(mean + 4 * np.sqrt(mean) + 8)
 
 
+def prefix(n: int, percent: int) -> int:
+    """How many of a set's first tokens hold one that it shares with any partner."""
+    return n - least_overlap(n, percent) + 1
+
+
+def groups(n: int, percent: int) -> int:
+    """Into how many groups the frequent tokens of a set of n fall: a power of two."""
+    return 1 << max(0, (prefix(n, percent) // IN_GROUP).bit_length() - 1)
+
+
+def combinations(tokens: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs of tokens in one of `number` groups, and each pair's first token's index; tokens are in the common order."""
+    group = (mixed(tokens ^ MASK) & np.uint64(number - 1)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    tokens, group = tokens[order], group[order]
+    salt = mixed(np.array([number], np.uint64))
+    keys, firsts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for apart in range(1, len(tokens)):
+        i = np.flatnonzero(group[:-apart] == group[apart:])
+        if not len(i):
+            break
+        keys.append(mixed((tokens[i] * SHINGLE + tokens[i + apart]) ^ salt))
+        firsts.append(order[i])
+    return np.concatenate(keys), np.concatenate(firsts)
+
+
+def signature(tokens: np.ndarray, rare: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set of n whose first tokens are given in the common order: rare ones of its prefix, then combinations, with the least place that the first common token of a pair of sets may have for each of these."""
+    first = prefix(n, percent) if n else 0
+    keys, places = [tokens[:first][rare[:first]]], [np.zeros(0, np.int64)]
+    if len(keys[0]) < first:
+        number, most = groups(n, percent), groups(n * 100 // percent, percent)
+        while number <= most:
+            at = np.flatnonzero(~rare[: first + number])
+            pairs, of = combinations(tokens[at], number)
+            keys.append(pairs)
+            places.append(np.maximum(at[of] - (number - 1), 0))
+            number *= 2
+    return np.concatenate(keys), np.concatenate(places)
+
+
 def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row for each document: doc_id, n, s1, s2 (a hash of the set), keys, places (of the first token of each combination, which are the last keys; before them, a key's place is its index), parity."""
+    """A row for each document: doc_id, n, s1, s2 (a hash of the set), keys, places (of the combinations, which are the last keys; before them, a key's place is its index), parity."""
     counts = slot_counts(docs, words)
     shared, least_often = docs.sparkSession.sparkContext.broadcast(counts), often(counts)
-    k = COMBINED
-
-    def bounds(n: int) -> tuple[bool, bool]:
-        """Whether a set of n tokens uses combinations, and whether it uses single frequent tokens: both if partners may do otherwise."""
-        longest = lambda m: m - least_overlap(m, percent) + k
-        return longest(n * percent // 100) <= COMBINED_PREFIX, longest(-(-n * 100 // percent)) > COMBINED_PREFIX
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count_of = shared.value
@@ -125,29 +162,33 @@ def keyed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 sizes.append(n)
                 s1.append(int(names[lo:hi].sum(dtype=np.uint64)) - (1 << 63))
                 s2.append(int(more[lo:hi].sum(dtype=np.uint64)) - (1 << 63))
-                prefix = n - least_overlap(n, percent) + 1
-                first = np.argsort(ranked[lo:hi], kind="stable")[: prefix + k]
-                t, is_rare = tokens[lo:hi][first], count[lo:hi][first] < least_often
-                rare, common = t[is_rare][:prefix], t[~is_rare]
-                own, place = [rare], []
-                room = prefix - len(rare)
-                if n and room > 0:
-                    combined, single = bounds(n)
-                    if single:
-                        own.append(common[:room])
-                    if combined:
-                        c = common[: room + k - 1]
-                        i, j = np.triu_indices(len(c), 1)
-                        own.append(mixed(c[i] * SHINGLE + c[j]))
-                        place.append(len(rare) + i)
-                keys.append(np.concatenate(own).view(np.int64))
-                places.append(place[0].astype(np.int32) if place else np.zeros(0, np.int32))
+                first = np.argsort(ranked[lo:hi], kind="stable")[: prefix(n, percent) + groups(n * 100 // percent, percent)]
+                own, place = signature(tokens[lo:hi][first], count[lo:hi][first] < least_often, n, percent)
+                keys.append(own.view(np.int64))
+                places.append(place.astype(np.int32))
             of = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32)), pa.array(np.concatenate(parts) if parts else [], kind))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), of(keys, pa.int64()), of(places, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * parity.shape[1]), pa.array(parity.ravel()))], names=["doc_id", "n", "s1", "s2", "keys", "places", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, keys array<long>, places array<int>, parity array<long>")
 
 
+def chains(index: DataFrame, percent: int) -> DataFrame:
+    """Of an index (key, doc, n, place) the chains of two documents or more: key, doc, n, place, m (documents of the chain), rank, and the leader's lead_doc, lead_n, lead_place.
+
+    One shuffle by key: sorted by size, a key falls apart where no document of one part can link with any of the other.
+    """
+    by_size = Window.partitionBy("key").orderBy("n", "doc")
+    sorted_ = index.select("*", F.lag("n").over(by_size).alias("smaller"), F.lead("n").over(by_size).alias("larger"))
+    begins = F.coalesce(100 * F.col("smaller") < percent * F.col("n"), F.lit(True))
+    ends = F.coalesce(100 * F.col("n") < percent * F.col("larger"), F.lit(True))
+    linked = sorted_.where(~(begins & ends)).select("key", "doc", "n", "place", F.sum(begins.cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).alias("chain"))
+    chain = Window.partitionBy("key", "chain")
+    by_place = chain.orderBy("place", "doc")
+    lead = F.first(F.struct("doc", "n", "place")).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
+    found = linked.select("*", F.count("*").over(chain).alias("m"), F.row_number().over(by_place).alias("rank"), lead.alias("lead"))
+    return found.select(F.xxhash64("key", "chain").alias("key"), "doc", "n", "place", "m", "rank", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("doc", "n", "place")))
+
+
 def _slot(column):
     return F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
 
@@ -180,7 +221,9 @@ def not_far(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     A sketch has for each slot whether an odd number of the set's tokens fall there, so the slots in which two sketches differ are at most the tokens that only one of
     the sets has. Too many of them prove that a pair can't reach the threshold; no pair that reaches it is dropped.
     """
-    side = lambda name: sketches.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_parity"))
+    asked = short(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    some = sketches.join(asked, "doc_id", "left_semi")
+    side = lambda name: some.select(F.col("doc_id").alias(name), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_parity"))
     apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     return both.where((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
@@ -196,10 +239,11 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b").distinct()
 
 
-def may_link(percent: int):
-    """Whether two documents (n and place of a, n and place of b) can reach the threshold if this key's token is their first common one."""
-    most = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
+def may_link(percent: int, a: str = "a", b: str = "b"):
+    """Whether two documents (n and place of each) can reach the threshold if this key is the first that they have in common."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    most = F.least(n - F.col(f"{a}place"), m - F.col(f"{b}place"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -211,56 +255,64 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows = cut(keyed(docs, words, percent))
     known = rows.where("doc_id IS NOT NULL")
 
-    # Equal sets become one: its least doc_id stands for the class.
+    # Equal sets become one: its least doc_id stands for the class. Rows with long arrays stay where they are, unless ids repeat.
     own = ["n", "s1", "s2"]
     classes = known.where("n > 0").groupBy(*own).agg(F.min("doc_id").alias("first"))
-    members = cut(known.select("doc_id", *own).join(classes, own, "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")))
-    firsts = known.where("n > 0").join(classes.withColumnRenamed("first", "doc_id"), ["doc_id", *own], "left_semi").dropDuplicates(["doc_id", *own])
-    repeats = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a < z").select("doc_id", "a").join(members, "doc_id").where("a <> first").select("a", F.col("first").alias("b"))
+    members = cut(known.select("doc_id", *own).join(classes, own, "left").select("doc_id", "n", "s1", F.coalesce("first", "doc_id").alias("first")))
+    gone = short(members.where("doc_id <> first").select("doc_id", "s1"))
+    firsts = known.where("n > 0").join(gone, ["doc_id", "s1"], "left_anti")
+    repeated = members.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("first").alias("a"), F.max("first").alias("z")).where("rows > 1")
+    repeated = cut(repeated)
+    repeats = repeated.where("a < z").select("doc_id", "a").join(members, "doc_id").where("a <> first").select("a", F.col("first").alias("b"))
+    if not repeated.isEmpty():
+        firsts = firsts.dropDuplicates(["doc_id", *own])
 
-    # A key's documents, by the place of its token; keys of one document end here.
     first_combined = F.size("keys") - F.size("places")
     index = firsts.select(F.col("doc_id").alias("doc"), "n", "places", first_combined.alias("singles"), F.posexplode("keys").alias("at", "key"))
     index = index.select("doc", "n", "key", F.when(F.col("at") < F.col("singles"), F.col("at")).otherwise(F.get("places", F.col("at") - F.col("singles"))).alias("place"))
-    by_key = Window.partitionBy("key").orderBy("place", "doc")
-    index = index.select("*", F.row_number().over(by_key).alias("rank"), F.lead("doc").over(by_key).isNull().alias("last"))
-    shared = cut(index.where("NOT (last AND rank = 1)").drop("last"))
+    found = cut(chains(index, percent).where((F.col("m") > 2) | ((F.col("rank") == 2) & may_link(percent, "lead_", ""))))
+
+    # The first round: two documents alone in a chain, and of larger chains one leader for each document.
+    led = found.where("rank > 1").where(may_link(percent, "lead_", "")).where("lead_doc <> doc")
+    of_many = led.where("m > 2").groupBy("doc").agg(F.min("lead_doc").alias("lead_doc")).select("doc", "lead_doc")
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = cut_plain(led.where("m = 2").select("doc", "lead_doc").union(of_many).select(*pair("doc", "lead_doc")).distinct())
 
     sketches = firsts.select("doc_id", "n", "parity")
+    new_links = lambda pairs: verified(cut_plain(not_far(pairs, sketches, percent)), docs, words, percent)
+    shared = found.where("m > 2").select("key", "doc", "n", "place", "rank")
+    tested, links = pairs, cut_plain(repeats.union(new_links(pairs)))
+    roots = components(links)
     count = members.count()
     side = lambda df, name, *more: df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", "place", "root")), *more)
-    pair = (F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
-    links, tested, roots = repeats, None, components(repeats)
     in_key = Window.partitionBy("key")
-    for turn in range(1, ROUNDS + 2):
-        # Keys whose documents are in one component are done.
-        active = shared.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    for turn in range(2, ROUNDS + 2):
+        # Chains whose documents are in one component are done.
+        known_roots = roots.select(F.col("node").alias("doc"), "root")
+        active = shared.join(F.broadcast(known_roots) if known_roots.count() <= MAX_BROADCAST_IDS else known_roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         active = cut(active.select("*", (F.min("root").over(in_key) != F.max("root").over(in_key)).alias("unlike")).where("unlike").drop("unlike"))
-        # Each pair that is left has an end outside the component that most of its key's documents are in.
+        # Each pair that is left has an end outside the component that most of its chain's documents are in.
         of_key = active.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most"))
         number = of_key.agg(F.sum((F.col("m") - F.col("most.m")) * F.col("m"))).first()[0] or 0
         if number == 0:
             break
-        last = turn > ROUNDS or (turn > 1 and number <= ENOUGH * count + 1_000_000)
+        last = turn > ROUNDS or number <= ENOUGH * count + 1_000_000
         if last:
             away = active.join(of_key.select("key", F.col("most.root").alias("most")), "key").where("root <> most")
             near = side(away, "a", "most").join(side(active, "b"), "key").where((F.col("b_root") == F.col("most")) | (F.col("a_doc") < F.col("b_doc")))
         else:
             near = side(active.where("rank = 1"), "a").join(side(active.where("rank > 1"), "b"), "key")
-        near = near.where(F.col("a_root") != F.col("b_root")).where(may_link(percent))
-        if tested is not None:
-            near = near.select(*pair, "b_doc", "a_doc").join(tested, ["a", "b"], "left_anti") if not last else near.select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
-        else:
-            near = near.select(*pair, "b_doc", "a_doc")
+        near = near.where(F.col("a_root") != F.col("b_root")).where(may_link(percent, "a_", "b_"))
+        near = near.select(*pair("a_doc", "b_doc"), "b_doc", "a_doc")
+        near = (near.select("a", "b").distinct() if last else near).join(tested, ["a", "b"], "left_anti")
         if not last:  # one leader for each document, from either end in turn
-            near = near.groupBy("b_doc").agg((F.min if turn % 2 else F.max)("a_doc").alias("a_doc")).select(*pair)
+            near = near.groupBy("b_doc").agg((F.min if turn % 2 else F.max)("a_doc").alias("a_doc")).select(*pair("a_doc", "b_doc"))
         pairs = cut_plain(near.distinct())
-        tested = pairs if tested is None else cut_plain(tested.union(pairs))
-        new = cut_plain(verified(cut_plain(not_far(pairs, sketches, percent)), docs, words, percent))
-        links = cut_plain(links.union(new))
+        links = cut_plain(links.union(new_links(pairs)))
         roots = components(links)
         if last:
             break
+        tested = cut_plain(tested.union(pairs))
     lowest = roots.groupBy("root").agg(F.min("node").alias("component")).join(roots, "root").select(F.col("node").alias("first"), "component")
     result = members.join(lowest, "first", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
     unknown = rows.where("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from orrery.llm import jaccard_join as J
@@ -68,13 +69,52 @@ def test_edges(spark):
 
 
 def test_frequent_tokens_are_combined(spark, monkeypatch):
-    """With every token frequent, short sets are found by combinations alone."""
+    """With every token frequent, sets are found by combinations alone, long ones and those between two sizes too."""
     rng = random.Random(1)
-    out = [t for _ in range(6) for t in near_copies(rng, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice((20, 60, 110, 140, 160, 200)))), 12, 4)]
+    out = [t for _ in range(6) for t in near_copies(rng, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice((20, 60, 110, 140, 160, 200, 700)))), 12, 4)]
     monkeypatch.setattr(J, "often", lambda counts: 0)
     check(spark, list(enumerate(out)))
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90, 99])
+@pytest.mark.parametrize("frequent_from", [0, 3, 8, 1000])
+def test_linked_sets_share_a_key(percent, frequent_from):
+    """Whatever the class of frequent tokens, two sets that link have a key in common, and its places don't rule the pair out."""
+    rng = np.random.default_rng(percent + frequent_from)
+    count = {}
+    sets = []
+    for size in (2, 3, 9, 14, 40, 70, 75, 81, 160, 330, 900):
+        base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+        for _ in range(10):
+            s = base.copy()
+            s[rng.random(size) < rng.choice((0.0, 0.02, 0.05, 0.2))] += np.uint64(rng.integers(1, 1000))
+            s = np.unique(np.concatenate([s, rng.integers(0, 1 << 62, rng.integers(0, 1 + size // 20), dtype=np.uint64)]))
+            sets.append(s)
+            for t in s.tolist():
+                count[t] = count.get(t, 0) + 1
+    keyed = []
+    for s in sets:
+        n, c = len(s), np.array([count[t] for t in s.tolist()])
+        order = np.lexsort((J.mixed(s), c))[: J.prefix(len(s), percent) + J.groups(len(s) * 100 // percent, percent)]
+        keys, places = J.signature(s[order], c[order] < frequent_from, n, percent)
+        keyed.append((set(s.tolist()), dict(zip(keys.tolist(), [*range(len(keys) - len(places)), *places.tolist()], strict=True))))
+        assert len(keys) <= 12 * J.prefix(n, percent) + 4
+    linked = 0
+    for i, (a, x) in enumerate(keyed):
+        for b, y in keyed[:i]:
+            if a != b and 100 * len(a & b) >= percent * len(a | b):
+                linked += 1
+                assert any((100 + percent) * min(len(a) - x[k], len(b) - y[k]) >= percent * (len(a) + len(b)) for k in x.keys() & y.keys())
+    assert linked >= 10
+
+
+def test_documents_have_combinations(spark, data):
+    """Of the table's documents some index combinations, long ones among them."""
+    rows = J.keyed(spark.read.parquet(f"{data}/documents.parquet"), 3, 90).selectExpr("n", "size(places) AS combined").collect()
+    print(sum(r["combined"] for r in rows), "combinations")
+    assert sum(r["combined"] > 0 for r in rows) > 0
+
+
 def test_one_of_each(spark):
     docs = spark.createDataFrame([(3, "a b c", 1), (1, "a b c", 2), (1, "a b c", 3), (2, "x y z", 4), (None, "a b c", 5)], "doc_id long, text string, rank int")
     assert sorted(r["doc_id"] or 0 for r in J.one_of_each(docs, 3, 90).collect()) == [0, 1, 2]
