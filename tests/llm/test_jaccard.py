@@ -87,8 +87,8 @@ def test_linked_sets_share_a_key(percent, frequent_from):
         base = rng.integers(0, 1 << 62, size, dtype=np.uint64)
         for _ in range(10):
             s = base.copy()
-            s[rng.random(size) < rng.choice((0.0, 0.02, 0.05, 0.2))] += np.uint64(rng.integers(1, 1000))
-            s = np.unique(np.concatenate([s, rng.integers(0, 1 << 62, rng.integers(0, 1 + size // 20), dtype=np.uint64)]))
+            s[rng.random(size) < rng.choice((0.0, 0.002, 0.02, 0.2))] += np.uint64(rng.integers(1, 1000))
+            s = np.unique(np.concatenate([s, rng.integers(0, 1 << 62, rng.integers(0, 2 + size // rng.choice((20, 400))), dtype=np.uint64)]))
             sets.append(s)
             for t in s.tolist():
                 count[t] = count.get(t, 0) + 1
