@@ -13,7 +13,8 @@ count, and is frequent if that is far above the mean. A slot shared by chance ch
 Equal sets become one first. A key's documents, sorted by size, fall apart where the next is too large to link with the one before; such chains replace the key, and documents
 alone in one leave. Where two are left, they are compared. In larger chains the document whose token comes first leads. A round compares each document with
 one leader of its chains, of another component, and links what verifies; so a group of m near copies costs about m comparisons and not m * m. When few enough pairs
-in unlike components are left, or after ROUNDS rounds, all of them are compared. No pair that reaches the threshold is left out: its two documents end in
+in unlike components are left, or after ROUNDS rounds, parity sketches of all of them are compared, chain by chain in pieces of bounded size, with the documents outside of the chain's
+largest component on one side; only pairs that may link leave a piece. No pair that reaches the threshold is left out: its two documents end in
 one component, or are compared.
 
 Parity sketches of the sets rule out most pairs that are far apart. Verification intersects the whole sets, for documents that occur in what is left. Links join to components by contraction.
@@ -45,8 +46,10 @@ COUNT_BITS, FILTER_BITS = 20, 23
 PARITY_BITS = 1024
 #: Rounds that compare each document with one leader, before all that is left is compared; fewer where that is little.
 ROUNDS = 4
-#: Pairs for each document that are compared at once when so many or fewer are left, before the bounds on sizes and places thin them out.
+#: Pairs for each document whose sketches are compared at once when so many or fewer are left, before the bounds on sizes and places thin them out.
 ENOUGH = 100
+#: Documents of a chain in a slice; two slices meet in a piece.
+SLICE = 2048
 SHINGLE, MASK = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
 
@@ -184,6 +187,9 @@ def chains(index: DataFrame, percent: int) -> DataFrame:
     linked = sorted_.where(~(begins & ends)).select("key", "doc", "n", "place", F.sum(begins.cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)).alias("chain"))
     chain = Window.partitionBy("key", "chain")
     by_place = chain.orderBy("place", "doc")
+    # A document that can't even link with the smallest of its chain, as too many of its tokens come before this key, can link with none.
+    least = F.min("n").over(chain)
+    linked = linked.withColumn("least", least).where((100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("least"))).drop("least")
     lead = F.first(F.struct("doc", "n", "place")).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
     found = linked.select("*", F.count("*").over(chain).alias("m"), F.row_number().over(by_place).alias("rank"), lead.alias("lead"))
     return found.select(F.xxhash64("key", "chain").alias("key"), "doc", "n", "place", "m", "rank", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("doc", "n", "place")))
@@ -246,6 +252,58 @@ def may_link(percent: int, a: str = "a", b: str = "b"):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
+def may_link_all(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """As may_link(), for arrays."""
+    most = np.minimum(n - place, m - other)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * most >= percent * (n + m))
+
+
+def candidates(active: DataFrame, of_key: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents of one chain in unlike components that sizes, places and parity sketches don't rule out.
+
+    active: (key, doc, n, place, root); of_key: (key, m, most: the largest component). Each pair has one end outside that component. A chain of more than SLICE documents falls to
+    slices by hash, and each two slices are a piece; a piece's rows are sorted together, and its pairs are tested in arrays and never become rows unless they pass.
+    """
+    docs = short(active.select(F.col("doc").alias("doc_id")))
+    slices = F.ceil(F.col("m") / SLICE).cast("int")
+    rows = active.join(of_key.select("key", "m", F.col("most.root").alias("most")), "key").withColumn("own", F.pmod(F.xxhash64("doc"), slices).cast("int"))
+    rows = rows.select("key", "doc", "n", "place", "root", "own", (F.col("root") != F.col("most")).alias("out"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("other"))
+    rows = rows.join(sketches.join(docs, "doc_id", "left_semi").withColumnRenamed("doc_id", "doc"), ["doc", "n"])
+    dealt = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def test(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, n, place, root, own, out = (t.column(c).to_numpy() for c in ("doc", "n", "place", "root", "own", "out"))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        parity = t.column("parity").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(doc), -1)
+        two = t.column("low")[0].as_py() != t.column("high")[0].as_py()
+        a, b = [], []
+        for i in np.flatnonzero(out).tolist():
+            fine = (root != root[i]) & (~out | (doc[i] < doc)) & may_link_all(n[i], place[i], n, place, percent)
+            j = np.flatnonzero(fine & (own != own[i]) if two else fine)
+            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(1, dtype=np.int64)
+            j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
+            a.append(np.full(len(j), doc[i]))
+            b.append(doc[j])
+        empty = np.zeros(0, np.int64)
+        a, b = np.concatenate([empty, *a]), np.concatenate([empty, *b])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            piece = np.stack([t.column(c).to_numpy() for c in ("key", "low", "high")], 1)
+            starts = np.r_[0, np.flatnonzero((piece[1:] != piece[:-1]).any(1)) + 1] if len(piece) else np.zeros(1, np.int64)
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in test(t.slice(lo, hi - lo))], names=["a", "b"])
+            rest = t.slice(int(starts[-1]))
+        if rest is not None and rest.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in test(rest)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_shingles, component_id. Two documents link when 100 * common >= percent * all tokens."""
     need(docs, "doc_id", "text")
@@ -279,12 +337,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     pairs = cut_plain(led.where("m = 2").select("doc", "lead_doc").union(of_many).select(*pair("doc", "lead_doc")).distinct())
 
     sketches = firsts.select("doc_id", "n", "parity")
-    new_links = lambda pairs: verified(cut_plain(not_far(pairs, sketches, percent)), docs, words, percent)
     shared = found.where("m > 2").select("key", "doc", "n", "place", "rank")
-    tested, links = pairs, cut_plain(repeats.union(new_links(pairs)))
+    tested, links = pairs, cut_plain(repeats.union(verified(cut_plain(not_far(pairs, sketches, percent)), docs, words, percent)))
     roots = components(links)
     count = members.count()
-    side = lambda df, name, *more: df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", "place", "root")), *more)
+    side = lambda df, name: df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", "place", "root")))
     in_key = Window.partitionBy("key")
     for turn in range(2, ROUNDS + 2):
         # Chains whose documents are in one component are done.
@@ -298,17 +355,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             break
         last = turn > ROUNDS or number <= ENOUGH * count + 1_000_000
         if last:
-            away = active.join(of_key.select("key", F.col("most.root").alias("most")), "key").where("root <> most")
-            near = side(away, "a", "most").join(side(active, "b"), "key").where((F.col("b_root") == F.col("most")) | (F.col("a_doc") < F.col("b_doc")))
-        else:
-            near = side(active.where("rank = 1"), "a").join(side(active.where("rank > 1"), "b"), "key")
-        near = near.where(F.col("a_root") != F.col("b_root")).where(may_link(percent, "a_", "b_"))
-        near = near.select(*pair("a_doc", "b_doc"), "b_doc", "a_doc")
-        near = (near.select("a", "b").distinct() if last else near).join(tested, ["a", "b"], "left_anti")
-        if not last:  # one leader for each document, from either end in turn
-            near = near.groupBy("b_doc").agg((F.min if turn % 2 else F.max)("a_doc").alias("a_doc")).select(*pair("a_doc", "b_doc"))
-        pairs = cut_plain(near.distinct())
-        links = cut_plain(links.union(new_links(pairs)))
+            near = candidates(active, of_key, sketches, percent)
+        else:  # one leader for each document, from either end in turn
+            near = side(active.where("rank = 1"), "a").join(side(active.where("rank > 1"), "b"), "key").where(F.col("a_root") != F.col("b_root")).where(may_link(percent, "a_", "b_"))
+            near = near.select(*pair("a_doc", "b_doc"), "b_doc", "a_doc").join(tested, ["a", "b"], "left_anti")
+            near = near.groupBy("b_doc").agg((F.min if turn % 2 else F.max)("a_doc").alias("a_doc")).select(*pair("a_doc", "b_doc")).distinct()
+        pairs = cut_plain(near)
+        far = (lambda found: found) if last else (lambda found: cut_plain(not_far(found, sketches, percent)))
+        links = cut_plain(links.union(verified(far(pairs), docs, words, percent)))
         roots = components(links)
         if last:
             break

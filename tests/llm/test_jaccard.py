@@ -53,7 +53,8 @@ def test_near_copies(spark, monkeypatch, k, percent, size):
     out = []
     for _ in range(4):
         out += near_copies(rng, " ".join(f"w{rng.randrange(3000)}" for _ in range(size)), 25, 8)
-    monkeypatch.setattr(J, "ENOUGH", rng.choice((0, 100)))
+    monkeypatch.setattr(J, "ENOUGH", rng.choice((-10**9, 100)))
+    monkeypatch.setattr(J, "SLICE", rng.choice((7, 2048)))
     common = " ".join(f"c{i}" for i in range(size // 2))
     out += [f"{common} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(size // 3))}" for _ in range(25)]
     rng.shuffle(out)
@@ -110,9 +111,9 @@ def test_linked_sets_share_a_key(percent, frequent_from):
 
 def test_documents_have_combinations(spark, data):
     """Of the table's documents some index combinations, long ones among them."""
-    rows = J.keyed(spark.read.parquet(f"{data}/documents.parquet"), 3, 90).selectExpr("n", "size(places) AS combined").collect()
+    rows = J.keyed(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/documents.parquet"), 3, 90).selectExpr("n", "size(places) AS combined").collect()
     print(sum(r["combined"] for r in rows), "combinations")
-    assert sum(r["combined"] > 0 for r in rows) > 0
+    assert sum(r["combined"] > 0 for r in rows) >= 100 and any(r["combined"] and r["n"] > 500 for r in rows)
 
 
 def test_one_of_each(spark):
