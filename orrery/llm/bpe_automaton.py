@@ -6,13 +6,15 @@ every base symbol loops. Each merge (u, v) -> uv then applies one gadget, in the
 * wherever u leads to a state that reads v, u is led to a copy of that state without v;
 * wherever u can be read, uv can be read now, and it leads to where v led.
 
-All arcs labelled t lead to one state at any time, so a state is named by the token last read. Copies are kept as differences: a
-state is the state of its token's right part, as it was when the token was made, less the arcs that later gadgets took away. So
-each gadget costs a constant, and an arc's existence follows from the differences on the two spines at the boundary. Transitions
-that were looked up once stay in a table.
+All arcs labelled t lead to one state at any time, so a state is named by the token last read, and the automaton is deterministic. A copy is kept as its difference: the
+state of its token's right part, as it was when the token was made, less the arcs that later gadgets took away. When all gadgets are done, the differences are compiled to
+two tables: for each state the arcs that it and those it was copied from lost, with the times up to which they count; for each token the arcs that it grew from, with
+the times at which it did. A transition exists unless one meets the other in time: a few lookups. The tables have a row for each token and an entry for each merge (some MB), are built once
+in a worker, and never change while it encodes.
 
-A pre-split word has exactly one path from the start that spells it and is accepted; encoding follows arcs, longest label first,
-and never enters a (position, state) twice. Decoding emits the labels of the arcs.
+Each beginning of a pre-split word is spelled by exactly one accepted sequence, as BPE is a function; so each place of it is reached by exactly one token, the one that the state at
+the token's start reads. Encoding asks for the token at the word's end, and so on for the states that this depends on; what was found for a place stands, and none is looked for
+twice. Decoding emits the labels of the arcs.
 
 Defined cases: a null text gives no tokens and the empty text; an empty table gives an empty result; repeated rows are encoded each
 on its own; other columns pass through unchanged, and a clashing output name raises an error.
@@ -24,6 +26,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -34,7 +37,8 @@ from pyspark.sql import types as T
 from orrery.llm.common import give_back, need, small_batches, spread
 
 NEVER = 1 << 60
-CACHE_ENTRIES, TABLE_ENTRIES = 300_000, 250_000
+#: Words whose tokens a task keeps.
+CACHE_ENTRIES = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -56,13 +60,16 @@ class MergeAutomaton:
         self.born: dict[int, int] = {}
         self.cuts: dict[int, dict[int, int]] = {}
         self.readable = {t: i for t, i in vocab.items() if t not in made}
-        self.table: dict[tuple[int, int], bool] = {}
         for when, (a, b) in enumerate(merges):
             self._gadget(when, vocab[a], vocab[b], vocab[a + b], a + b)
-        self.table.clear()
+        self._compile()
         plain = {t: t.removesuffix(suffix) for t in self.readable}
         self.sizes = {i: len(plain[t]) for t, i in self.readable.items()}
-        self.grows = {t[:k] for t in plain.values() for k in range(1, len(t))}
+        # What some letters may be: a token (its double, plus 1 if longer ones end so too) or only the end of some (-1); within a word, and at its end.
+        ends = lambda of: dict.fromkeys((t[k:] for t in of for k in range(1, len(t))), -1)
+        inside = {t: i for t, i in self.readable.items() if not (suffix and t.endswith(suffix))}
+        at_end = {plain[t]: i for t, i in self.readable.items() if t.endswith(suffix)}
+        self.inner, self.last = ({**(more := ends(of)), **{t: 2 * i + (t in more) for t, i in of.items()}} for of in (inside, at_end))
 
     def _gadget(self, when: int, u: int, v: int, uv: int, label: str) -> None:
         if not self._reads(u, v):  # no state reads u and then v: the merge never applies
@@ -89,55 +96,80 @@ class MergeAutomaton:
                 return True
             until, state = self.born[state], self.right[state]
 
+    def _compile(self) -> None:
+        """The tables of transitions: of each state, the arcs lost by it and by what it was copied from, and of each token, the arcs that it grew from."""
+        self.lost: dict[int, tuple[tuple[dict[int, int], int], ...]] = {}
+        self.grown: dict[int, tuple[tuple[int, int], ...]] = {}
+        for token in self.readable.values():
+            rows, state, until = [], token, NEVER
+            while True:
+                cuts = self.cuts.get(state)
+                if cuts and min(cuts.values()) < until:
+                    rows.append((cuts, until))
+                if state not in self.right:
+                    break
+                until, state = self.born[state], self.right[state]
+            self.lost[token] = tuple(rows)
+            arcs, arc, made = [], token, NEVER
+            while True:
+                arcs.append((arc, made))
+                if arc not in self.left:
+                    break
+                made, arc = self.born[arc], self.left[arc]
+            self.grown[token] = tuple(arcs)
+
     def step(self, state: int, token: int) -> bool:
-        """Table-driven transition; state is the token last read, or -1 at the start."""
+        """Whether the state after one token reads another, by the tables; state -1 is the start, which reads all."""
         if state < 0:
             return True
-        known = self.table.get((state, token))
-        if known is None:
-            if len(self.table) > TABLE_ENTRIES:
-                self.table.clear()
-            known = self.table[state, token] = self._reads(state, token)
-        return known
-
-    def _arcs(self, word: str, at: int, state: int) -> list[int]:
-        """The tokens that spell word on from a position and that the state reads, the longest last."""
-        n, readable, grows = len(word), self.readable, self.grows
-        found, end = [], at
-        while end < n:
-            end += 1
-            piece = word[at:end]
-            token = readable.get(piece if end < n else piece + self.suffix)
-            if token is not None and self.step(state, token):
-                found.append(token)
-            if piece not in grows:
+        grown = self.grown[token]
+        for cuts, until in self.lost[state]:
+            for arc, made in grown:
+                cut = cuts.get(arc)
+                if cut is not None and cut < until and cut <= made:
+                    return False
+        return True
+
+    def _ending(self, word: str, at: int) -> list[tuple[int, int]]:
+        """The tokens that may end at a place of a word, with where they start, the longest last."""
+        found, ends = [], self.last if at == len(word) else self.inner
+        for start in range(at - 1, -1, -1):
+            token = ends.get(word[start:at])
+            if token is None:
+                break
+            if token >= 0:
+                found.append((start, token >> 1))
+            if not token & 1:
                 break
         return found
 
     def encode(self, word: str) -> list[int]:
         """The tokens of one pre-split word, given in byte letters."""
-        n, at, sizes, state = len(word), 0, self.sizes, -1
-        path: list[int] = []
-        left = [self._arcs(word, 0, -1)]  # the arcs still to try at each position of the path
-        dead: set[tuple[int, int]] = set()
-        while left:
-            while left[-1]:
-                token = left[-1].pop()
-                end = at + sizes[token]
-                if end == n:
-                    return [*path, token]
-                if (end, token) not in dead:
-                    path.append(token)
-                    at, state = end, token
-                    left.append(self._arcs(word, at, state))
-                elif not left[-1]:
-                    break
-            left.pop()
-            if path:
-                dead.add((at, state))
-                at -= sizes[path.pop()]
-                state = path[-1] if path else -1
-        raise ValueError(f"the vocabulary can't spell {word!r}")
+        n, step = len(word), self.step
+        if not n:
+            return []
+        reached: dict[int, int] = {}  # the token that ends at each place that was asked for
+        asked = [(n, self._ending(word, n))]
+        while asked:
+            at, arcs = asked[-1]
+            if not arcs:
+                raise ValueError(f"the vocabulary can't spell {word!r}")
+            start, token = arcs[-1]
+            if start:
+                state = reached.get(start)
+                if state is None:
+                    asked.append((start, self._ending(word, start)))
+                    continue
+                if not step(state, token):
+                    arcs.pop()
+                    continue
+            reached[at] = token
+            asked.pop()
+        path, sizes = [], self.sizes
+        while n:
+            path.append(reached[n])
+            n -= sizes[path[-1]]
+        return path[::-1]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, joined by one space as a tokenizer without a decoder joins them."""
@@ -158,7 +190,7 @@ class WordBpe:
         self.automaton.labels |= {i: t for t, i in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self._letters = byte_letters()
+        self._letters = dict(enumerate(byte_letters()))
         self._assigned: set[str] = set()
         self._description = description
         self._seen: dict[str, list[int]] = {}
@@ -167,7 +199,6 @@ class WordBpe:
         """Empty the caches: a worker that lives on does other work, too."""
         self._seen = {}
         self._assigned = set()
-        self.automaton.table = {}
 
     def _has_unassigned(self, text: str) -> bool:
         """Whether a text has characters that were not assigned when this Python's tables were made."""
@@ -185,7 +216,7 @@ class WordBpe:
 
     def _word(self, word: str) -> list[int]:
         """A word's tokens; short words' are kept, as long as the cache has room."""
-        ids = self.automaton.encode("".join(map(self._letters.__getitem__, word.encode())))
+        ids = self.automaton.encode(word.encode().decode("latin-1").translate(self._letters))
         if len(word) < 48:
             if len(self._seen) > CACHE_ENTRIES:
                 self._seen.clear()
@@ -204,8 +235,11 @@ class WordBpe:
                     ids += [i for piece, _ in self._by_library(part) for i in self.automaton.encode(piece)]
                     continue
                 part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")  # capital sigma, which lower() treats by its place
-            for word in self._words(part.lower()):
-                ids += get(word) or self._word(word)
+            words = self._words(part.lower())
+            found = list(map(get, words))
+            if None in found:
+                found = [f or get(w) or self._word(w) for w, f in zip(words, found, strict=True)]
+            ids.extend(chain.from_iterable(found))
         return ids
 
     def decode(self, ids: list[int]) -> str:
