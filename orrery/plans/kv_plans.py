@@ -175,3 +175,54 @@ def kv_set_options(spark, d):
 def kv_type(spark, d):
     c = table(spark, d, "customer")
     return kv.kind_of({"string": state(spark, d).where(F.col("key").startswith("cust:1")), "set": c.select(F.lit(0).alias("db"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"))})
+
+
+# Every event is one command of a log that mixes them all, so what each answers depends on what came before it. The recursion runs each key's commands one by one.
+MIXED = """c AS (SELECT event_id AS seq, CAST(user_id % 2 AS INTEGER) AS db, 'user:' || user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) * 1000 AS ts, json_extract_string(props, '$.k') AS k, event_id % 13 AS c FROM events),
+f AS (SELECT *, ['SET', 'SET', 'SET', 'SETNX', 'INCR', 'INCRBY', 'DECR', 'APPEND', 'GETSET', 'GETDEL', 'EXPIRE', 'PERSIST', 'DEL'][c + 1] AS cmd, row_number() OVER (PARTITION BY db, key ORDER BY seq) AS n FROM c)"""
+STEP = """r(db, key, n, seq, cmd, value, ends, reply, error) AS (
+  SELECT DISTINCT db, key, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, false FROM f
+  UNION ALL
+  SELECT db, key, n, seq, cmd,
+    CASE WHEN c IN (0, 1) OR (c = 2 AND v IS NOT NULL) OR (c = 3 AND v IS NULL) OR c = 8 THEN k WHEN c IN (9, 12) THEN NULL WHEN c IN (4, 5, 6) THEN coalesce(CAST(total AS VARCHAR), v) WHEN c = 7 THEN coalesce(v, '') || k ELSE v END,
+    CASE WHEN c = 1 THEN ts + 2000000000 WHEN c = 10 AND v IS NOT NULL THEN ts + CAST(k AS BIGINT) * 20000 * 1000 WHEN c IN (2, 3) AND (v IS NULL) = (c = 2) THEN e WHEN c IN (4, 5, 6) AND total IS NULL THEN e ELSE NULL END,
+    CASE WHEN c IN (0, 1) OR (c = 2 AND v IS NOT NULL) THEN 'OK' WHEN c = 3 THEN CAST((v IS NULL)::INT AS VARCHAR) WHEN c IN (4, 5, 6) THEN CAST(total AS VARCHAR) WHEN c = 7 THEN CAST(strlen(coalesce(v, '') || k) AS VARCHAR) WHEN c IN (8, 9) THEN v WHEN c IN (10, 11, 12) THEN CAST((v IS NOT NULL)::INT AS VARCHAR) END,
+    c IN (4, 5, 6) AND total IS NULL
+  FROM (SELECT *, CASE WHEN v IS NULL OR try_cast(v AS BIGINT) IS NOT NULL THEN try_cast(coalesce(try_cast(v AS BIGINT), 0)::HUGEINT + CASE c WHEN 4 THEN 1 WHEN 6 THEN -1 ELSE CAST(k AS BIGINT) END AS BIGINT) END AS total
+    FROM (SELECT f.*, CASE WHEN r.ends IS NULL OR f.ts <= r.ends THEN r.value END AS v, CASE WHEN f.ts <= r.ends THEN r.ends END AS e FROM r JOIN f ON f.db = r.db AND f.key = r.key AND f.n = r.n + 1)))"""
+
+
+def mixed_log(spark, d):
+    """A command for each event, of thirteen kinds in turn, most of which depend on what was there."""
+    events = table(spark, d, "events")
+    key, k = F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.get_json_object("props", "$.k")
+    kinds = [("SET", k), ("SET", k, F.lit("EX"), F.lit("2000000")), ("SET", k, F.lit("XX")), ("SETNX", k), ("INCR",), ("INCRBY", k), ("DECR",), ("APPEND", k), ("GETSET", k), ("GETDEL",), ("EXPIRE", (k.cast("long") * 20000).cast("string")), ("PERSIST",), ("DEL",)]
+    kind = F.get(F.array(*(F.struct(F.lit(c).alias("cmd"), F.array(key, *a).alias("args")) for c, *a in kinds)), (F.col("event_id") % 13).cast("int"))
+    return events.select(F.col("event_id").alias("seq"), (F.unix_timestamp("ts") * 1000).alias("ts_ms"), (F.col("user_id") % 2).cast("int").alias("db"), kind["cmd"].alias("cmd"), kind["args"].alias("args"))
+
+
+@register(f"WITH RECURSIVE {MIXED}, {STEP} SELECT seq, db, key, cmd, reply, error FROM r WHERE n > 0")
+def kv_replies(spark, d):
+    """What every command of the mixed log answers."""
+    return kv.replies(mixed_log(spark, d)).withColumn("error", F.col("error").isNotNull())
+
+
+@register(f"WITH RECURSIVE {MIXED}, {STEP} SELECT db, key, value, ends AS expires_at_ms FROM r WHERE value IS NOT NULL AND n = (SELECT max(n) FROM f WHERE f.db = r.db AND f.key = r.key)")
+def kv_fold_mixed(spark, d):
+    """What the mixed log leaves."""
+    return kv.fold(mixed_log(spark, d))
+
+
+@register("""WITH w AS (SELECT c_custkey, 'm:' || (c_custkey % 500) AS a, 'm:' || (c_custkey * 7 % 500) AS b, c_custkey % 3 AS kind FROM customer),
+p AS (SELECT c_custkey AS seq, 0 AS part, a AS key, CASE kind WHEN 2 THEN NULL ELSE 'x' || c_custkey END AS value, CASE kind WHEN 1 THEN 1000 END AS ends FROM w UNION ALL SELECT c_custkey, 1, b, CASE kind WHEN 2 THEN NULL ELSE 'y' || c_custkey END, CASE kind WHEN 1 THEN 2000 END FROM w),
+l AS (SELECT key, arg_max({'v': value, 'e': ends}, (seq, part)) AS s FROM p GROUP BY key)
+SELECT 0 AS db, key, s.v AS value, CAST(s.e AS BIGINT) AS expires_at_ms FROM l WHERE s.v IS NOT NULL""")
+def kv_many(spark, d):
+    """MSET, MSETEX and MGETDEL of two keys each, in turn."""
+    c = table(spark, d, "customer")
+    n = F.col("c_custkey")
+    a, b = F.concat(F.lit("m:"), (n % 500).cast("string")), F.concat(F.lit("m:"), (n * 7 % 500).cast("string"))
+    x, y = F.concat(F.lit("x"), n.cast("string")), F.concat(F.lit("y"), n.cast("string"))
+    args = F.when(n % 3 == 0, F.array(a, x, b, y)).when(n % 3 == 1, F.array(a, x, F.lit("1"), b, y, F.lit("2"))).otherwise(F.array(a, b))
+    cmd = F.when(n % 3 == 0, "MSET").when(n % 3 == 1, "MSETEX").otherwise("MGETDEL")
+    return kv.fold(c.select(n.alias("seq"), F.lit(0).cast("long").alias("ts_ms"), F.lit(0).alias("db"), cmd.alias("cmd"), args.alias("args")))
