@@ -5,6 +5,7 @@ Each command is one call of an operator. Writes make new tables; settle() writes
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -19,16 +20,18 @@ from orrery.sources import files
 SCHEMAS = {
     "log": "seq long, ts_ms long, db int, cmd string, args array<string>",
     "nodes": "key string, type string, props map<string,string>",
-    "edges": "src string, dst string, type string, weight double",
+    "edges": "edge_id long, src string, dst string, type string, weight double, props map<string,string>",
     "vectors": "key string, field string, vec array<double>",
     "lists": "db int, key string, pos long, value string",
     "hashes": "db int, key string, field string, value string",
     "sets": "db int, key string, member string",
     "zsets": "db int, key string, member string, score double",
     "cache": "key string, response string, threshold double, tag string, expires_at_ms long, vec array<double>",
-    "memories": "agent string, id string, text string, type string, importance double, created_at long, access_count long, halflife long, tag string, vec array<double>",
+    "memories": "agent string, id string, text string, type string, importance double, created_at long, access_count long, halflife long, tag string, expires_at_ms long, vec array<double>",
+    "subscriptions": "subscriber string, channel string, is_pattern boolean",
 }
-WRITES = frozenset("SET SETEX PSETEX SETNX GETSET MSET DEL UNLINK GETDEL INCR DECR INCRBY DECRBY APPEND EXPIRE PEXPIRE PERSIST FLUSHDB FLUSHALL".split())
+WRITES = frozenset((*kv.OUTRIGHT, *kv.DEPENDENT, *kv.MANY, *kv.FLUSHES))
+DATABASES = 16
 
 
 def options(args: tuple, *names: str) -> dict[str, str]:
@@ -37,6 +40,12 @@ def options(args: tuple, *names: str) -> dict[str, str]:
     return {n: args[upper.index(n) + 1] for n in names if n in upper and upper.index(n) + 1 < len(args)}
 
 
+def _strings(metadata: str) -> dict[str, str]:
+    """The members of a JSON object that are strings."""
+    read = json.loads(metadata)
+    return {k: v for k, v in read.items() if isinstance(v, str)} if isinstance(read, dict) else {}
+
+
 class Engine:
     """Tables by name, a selected database and a clock that callers set."""
 
@@ -71,15 +80,29 @@ class Engine:
             args = tuple(rest)
         name = command.upper()
         if name in WRITES:
-            self.seq += 1
-            row = self.rows([(self.seq, self.now_ms, self.db, name, [str(a) for a in args])], SCHEMAS["log"])
-            self.tables["log"] = self.tables["log"].unionByName(row)
-            return self.one(ok=True)
+            return self._write(name, *args)
         run: Callable | None = getattr(self, "do_" + name.lower().replace(".", "_"), None)
         if run is None:
             raise ValueError(f"unknown command {command}")
         return run(*args)
 
+    def _write(self, name: str, *args, db: int | None = None) -> DataFrame:
+        """Append a command to the log. Its answer is what the fold of the commands on its keys replies."""
+        self.seq += 1
+        row = self.rows([(self.seq, self.now_ms, self.db if db is None else db, name, [str(a) for a in args])], SCHEMAS["log"])
+        self.tables["log"] = self.tables["log"].unionByName(row)
+        if name in ("MSET", "MSETEX", *kv.FLUSHES):
+            return self.one(reply="OK")
+        if not args:
+            raise ValueError(f"wrong number of arguments for {name}")
+        keys = [str(a) for a in args] if name in ("DEL", "UNLINK", "MGETDEL") else [str(args[0])]
+        own = (F.col("db") == self.db) & F.arrays_overlap("args", F.array(*map(F.lit, keys)))
+        return kv.replies(self.tables["log"].where(own | F.col("cmd").isin(*kv.FLUSHES))).where(F.col("seq") == self.seq).select("reply", "error")
+
+    def _value(self, key: str, db: int | None = None):
+        """The row (value, expires_at_ms) of a key, or None."""
+        return self.state.where((F.col("db") == (self.db if db is None else db)) & (F.col("key") == key)).select("value", "expires_at_ms").first()
+
     def transaction(self, commands: list[tuple], watch: DataFrame | None = None) -> list[DataFrame] | None:
         """Run commands in order; none if a watched key (db, key, seq) was written since. One command's error doesn't undo the others."""
         from orrery.streaming import watched
@@ -102,9 +125,66 @@ class Engine:
 
     # key-value
     def do_select(self, db):
+        if not 0 <= int(db) < DATABASES:
+            raise ValueError("database index is out of range")
         self.db = int(db)
         return self.one(ok=True)
 
+    def _set_as(self, key: str, row, db: int | None = None, keep_time: bool = False) -> None:
+        left = row["expires_at_ms"] - self.now_ms if keep_time and row["expires_at_ms"] is not None else None
+        self._write("SET", key, row["value"], *(("PX", left) if left is not None else ()), db=db)
+
+    def do_rename(self, key, to):
+        row = self._value(key)
+        if row is None:
+            raise ValueError("no such key")
+        if key != to:
+            self._set_as(to, row)
+            self._write("DEL", key)
+        return self.one(reply="OK")
+
+    def do_renamenx(self, key, to):
+        row = self._value(key)
+        if row is None:
+            raise ValueError("no such key")
+        if self._value(to) is not None:
+            return self.one(n=0)
+        self.do_rename(key, to)
+        return self.one(n=1)
+
+    def do_copy(self, key, to, *args):
+        row = self._value(key)
+        if row is None or (self._value(to) is not None and "REPLACE" not in [str(a).upper() for a in args]):
+            return self.one(n=0)
+        self._set_as(to, row)
+        return self.one(n=1)
+
+    def do_move(self, key, db):
+        row = self._value(key)
+        if row is None or int(db) == self.db or self._value(key, int(db)) is not None:
+            return self.one(n=0)
+        self._set_as(key, row, int(db), True)
+        self._write("DEL", key)
+        return self.one(n=1)
+
+    def do_msetnx(self, *pairs):
+        if any(r["n"] for r in self.do_exists(*pairs[::2]).collect()):
+            return self.one(n=0)
+        self._write("MSET", *pairs)
+        return self.one(n=1)
+
+    def do_scanget(self, cursor, *args):
+        """SCANGET cursor pattern [COUNT n], or with MATCH before the pattern."""
+        o = options(args, "MATCH", "COUNT")
+        bare = args[0] if args and str(args[0]).upper() not in ("MATCH", "COUNT") else "*"
+        return kv.scan(self.state, self.db, int(cursor), int(o.get("COUNT", 10)), self.now_ms, o.get("MATCH", bare), values=True)
+
+    def do_object(self, what, key):
+        if str(what).upper() == "IDLETIME":
+            used = self.tables["log"].where((F.col("db") == self.db) & F.array_contains("args", key)).agg(F.max("ts_ms").alias("at"))
+            return used.select(F.floor((F.lit(self.now_ms) - F.col("at")) / 1000).cast("long").alias("seconds"))
+        return kv.memory_usage(self.state, self.now_ms).where((F.col("db") == self.db) & (F.col("key") == key)).select("encoding")
+
     def do_get(self, key):
         return kv.get_many(self.state, self._keys([key]), self.now_ms).select("value")
 
@@ -170,6 +250,25 @@ class Engine:
         self.tables["lists"] = self.tables["lists"].where(~((F.col("db") == self.db) & (F.col("key") == key))).unionByName(kept)
         return popped.orderBy("rank").select("value")
 
+    def _length(self, key: str) -> int:
+        row = self.do_llen(key).first()
+        if row is None:
+            raise ValueError("no such key")
+        return row["n"]
+
+    def do_lset(self, key, i, value):
+        if not -(n := self._length(key)) <= int(i) < n:
+            raise ValueError("index out of range")
+        rest = self.tables["lists"].where(~((F.col("db") == self.db) & (F.col("key") == key)))
+        self.tables["lists"] = rest.unionByName(col.list_set(self._of("lists", key), int(i), str(value)))
+        return self.one(reply="OK")
+
+    def do_lrem(self, key, count, value):
+        own = settled(self._of("lists", key))
+        kept = settled(col.list_remove(own, str(value), int(count)))
+        self.tables["lists"] = self.tables["lists"].where(~((F.col("db") == self.db) & (F.col("key") == key))).unionByName(kept)
+        return self.one(n=own.count() - kept.count())
+
     def do_lpop(self, key, n=1):
         return self._pop(key, n, True)
 
@@ -184,6 +283,19 @@ class Engine:
     def do_hget(self, key, field):
         return self._of("hashes", key).where(F.col("field") == field).select("value")
 
+    def do_hmget(self, key, *fields):
+        asked = self.rows([(i, self.db, key, f) for i, f in enumerate(fields)], "pos long, db int, key string, field string")
+        return col.hash_get(self.tables["hashes"], asked).orderBy("pos").select("field", "value")
+
+    def do_hkeys(self, key):
+        return self._of("hashes", key).select("field")
+
+    def do_hvals(self, key):
+        return self._of("hashes", key).select("value")
+
+    def do_hexists(self, key, field):
+        return self._of("hashes", key).where(F.col("field") == field).agg(F.count("*").alias("n"))
+
     def do_hgetall(self, key):
         return self._of("hashes", key).select("field", "value")
 
@@ -195,6 +307,9 @@ class Engine:
         return self.do_hlen(key)
 
     def do_hincrby(self, key, field, n):
+        old = self.do_hget(key, field).select(F.col("value").isNotNull() & F.col("value").try_cast("long").isNull()).first()
+        if old is not None and old[0]:
+            raise ValueError("value is not an integer or out of range")
         self.tables["hashes"] = col.hash_increment(self.tables["hashes"], self.rows([(self.db, key, field, int(n))], "db int, key string, field string, delta long"))
         return self.do_hget(key, field)
 
@@ -212,6 +327,9 @@ class Engine:
     def do_smembers(self, key):
         return self._of("sets", key).select("member")
 
+    def do_sismember(self, key, member):
+        return self._of("sets", key).where(F.col("member") == str(member)).agg(F.count("*").alias("n"))
+
     def do_sunion(self, *keys):
         return col.set_union(self.tables["sets"], self.db, list(keys))
 
@@ -223,9 +341,19 @@ class Engine:
 
     def do_zadd(self, key, *pairs):
         new = self.rows([(i, self.db, key, str(pairs[i]), str(pairs[i + 1])) for i in range(0, len(pairs) - 1, 2)], "seq long, db int, key string, score string, member string")
+        fresh = new.where(F.col("score").try_cast("double").isNotNull()).select("member").distinct().join(self._of("zsets", key).select("member"), "member", "left_anti").count()
         self.tables["zsets"] = col.zset_add(self.tables["zsets"], new)
+        return self.one(n=fresh)
+
+    def do_zcard(self, key):
         return self._of("zsets", key).agg(F.count("*").alias("n"))
 
+    def do_zrem(self, key, *members):
+        gone = self.rows([(self.db, key, str(m)) for m in members], "db int, key string, member string")
+        n = self._of("zsets", key).join(gone.distinct(), ["db", "key", "member"], "left_semi").count()
+        self.tables["zsets"] = col.zset_remove(self.tables["zsets"], gone)
+        return self.one(n=n)
+
     def do_zrange(self, key, start, stop, *args):
         out = col.zset_range(self._of("zsets", key), int(start), int(stop)).orderBy("rank")
         return out.select("member", F.format_string("%.6f", "score").alias("score")) if "WITHSCORES" in map(str.upper, args) else out.select("member")
@@ -248,10 +376,15 @@ class Engine:
         return self.rows([(key,)], "key string")
 
     def do_graph_addnode(self, key, kind):
-        self.tables["nodes"] = graph.upsert_nodes(self.tables["nodes"], self.rows([(key, kind, {})], SCHEMAS["nodes"]))
+        if not self.do_graph_getnode(key).isEmpty():
+            raise ValueError("DuplicateNode")
+        self.tables["nodes"] = graph.add_nodes(self.tables["nodes"], self.rows([(key, kind, {})], SCHEMAS["nodes"]))
         return self.do_graph_getnode(key)
 
-    do_graph_upsert_node = do_graph_addnode
+    def do_graph_upsert_node(self, key, kind, metadata="{}"):
+        """metadata: JSON; its strings become properties."""
+        self.tables["nodes"] = graph.upsert_nodes(self.tables["nodes"], self.rows([(key, kind, _strings(metadata))], SCHEMAS["nodes"]))
+        return self.do_graph_getnode(key)
 
     def do_graph_getnode(self, key):
         return self.tables["nodes"].where(F.col("key") == key)
@@ -265,14 +398,33 @@ class Engine:
         self.tables["vectors"] = vector.delete_vectors(self.tables["vectors"], self._seed(key))
         return self.do_graph_stats()
 
+    def _next_edge(self) -> int:
+        return (self.tables["edges"].agg(F.max("edge_id")).first()[0] or 0) + 1
+
     def do_graph_addedge(self, src, dst, kind, weight="1.0"):
-        self.tables["edges"] = graph.add_edges(self.tables["edges"], self.rows([(src, dst, kind, str(weight))], "src string, dst string, type string, weight string"), self.tables["nodes"])
+        if self.tables["nodes"].where(F.col("key").isin(src, dst)).select("key").distinct().count() < len({src, dst}):
+            raise ValueError("NodeNotFound")
+        new = self.rows([(self._next_edge(), src, dst, kind, str(weight), {})], "edge_id long, src string, dst string, type string, weight string, props map<string,string>")
+        self.tables["edges"] = graph.add_edges(self.tables["edges"], new, self.tables["nodes"])
         return self.tables["edges"].where((F.col("src") == src) & (F.col("dst") == dst))
 
-    def do_graph_upsert_edge(self, src, dst, kind):
-        self.tables["nodes"], self.tables["edges"] = graph.upsert_edges(self.tables["nodes"], self.tables["edges"], self.rows([(src, dst, kind)], "src string, dst string, type string"))
+    def do_graph_upsert_edge(self, src, dst, kind, metadata="{}"):
+        """metadata: JSON; its strings become the edge's properties, an existing edge's too."""
+        new = self.rows([(src, dst, kind, _strings(metadata))], "src string, dst string, type string, props map<string,string>")
+        self.tables["nodes"], self.tables["edges"] = graph.upsert_edges(self.tables["nodes"], self.tables["edges"], new)
         return self.tables["edges"].where((F.col("src") == src) & (F.col("dst") == dst))
 
+    def do_graph_deledge(self, edge_id):
+        gone = self.rows([(int(edge_id),)], "edge_id long")
+        if self.tables["edges"].where(F.col("edge_id") == int(edge_id)).isEmpty():
+            raise ValueError("EdgeNotFound")
+        self.tables["edges"] = graph.delete_edges(self.tables["edges"], gone)
+        return self.one(reply="OK")
+
+    def do_graph_set_edge_prop(self, edge_id, prop, value):
+        self.tables["edges"] = graph.set_edge_property(self.tables["edges"], self.rows([(int(edge_id), prop, str(value), 0)], "edge_id long, prop string, value string, seq long"))
+        return self.tables["edges"].where(F.col("edge_id") == int(edge_id))
+
     def do_graph_ingest(self, payload):
         self.tables["nodes"], self.tables["edges"] = graph.ingest(self.tables["nodes"], self.tables["edges"], self.rows([(payload,)], "json string"))
         return self.do_graph_stats()
@@ -289,8 +441,8 @@ class Engine:
 
     def do_graph_traverse(self, key, *args):
         o = options(args, "DEPTH", "DIR", "EDGETYPE", "NODETYPE", "LIMIT")
-        out = graph.traverse(self.tables["nodes"], self.tables["edges"], self._seed(key), int(o.get("DEPTH", 10)), o.get("DIR", "OUT"), o["EDGETYPE"].split(",") if "EDGETYPE" in o else None, o.get("NODETYPE")).drop("seed").orderBy("depth", "key")
-        return out.limit(int(o["LIMIT"])) if "LIMIT" in o else out
+        out = graph.traverse(self.tables["nodes"], self.tables["edges"], self._seed(key), int(o.get("DEPTH", 10)), o.get("DIR", "OUT"), o["EDGETYPE"].split(",") if "EDGETYPE" in o else None, o.get("NODETYPE"), limit=int(o["LIMIT"]) if "LIMIT" in o else None)
+        return out.select("key", "type", F.lit("").alias("via"), "depth").orderBy("depth", "key")
 
     def do_graph_path(self, source, target, *args):
         o = options(args, "MAXDEPTH")
@@ -314,7 +466,9 @@ class Engine:
         members = self.tables["nodes"].where(F.col("props")[prop].isNotNull()).select(F.col("props")[prop].alias("grp"), "key")
         old, rest = self.tables["edges"].where(F.col("type") == kind), self.tables["edges"].where(F.col("type") != kind)
         new = graph.cooccur(members, float(o.get("WEIGHT", 1)), int(o.get("WINDOW", 50)), old, "INCR" in [str(a).upper() for a in args])
-        self.tables["edges"] = rest.unionByName(new.select("src", "dst", F.lit(kind).alias("type"), "weight"))
+        kept = old.select("edge_id", "src", "dst", "props")
+        linked = new.join(kept, ["src", "dst"], "left").withColumn("type", F.lit(kind))
+        self.tables["edges"] = rest.unionByName(graph.numbered(linked, self.tables["edges"]).select(*rest.columns))
         return self.tables["edges"].where(F.col("type") == kind)
 
     # vectors, cache, memories
@@ -356,27 +510,73 @@ class Engine:
         self.tables["cache"] = self.tables["cache"].limit(0)
         return self.one(ok=True)
 
+    def do_cache_semstats(self, *probes):
+        """Entries of the cache, and hits and misses of some vectors."""
+        asked = self.rows([(str(i), [float(x) for x in v]) for i, v in enumerate(probes)], "query string, vec array<double>")
+        return vector.cache_stats(self.tables["cache"], asked, self.now_ms)
+
+    def do_subscribe(self, subscriber, *channels, pattern=False):
+        new = self.rows([(subscriber, c, pattern) for c in channels], SCHEMAS["subscriptions"])
+        self.tables["subscriptions"] = self.tables["subscriptions"].unionByName(new).distinct()
+        return self.tables["subscriptions"].where(F.col("subscriber") == subscriber).agg(F.count("*").alias("n"))
+
+    def do_psubscribe(self, subscriber, *patterns):
+        return self.do_subscribe(subscriber, *patterns, pattern=True)
+
+    def do_unsubscribe(self, subscriber, *channels, pattern=False):
+        gone = (F.col("subscriber") == subscriber) & (F.col("is_pattern") == pattern) & (F.col("channel").isin(*channels) if channels else F.lit(True))
+        self.tables["subscriptions"] = self.tables["subscriptions"].where(~gone)
+        return self.tables["subscriptions"].where(F.col("subscriber") == subscriber).agg(F.count("*").alias("n"))
+
+    def do_punsubscribe(self, subscriber, *patterns):
+        return self.do_unsubscribe(subscriber, *patterns, pattern=True)
+
+    def do_publish(self, channel, payload):
+        """How many receive a message; streaming.publish() gives the deliveries."""
+        from orrery.streaming import receivers
+
+        return receivers(self.rows([(0, channel, str(payload))], "seq long, channel string, payload string"), self.tables["subscriptions"]).select("receivers")
+
     def do_memory_store(self, agent, text, *args):
-        o = options(args, "ID", "TYPE", "IMPORTANCE", "HALFLIFE", "TAG", "VEC")
+        o = options(args, "ID", "TYPE", "IMPORTANCE", "HALFLIFE", "TAG", "VEC", "TTL", "SOURCE")
         self.seq += 1
-        row = (agent, o.get("ID", f"mem:{agent}:{self.seq}"), text, o.get("TYPE", "episodic"), float(o.get("IMPORTANCE", 0.5)), self.now_ms // 1000, 0, int(o.get("HALFLIFE", 604800)), o.get("TAG"), [float(x) for x in o.get("VEC", [])], self.seq)
-        self.tables["memories"] = vector.memory_store(self.tables["memories"], self.rows([row], SCHEMAS["memories"] + ", seq long"))
-        return self.one(id=row[1])
+        ends = self.now_ms + int(o["TTL"]) * 1000 if "TTL" in o else None
+        row = (agent, o.get("ID"), text, o.get("TYPE", "episodic"), float(o.get("IMPORTANCE", 0.5)), self.now_ms // 1000, 0, int(o.get("HALFLIFE", 604800)), o.get("TAG"), ends, [float(x) for x in o.get("VEC", [])], self.seq)
+        new = settled(vector.named_memories(self.tables["memories"], self.rows([row], SCHEMAS["memories"] + ", seq long")))
+        self.tables["memories"] = vector.memory_store(self.tables["memories"], new)
+        name = new.first()["id"]
+        if "SOURCE" in o:
+            self._link(name, str(o["SOURCE"]), "SOURCED_FROM", 1.0, {"type": "source"})
+        return self.one(id=name)
+
+    def _link(self, src: str, dst: str, kind: str, weight: float, stub: dict | None = None) -> DataFrame:
+        if stub is not None:
+            self.tables["nodes"] = graph.add_nodes(self.tables["nodes"], self.rows([(dst, stub["type"], {})], SCHEMAS["nodes"]))
+        edge = self.rows([(self._next_edge(), src, dst, kind, weight, {})], SCHEMAS["edges"])
+        self.tables["edges"] = self.tables["edges"].unionByName(edge)
+        return edge
+
+    @property
+    def memories(self) -> DataFrame:
+        """The memories whose time isn't over."""
+        return self.tables["memories"].where(F.col("expires_at_ms").isNull() | (F.col("expires_at_ms") > self.now_ms))
 
     def do_memory_recall(self, agent, vec, *args):
-        o = options(args, "LIMIT", "THRESHOLD", "TYPE", "AFTER", "BEFORE", "BOOST")
+        o = options(args, "LIMIT", "THRESHOLD", "TYPE", "AFTER", "BEFORE", "BOOST", "TAG")
         asked = self.rows([("q", agent, [float(x) for x in vec])], "query string, agent string, vec array<double>")
         whole = lambda n: int(o[n]) if n in o else None
-        found = vector.recall(self.tables["memories"], asked, self.now_ms // 1000, int(o.get("LIMIT", 10)), float(o.get("THRESHOLD", 0.5)), o.get("TYPE"), whole("AFTER"), whole("BEFORE"), o["BOOST"].lower() if "BOOST" in o else None)
+        found = vector.recall(self.memories, asked, self.now_ms // 1000, int(o.get("LIMIT", 10)), float(o.get("THRESHOLD", 0.5)), o.get("TYPE"), whole("AFTER"), whole("BEFORE"), o["BOOST"].lower() if "BOOST" in o else None, o.get("TAG"))
         return found.join(self.tables["memories"].select("agent", "id", "text", "type", "importance", "created_at"), ["agent", "id"]).drop("query", "agent").orderBy("rank")
 
     def do_memory_relate(self, agent, a, b, kind, *args):
-        edge = self.rows([(a, b, kind, float(options(args, "WEIGHT").get("WEIGHT", 1)))], SCHEMAS["edges"])
-        self.tables["edges"] = self.tables["edges"].unionByName(edge)
-        return edge
+        return self._link(a, b, kind, float(options(args, "WEIGHT").get("WEIGHT", 1)))
 
     def do_memory_context(self, agent, id_, *args):
-        return vector.context(self.tables["memories"], self.tables["edges"], self.rows([(agent, id_)], "agent string, id string"), int(options(args, "DEPTH").get("DEPTH", 2))).drop("center").orderBy("depth", "id")
+        o = options(args, "DEPTH", "TYPES")
+        center = self.rows([(agent, id_)], "agent string, id string")
+        found = vector.context(self.memories, self.tables["edges"], center, int(o.get("DEPTH", 2)), o["TYPES"].split(",") if "TYPES" in o else None)
+        about = self.memories.where(F.col("agent") == agent).select("id", "text", "type")
+        return found.drop("center").join(about, "id").orderBy("depth", "id")
 
     def do_memory_decay(self, agent, *args):
         limit = float(options(args, "PRUNE").get("PRUNE", 0))
@@ -387,8 +587,8 @@ class Engine:
         return out
 
     def do_memory_list(self, agent, *args):
-        o = options(args, "TYPE", "LIMIT", "SORT")
-        return vector.memory_list(self.tables["memories"].where(F.col("agent") == agent), self.now_ms // 1000, o.get("SORT", "recency").lower(), o.get("TYPE"), int(o.get("LIMIT", 10))).drop("agent").orderBy("rank")
+        o = options(args, "TYPE", "LIMIT", "SORT", "TAG")
+        return vector.memory_list(self.memories.where(F.col("agent") == agent), self.now_ms // 1000, o.get("SORT", "recency").lower(), o.get("TYPE"), int(o.get("LIMIT", 10)), o.get("TAG")).drop("agent").orderBy("rank")
 
     def do_memory_get(self, agent, id_):
         key = self.rows([(agent, id_)], "agent string, id string")
@@ -396,5 +596,6 @@ class Engine:
         return self.tables["memories"].join(key, ["agent", "id"], "left_semi")
 
     def do_memory_del(self, agent, id_):
+        n = self.memories.where((F.col("agent") == agent) & (F.col("id") == id_)).count()
         self.tables["memories"] = self.tables["memories"].where(~((F.col("agent") == agent) & (F.col("id") == id_)))
-        return self.one(ok=True)
+        return self.one(n=n)

@@ -1,7 +1,7 @@
 """Lists, hashes, sets and sorted sets, in long form.
 
 lists(db, key, pos, value), pos from 0; hashes(db, key, field, value); sets(db, key, member); zsets(db, key, member, score). Keys group the rows; no operator
-gathers a key's rows in one value, so a key may be of any size.
+gathers a key's rows in one value, and places and ranks are counted range by range, so a key may be of any size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import slice_bounds
+from orrery.operators.ranks import ranked, running
 
 KEY = ("db", "key")
 
@@ -24,8 +25,8 @@ def lists_from_pushes(log: DataFrame) -> DataFrame:
     at = F.posexplode(F.slice("args", 2, 1 << 30)).alias("i", "value")
     rows = log.where(F.col("cmd").isin("LPUSH", "RPUSH") & (F.size("args") > 1)).select("seq", "db", F.col("args")[0].alias("key"), "cmd", at)
     rows = rows.withColumn("side", F.when(F.col("cmd") == "LPUSH", -1).otherwise(1))
-    order = Window.partitionBy(*KEY).orderBy("side", F.col("seq") * F.col("side"), F.col("i") * F.col("side"))
-    return rows.select("db", "key", (F.row_number().over(order) - 1).cast("long").alias("pos"), "value")
+    rows = rows.select("db", "key", "side", (F.col("seq") * F.col("side")).alias("first"), (F.col("i") * F.col("side")).alias("then"), "value")
+    return ranked(rows, list(KEY), [F.col("side"), F.col("first"), F.col("then")], "pos").select("db", "key", "pos", "value")
 
 
 def list_length(lists: DataFrame) -> DataFrame:
@@ -67,10 +68,12 @@ def list_set(lists: DataFrame, i: int, value: str) -> DataFrame:
 def list_remove(lists: DataFrame, value: str, count: int = 0) -> DataFrame:
     """lists without equal values: all for 0, the first or last |count| otherwise."""
     match = F.col("value").eqNullSafe(F.lit(value))
-    seen = F.count_if(match).over(Window.partitionBy(*KEY).orderBy(F.col("pos") if count >= 0 else F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
-    gone = match if count == 0 else match & (seen <= abs(count))
-    kept = lists.withColumn("gone", gone).where("NOT gone")
-    return kept.select(*KEY, (F.row_number().over(Window.partitionBy(*KEY).orderBy("pos")) - 1).cast("long").alias("pos"), "value")
+    if count == 0:
+        kept = lists.where(~match)
+    else:
+        seen = running(lists, list(KEY), [F.col("pos") if count > 0 else F.desc("pos")], match.cast("long"), "seen")
+        kept = seen.where(~(match & (F.col("seen") <= abs(count))))
+    return ranked(kept.select(*KEY, F.col("pos").alias("old"), "value"), list(KEY), [F.col("old")], "pos").select(*KEY, "pos", "value")
 
 
 # -- hashes ---------------------------------------------------------------------------------------------------------------------
@@ -153,7 +156,7 @@ def zset_remove(zsets: DataFrame, gone: DataFrame) -> DataFrame:
 
 def zset_rank(zsets: DataFrame) -> DataFrame:
     """(db, key, member, score, rank): rank from 0 by score, then member."""
-    return zsets.select(*KEY, "member", "score", (F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "member")) - 1).cast("long").alias("rank"))
+    return ranked(zsets.select(*KEY, "member", "score"), list(KEY), [F.col("score"), F.col("member")])
 
 
 def zset_range(zsets: DataFrame, start: int, stop: int) -> DataFrame:

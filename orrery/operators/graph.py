@@ -1,20 +1,23 @@
-"""Typed property-graph operators: nodes(key, type, ...), edges(src, dst, type, weight, ...).
+"""Typed property-graph operators: nodes(key, type, ...), edges(src, dst, type, weight, ...). Edges may have an edge_id and string properties (map column props).
 
-Expansions run level by level in a driver loop; each level is one join of the frontier with the edges, and only frontiers and
-visited nodes, never edges, are written between levels. All of them take many seeds at once.
+Expansions run level by level in a driver loop. Edges are read and cut to the columns that are walked once; each level is one join of the frontier with them, in which the frontier is broadcast
+while its count is within MAX_FRONTIER, so that the edges stay where they are, and dealt by key beyond. Only frontiers and visited nodes are written between levels. All of them take many
+seeds at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.session import settled
 
 UNKNOWN = "unknown"
+#: Rows of a frontier up to which it is broadcast; longer ones are joined by shuffle.
+MAX_FRONTIER = 200_000
 
 
 def directed(edges: DataFrame, direction: str = "OUT") -> DataFrame:
@@ -36,14 +39,20 @@ def _of_types(edges: DataFrame, types: Sequence[str] | None) -> DataFrame:
 
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """nodes with those of new whose key isn't taken; of equal new keys the least row stays."""
-    fresh = new.join(nodes.select("key"), "key", "left_anti").groupBy("key").agg(F.min(F.struct(*(c for c in nodes.columns if c != "key"))).alias("r")).select("key", "r.*")
+    rest = [c for c in nodes.columns if c != "key"]
+    # Maps have no order; their sorted entries do.
+    order = F.struct(*(F.array_sort(F.map_entries(c)).alias(c) if isinstance(nodes.schema[c].dataType, T.MapType) else F.col(c) for c in rest))
+    fresh = new.join(nodes.select("key"), "key", "left_anti").groupBy("key").agg(F.min_by(F.struct(*rest), order).alias("r")).select("key", "r.*")
     return nodes.unionByName(fresh.select(*nodes.columns))
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Create or keep: a node keeps its type; string properties (map column props) are merged, new values winning."""
-    both = nodes.select("key", "type", "props", F.lit(0).alias("late")).unionByName(new.select("key", "type", "props", F.lit(1).alias("late")))
-    merged = both.groupBy("key").agg(F.min_by("type", "late").alias("type"), F.sort_array(F.collect_list(F.struct("late", F.map_entries("props").alias("e")))).alias("all"))
+    """Create or keep: a node keeps its type; string properties (map column props) are merged, new values winning. Of several new rows of a key the first gives the type and the last a property:
+    by column seq if there is one, then by type and properties."""
+    seq = F.col("seq").cast("long") if "seq" in new.columns else F.lit(0).cast("long")
+    both = nodes.select("key", "type", "props", F.lit(-1).cast("long").alias("late"), F.lit(0).cast("long").alias("seq")).unionByName(new.select("key", "type", "props", F.lit(1).cast("long").alias("late"), seq.alias("seq")))
+    said = F.struct("late", "seq", "type", F.array_sort(F.map_entries("props")).alias("e"))
+    merged = both.groupBy("key").agg(F.min(said)["type"].alias("type"), F.sort_array(F.collect_list(said)).alias("all"))
     entries = F.flatten(F.transform("all", lambda x: F.coalesce(x["e"], F.array().cast("array<struct<key:string,value:string>>"))))
     return merged.select("key", "type", F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"]))).alias("props"))
 
@@ -57,18 +66,62 @@ def set_property(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     return nodes.join(last, "key", "left").withColumn("props", F.map_concat(kept, new)).drop("new")
 
 
+def numbered(new: DataFrame, edges: DataFrame) -> DataFrame:
+    """new edges with the ids that they lack, on from the largest there is; spread over tasks, so ids may have gaps. Missing properties are empty."""
+    if "edge_id" in edges.columns:
+        least = (edges.agg(F.max("edge_id")).first()[0] or 0) + 1
+        own = F.lit(least) + F.monotonically_increasing_id()
+        new = new.withColumn("edge_id", F.coalesce("edge_id", own) if "edge_id" in new.columns else own)
+    if "props" in edges.columns:
+        none = F.create_map().cast("map<string,string>")
+        new = new.withColumn("props", F.coalesce("props", none) if "props" in new.columns else none)
+    return new
+
+
 def add_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges with those of new whose ends both exist. A weight that isn't a number is 1.0; parallel edges are allowed."""
+    """edges with those of new whose ends both exist (see unknown_ends() for the others). A weight that isn't a number is 1.0; parallel edges are allowed."""
     known = new.join(nodes.select(F.col("key").alias("src")), "src", "left_semi").join(nodes.select(F.col("key").alias("dst")), "dst", "left_semi")
-    return edges.select("src", "dst", "type", "weight").unionByName(known.select("src", "dst", "type", F.coalesce(F.expr("try_cast(weight AS double)"), F.lit(1.0)).alias("weight")))
+    fresh = numbered(known.withColumn("weight", F.coalesce(F.expr("try_cast(weight AS double)"), F.lit(1.0))), edges)
+    return edges.unionByName(fresh.select(*edges.columns))
+
+
+def unknown_ends(new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges of new that add_edges() refuses, as an end isn't a node."""
+    ends = nodes.select("key")
+    found = new.join(ends.withColumnRenamed("key", "src"), "src", "left_semi").join(ends.withColumnRenamed("key", "dst"), "dst", "left_semi")
+    return new.exceptAll(found.select(*new.columns))
+
+
+def _merged(old, new):
+    """Properties with new ones, which win."""
+    empty = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce(old, empty), F.coalesce(new, empty)
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
 
 
 def upsert_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after upserts (src, dst, type): missing ends become nodes of type unknown; an edge with the same ends and type is kept."""
+    """Nodes and edges after upserts (src, dst, type; maybe props, of which the least row's count where a link repeats): missing ends become nodes of type unknown; an edge with the same ends and
+    type is kept, with its weight, and takes new properties over."""
     ends = new.select(F.explode(F.array("src", "dst")).alias("key")).distinct().join(nodes.select("key"), "key", "left_anti")
     blank = [F.lit(UNKNOWN).alias("type") if f.name == "type" else F.lit(None).cast(f.dataType).alias(f.name) for f in nodes.schema.fields if f.name != "key"]
-    fresh = new.select("src", "dst", "type").distinct().join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
-    return nodes.unionByName(ends.select("key", *blank)), edges.select("src", "dst", "type", "weight").unionByName(fresh.withColumn("weight", F.lit(1.0)))
+    link = ["src", "dst", "type"]
+    said = "props" in edges.columns and "props" in new.columns
+    if said:
+        once = new.groupBy(*link).agg(F.min_by("props", F.to_json("props")).alias("new_props"))
+    else:
+        once = new.select(*link).distinct()
+    fresh = once.join(edges.select(*link), link, "left_anti").withColumn("weight", F.lit(1.0))
+    fresh = numbered(fresh.withColumnRenamed("new_props", "props") if said else fresh, edges)
+    kept = edges
+    if said:
+        kept = edges.join(once, link, "left").withColumn("props", _merged(F.col("props"), F.col("new_props"))).select(*edges.columns)
+    return nodes.unionByName(ends.select("key", *blank)), kept.unionByName(fresh.select(*edges.columns))
+
+
+def set_edge_property(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """Properties (edge_id, prop, value, seq) of edges written in order; the last write of each wins. Changes of unknown edges are dropped."""
+    last = changes.groupBy("edge_id", "prop").agg(F.max_by("value", "seq").alias("value")).groupBy("edge_id").agg(F.map_from_entries(F.collect_list(F.struct("prop", "value"))).alias("new_props"))
+    return edges.join(last, "edge_id", "left").withColumn("props", _merged(F.col("props"), F.col("new_props"))).select(*edges.columns)
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,20 +137,24 @@ def delete_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 INGEST = T.StructType([
     T.StructField("nodes", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("id", "node_type", "type")] + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]))),
-    T.StructField("edges", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("from_id", "from", "to_id", "to", "edge_type", "type")]))),
+    T.StructField("edges", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("from_id", "from", "to_id", "to", "edge_type", "type")] + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]))),
 ])
 
 
 def ingest(nodes: DataFrame, edges: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after JSON payloads (column json) in both spellings of their fields. Items without an id, type or end are skipped."""
-    read = payloads.select(F.from_json("json", INGEST).alias("j"), F.get_json_object("json", "$.nodes").alias("raw"))
-    # Only metadata that are strings in the JSON count; from_json would turn numbers to strings, so their raw text is looked at.
-    found = read.select(F.posexplode("j.nodes").alias("i", "n"), "raw")
-    text = F.from_json("raw", "array<struct<metadata:map<string,variant>>>")
-    is_text = lambda k: F.coalesce(F.schema_of_variant(F.element_at(F.get(text, F.col("i"))["metadata"], k)) == "STRING", F.lit(False))
-    props = F.map_filter(F.coalesce("n.metadata", F.create_map().cast("map<string,string>")), lambda k, _: is_text(k))
-    new_nodes = found.select(F.col("n.id").alias("key"), F.coalesce("n.node_type", "n.type").alias("type"), props.alias("props")).where("key IS NOT NULL AND type IS NOT NULL")
-    new_edges = read.select(F.explode("j.edges").alias("e")).select(F.coalesce("e.from_id", "e.from").alias("src"), F.coalesce("e.to_id", "e.to").alias("dst"), F.coalesce("e.edge_type", "e.type").alias("type")).where("src IS NOT NULL AND dst IS NOT NULL AND type IS NOT NULL")
+    read = payloads.select(F.from_json("json", INGEST).alias("j"), F.get_json_object("json", "$.nodes").alias("raw_nodes"), F.get_json_object("json", "$.edges").alias("raw_edges"))
+
+    def strings(metadata: str, raw: str):
+        # Only metadata that are strings in the JSON count; from_json would turn numbers to strings, so their raw text is looked at.
+        text = F.from_json(raw, "array<struct<metadata:map<string,variant>>>")
+        is_text = lambda k: F.coalesce(F.schema_of_variant(F.element_at(F.get(text, F.col("i"))["metadata"], k)) == "STRING", F.lit(False))
+        return F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, _: is_text(k)).alias("props")
+
+    found = read.select(F.posexplode("j.nodes").alias("i", "n"), "raw_nodes")
+    new_nodes = found.select(F.col("n.id").alias("key"), F.coalesce("n.node_type", "n.type").alias("type"), strings("n.metadata", "raw_nodes")).where("key IS NOT NULL AND type IS NOT NULL")
+    linked = read.select(F.posexplode("j.edges").alias("i", "e"), "raw_edges")
+    new_edges = linked.select(F.coalesce("e.from_id", "e.from").alias("src"), F.coalesce("e.to_id", "e.to").alias("dst"), F.coalesce("e.edge_type", "e.type").alias("type"), strings("e.metadata", "raw_edges")).where("src IS NOT NULL AND dst IS NOT NULL AND type IS NOT NULL")
     return upsert_edges(upsert_nodes(nodes, new_nodes), edges, new_edges)
 
 
@@ -121,27 +178,38 @@ def neighbors(nodes: DataFrame, edges: DataFrame, keys: DataFrame, direction: st
     return walked.join(nodes.select("key", "type"), "key").select("seed", "key", "type")
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 10, direction: str = "OUT", edge_types: Sequence[str] | None = None, node_type: str | None = None, strict_compat: bool = False) -> DataFrame:
+def _near(frontier: DataFrame) -> DataFrame:
+    """A written frontier, marked for broadcast if its count is within MAX_FRONTIER."""
+    return F.broadcast(frontier) if frontier.count() <= MAX_FRONTIER else frontier
+
+
+def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 10, direction: str = "OUT", edge_types: Sequence[str] | None = None, node_type: str | None = None, strict_compat: bool = False, limit: int | None = None) -> DataFrame:
     """(seed, key, type, depth): breadth-first expansion of each seed (column key), every node once at its least depth.
 
     node_type prunes: other nodes are neither returned nor expanded; seeds are exempt. An unknown node_type matches nothing, unless
-    strict_compat, which then doesn't filter.
+    strict_compat, which then doesn't filter. limit: the first rows by seed, depth and key; the expansion stops at the level that fills it for every seed.
     """
     if node_type is not None and strict_compat and nodes.where(F.col("type") == node_type).isEmpty():
         node_type = None
-    walked = _of_types(directed(edges, direction), edge_types).select("src", "dst").distinct()
+    walked = _of_types(directed(edges, direction), edge_types).select("src", "dst")
     allowed = nodes.select("key", "type")
-    seen = settled(seeds.select("key").distinct().join(allowed, "key").select(F.col("key").alias("seed"), "key", "type", F.lit(0).alias("depth")))
+    start = _near(settled(seeds.select("key").distinct()))
+    seen = settled(allowed.join(start, "key").select(F.col("key").alias("seed"), "key", "type", F.lit(0).alias("depth")))
     if node_type is not None:
         allowed = allowed.where(F.col("type") == node_type)
     frontier = seen
     for level in range(1, depth + 1):
-        reached = frontier.select("seed", F.col("key").alias("src")).join(walked, "src").select("seed", F.col("dst").alias("key")).distinct()
-        frontier = settled(reached.join(seen.select("seed", "key"), ["seed", "key"], "left_anti").join(allowed, "key").select("seed", "key", "type", F.lit(level).alias("depth")))
+        reached = walked.join(_near(frontier.select("seed", F.col("key").alias("src"))), "src").select("seed", F.col("dst").alias("key")).distinct()
+        new = reached.join(seen.select("seed", "key"), ["seed", "key"], "left_anti")
+        frontier = settled(new.join(allowed, "key").select("seed", "key", "type", F.lit(level).alias("depth")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen
+        if limit is not None and seen.groupBy("seed").count().where(F.col("count") < limit).isEmpty():
+            break
+    if limit is None:
+        return seen
+    return seen.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "key"))).where(F.col("rank") <= limit).drop("rank")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 10, edge_types: Sequence[str] | None = None, node_types: Sequence[str] | None = None) -> DataFrame:
@@ -152,51 +220,90 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 10
     return found.groupingSets([["seed", "type"], ["seed"]], "seed", "type").agg(F.count("*").alias("cnt"), F.grouping("type").alias("g")).select("seed", F.when(F.col("g") == 1, F.lit("total")).otherwise(F.col("type")).alias("type"), "cnt")
 
 
+def _ways(steps: DataFrame, ends: DataFrame) -> DataFrame:
+    """Paths of ends (source, target, key) back to their sources, by steps (source, key, before), written once for all rounds: (source, target, way), from the source to key."""
+    way = settled(ends.select("source", "target", F.col("key").alias("at"), F.array("key").alias("way")))
+    done = None
+    while not way.isEmpty():
+        home = way.where("at = source").select("source", "target", "way")
+        done = home if done is None else done.unionByName(home)
+        back = steps.select("source", F.col("key").alias("at"), "before")
+        way = settled(back.join(_near(way.where("at <> source")), ["source", "at"]).select("source", "target", F.col("before").alias("at"), F.concat(F.array("before"), "way").alias("way")))
+    return done if done is not None else way.select("source", "target", "way")
+
+
 def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_depth: int = 20) -> DataFrame:
     """(source, target, hops, path): an undirected path of fewest edges for each pair (source, target) that has one of up to max_depth; of equal ones
-    that whose predecessors have the least keys."""
-    walked = directed(edges, "BOTH").select("src", "dst").distinct()
-    asked = settled(pairs.select("source", "target").distinct().join(nodes.select(F.col("key").alias("source")), "source", "left_semi").join(nodes.select(F.col("key").alias("target")), "target", "left_semi"))
-    seen = settled(asked.select("source", F.col("source").alias("key"), F.array("source").alias("path")).distinct())
-    frontier, found = seen, None
-    for level in range(max_depth + 1):
-        hits = frontier.join(asked.withColumnRenamed("target", "key"), ["source", "key"]).select("source", F.col("key").alias("target"), F.lit(level).alias("hops"), "path")
-        found = settled(hits if found is None else found.unionByName(hits))
-        open_ = asked.join(found.select("source", "target"), ["source", "target"], "left_anti").select("source").distinct()
-        if level == max_depth or open_.isEmpty():
+    the middle and then each step is the node with the least key.
+
+    The search goes from both ends, for all pairs at once, one level of all sources and then one of all targets, until the levels meet; each visited node is kept with the one before it, and
+    paths are put together at the end.
+    """
+    walked = directed(edges, "BOTH").select("src", "dst")
+    ends = settled(pairs.select("source", "target").distinct())
+    asked = settled(ends.join(nodes.select(F.col("key").alias("source")), "source", "left_semi").join(nodes.select(F.col("key").alias("target")), "target", "left_semi"))
+    start = lambda c: settled(asked.select(F.col(c).alias("source")).distinct().select("source", F.col("source").alias("key"), F.lit(None).cast("string").alias("before"), F.lit(0).alias("level")))
+    seen, levels = [start("source"), start("target")], [0, 0]
+    frontier, found, open_, side = list(seen), None, asked, 0
+    while True:
+        # Pairs whose sides have a node in common: a new one of the side that has grown, so the way over it is the shortest.
+        own, other = ("source", "target") if side == 0 else ("target", "source")
+        one = frontier[side].select(F.col("source").alias(own), "key", F.col("level").alias("a"))
+        two = seen[1 - side].select(F.col("source").alias(other), "key", F.col("level").alias("b"))
+        met = one.join(_near(open_), own).join(two, [other, "key"]).groupBy("source", "target").agg(F.min(F.struct((F.col("a") + F.col("b")).alias("hops"), "key")).alias("m"))
+        hits = settled(met.select("source", "target", "m.hops", F.col("m.key").alias("key")))
+        found = hits if found is None else found.unionByName(hits)
+        open_ = settled(open_.join(hits, ["source", "target"], "left_anti"))
+        if sum(levels) >= max_depth or open_.isEmpty():
             break
-        step = frontier.join(open_, "source", "left_semi").withColumnRenamed("key", "src").join(walked, "src")
-        new = step.join(seen.select("source", F.col("key").alias("dst")), ["source", "dst"], "left_anti").groupBy("source", F.col("dst").alias("key")).agg(F.min("path").alias("before"))
-        frontier = settled(new.select("source", "key", F.concat("before", F.array("key")).alias("path")))
-        if frontier.isEmpty():
+        side = 0 if levels[0] <= levels[1] else 1
+        still = settled(open_.select(F.col(("source", "target")[side]).alias("source")).distinct())
+        step = settled(frontier[side].join(_near(still), "source", "left_semi").select("source", F.col("key").alias("src")))
+        reached = walked.join(_near(step), "src").groupBy("source", F.col("dst").alias("key")).agg(F.min("src").alias("before"))
+        levels[side] += 1
+        frontier[side] = settled(reached.join(seen[side].select("source", "key"), ["source", "key"], "left_anti").select("source", "key", "before", F.lit(levels[side]).alias("level")))
+        if frontier[side].isEmpty():  # all that these ends reach was seen, and the other ends weren't among it
             break
-        seen = seen.unionByName(frontier)
-    return found
+        seen[side] = seen[side].unionByName(frontier[side])
+    found = settled(found)
+    to = _ways(seen[0], found).select("source", "target", F.col("way").alias("first"))
+    back = _ways(seen[1].withColumnRenamed("source", "target").select(F.col("target").alias("source"), "key", "before"), found.select(F.col("target").alias("source"), F.col("source").alias("target"), "key"))
+    back = back.select(F.col("target").alias("source"), F.col("source").alias("target"), F.reverse("way").alias("second"))
+    return found.join(to, ["source", "target"]).join(back, ["source", "target"]).select("source", "target", "hops", F.concat("first", F.slice("second", 2, 1 << 30)).alias("path"))
 
 
 def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(source, target, weight, path): a directed path of least total weight for each pair; weights must not be negative. Rounds of relaxation, which
-    drop what can't beat the target's best so far, until nothing gets better; if max_rounds are given and don't suffice, that is an error."""
+    drop what can't beat the target's best so far, until nothing gets better; if max_rounds are given and don't suffice, that is an error. Each node is kept with the one before it
+    (of equal ways the least), and paths are put together at the end."""
     walked = directed(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    if walked.where("weight < 0").limit(1).count():
+    if edges.where("weight < 0").limit(1).count():
         raise ValueError("weights must not be negative")
+    walked = settled(walked)
     asked = settled(pairs.select("source", "target").distinct().join(nodes.select(F.col("key").alias("source")), "source", "left_semi").join(nodes.select(F.col("key").alias("target")), "target", "left_semi"))
-    best = settled(asked.select("source", F.col("source").alias("key"), F.lit(0.0).alias("weight"), F.array("source").alias("path")).distinct())
-    frontier = best
+    best = settled(asked.select("source").distinct().select("source", F.col("source").alias("key"), F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("before")))
+    wanted = settled(asked.groupBy("source").agg(F.count("*").alias("targets")))
+    few = wanted.count() <= MAX_FRONTIER
+    frontier, bound = best, None
     rounds = 0
-    while not frontier.isEmpty():
+    while (size := frontier.count()) > 0:
         if rounds == max_rounds:
             raise ValueError(f"paths aren't settled after {max_rounds} rounds")
         rounds += 1
-        # Beyond the farthest target known, nothing matters; sources with a target not reached yet have no bound.
-        bound = asked.join(best.select("source", F.col("key").alias("target"), "weight"), ["source", "target"], "left").groupBy("source").agg(F.when(F.count("weight") == F.count("*"), F.max("weight")).alias("bound"))
-        step = frontier.select("source", F.col("key").alias("src"), F.col("weight").alias("so_far"), "path").join(walked, "src").select("source", F.col("dst").alias("key"), (F.col("so_far") + F.col("weight")).alias("weight"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.join(bound, "source").where("bound IS NULL OR weight <= bound").drop("bound")
-        least = step.groupBy("source", "key").agg(F.min(F.struct("weight", "path")).alias("new")).select("source", "key", "new.*")
+        near = frontier.select("source", F.col("key").alias("src"), F.col("weight").alias("so_far"))
+        step = walked.join(F.broadcast(near) if size <= MAX_FRONTIER else near, "src").select("source", F.col("dst").alias("key"), (F.col("so_far") + F.col("weight")).alias("weight"), F.col("src").alias("before"))
+        if bound is not None:
+            step = step.join(F.broadcast(bound), "source", "left").where("bound IS NULL OR weight <= bound").drop("bound")
+        least = step.groupBy("source", "key").agg(F.min(F.struct("weight", "before")).alias("new")).select("source", "key", "new.*")
         old = best.select("source", "key", F.col("weight").alias("old"))
         frontier = settled(least.join(old, ["source", "key"], "left").where("old IS NULL OR weight < old").drop("old"))
         best = settled(best.join(frontier.select("source", "key"), ["source", "key"], "left_anti").unionByName(frontier))
-    return asked.join(best.withColumnRenamed("key", "target"), ["source", "target"]).select("source", "target", "weight", "path")
+        # Beyond the farthest target known, nothing matters; sources with a target not reached yet have no bound. A row for each source.
+        reached = best.join(asked.select("source", F.col("target").alias("key")), ["source", "key"]).groupBy("source").agg(F.count("*").alias("n"), F.max("weight").alias("bound"))
+        bound = settled(wanted.join(reached, "source").where("n = targets").select("source", "bound")) if few else None
+    ends = settled(asked.join(best.select("source", F.col("key").alias("target"), "weight"), ["source", "target"]))
+    ways = _ways(best, ends.select("source", "target", F.col("target").alias("key")))
+    return ends.join(ways, ["source", "target"]).select("source", "target", "weight", F.col("way").alias("path"))
 
 
 def paths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, target_type: str, depth: int = 10, edge_types: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:

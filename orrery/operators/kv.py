@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import glob_match, live
+from orrery.operators.ranks import running
 
 #: Commands that set or delete a value whatever it was, and those that depend on it, by themselves or through a flush. Fixed values.
 OUTRIGHT = ("SET", "SETEX", "PSETEX", "GETSET", "DEL", "GETDEL", "UNLINK")
@@ -333,8 +334,7 @@ def set_all_if_none(state: DataFrame, pairs: DataFrame, now_ms: int) -> DataFram
 def evict(state: DataFrame, accessed: DataFrame, budget: int, overhead: int = 56) -> DataFrame:
     """state cut to the keys last accessed (db, key, last_access_ms), whose sizes add up to the budget at most, database by database."""
     sized = state.join(accessed, ["db", "key"], "left").withColumn("bytes", F.octet_length("key") + F.octet_length("value") + overhead)
-    running = F.sum("bytes").over(Window.partitionBy("db").orderBy(F.desc_nulls_last("last_access_ms"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("running", running).where(F.col("running") <= budget).select("db", "key", "value", "expires_at_ms")
+    return running(sized, ["db"], [F.desc_nulls_last("last_access_ms"), F.col("key")], F.col("bytes").cast("long"), "running").where(F.col("running") <= budget).select("db", "key", "value", "expires_at_ms")
 
 
 def memory_usage(state: DataFrame, now_ms: int, overhead: int = 56) -> DataFrame:

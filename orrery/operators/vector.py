@@ -1,7 +1,7 @@
 """Vector operators: exact cosine search, search followed by graph expansion, the response cache, and ranked memories.
 
-Queries are cut to blocks of MAX_QUERIES, each of which is sent to all executors. Each batch of data keeps the best k of its rows for each query, so
-that only k rows a query and batch are shuffled.
+Queries are cut to blocks of BLOCK_BYTES, each of which is sent to all executors and costs one scan of the data. Each batch of data is multiplied with MAX_QUERIES of them at a time and keeps the best k of
+its rows for each query, so that only k rows a query and batch are shuffled.
 """
 
 from __future__ import annotations
@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import composite, cosine, frequency, normalize, recency
-from orrery.operators.graph import traverse
+from orrery.operators.graph import directed, traverse
 
-MAX_QUERIES = 1024
+#: Queries in one matrix product, and bytes of queries that are sent along at once.
+MAX_QUERIES, BLOCK_BYTES = 1024, 64 << 20
 
 
 def set_vectors(vectors: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """vectors(key, field, vec) after writes to existing nodes, stored as unit vectors; a vector whose length differs from its field's raises an error when read."""
-    size = vectors.groupBy("field").agg(F.max(F.size("vec")).alias("dim"))
+    # The first writes of a field must agree with each other: the least key's length counts.
+    first = new.join(nodes.select("key"), "key", "left_semi").groupBy("field").agg(F.min_by(F.size("vec"), "key").alias("new_dim"))
+    size = vectors.groupBy("field").agg(F.max(F.size("vec")).alias("dim")).join(first, "field", "full").select("field", F.coalesce("dim", "new_dim").alias("dim"))
     known = new.join(nodes.select("key"), "key", "left_semi").join(size, "field", "left")
     checked = F.when(F.col("dim").isNull() | (F.size("vec") == F.col("dim")), normalize(F.col("vec"))).otherwise(F.raise_error(F.lit("dimension mismatch")).cast("array<double>"))
     fresh = known.select("key", "field", checked.alias("vec"))
@@ -51,39 +54,42 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 4) -> DataFrame:
-    """(query, key, score, rank): the k nearest by cosine, rounded, ties to the lower key. queries: (query, vec); vectors: (key, vec).
+    """(query, key, score, rank): the k nearest by cosine, rounded, ties to the lower key. queries: (query, vec); vectors: (key, vec). Null vectors take no part.
 
-    A block of queries is a matrix of bounded size on every executor; each batch of vectors is one matrix product, of which k rows a query go on.
+    A block of queries is a matrix of bounded size on every executor; each batch of vectors is one matrix product for MAX_QUERIES of them, of which k rows a query go on.
     """
     kinds = dict(queries.dtypes) | {"key": dict(vectors.dtypes)["key"]}
     schema = f"query {kinds['query']}, key {kinds['key']}, score double"
-    n = max(1, -(-queries.count() // MAX_QUERIES))
+    asking = queries.where("vec IS NOT NULL").select("query", F.col("vec").cast("array<double>").alias("vec"))
+    count, least, most = asking.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if not count:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    if least != most:
+        raise ValueError("dimension mismatch")
+    n = -(-count // max(1, BLOCK_BYTES // (8 * max(1, most))))
     partial = []
     for part in range(n):
-        block = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == part)
-        asked = block.select("query", F.col("vec").cast("array<double>").alias("vec")).collect()  # about MAX_QUERIES rows
+        block = asking if n == 1 else asking.where(F.pmod(F.xxhash64("query"), F.lit(n)) == part)
+        asked = block.collect()  # about BLOCK_BYTES
         if not asked:
             continue
-        if len({len(r["vec"]) for r in asked}) > 1:
-            raise ValueError("dimension mismatch")
-        shared = queries.sparkSession.sparkContext.broadcast(([r["query"] for r in asked], _unit(np.array([r["vec"] for r in asked], float))))
+        shared = queries.sparkSession.sparkContext.broadcast(([r["query"] for r in asked], _unit(np.array([r["vec"] for r in asked], float).reshape(len(asked), most))))
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             for b in batches:
                 if not b.num_rows:
                     continue
-                keys = np.array(b.column("key").to_pylist(), object)
-                scores = np.round(matrix @ _unit(_rows(b.column("vec"), matrix.shape[1])).T, digits) + 0.0
-                found: list[tuple] = []
-                for name, row in zip(names, scores, strict=True):
-                    at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    found += [(name, key, float(s)) for s, key in sorted(((row[i], keys[i]) for i in at), key=lambda x: (-x[0], x[1]))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["query", "key", "score"])
-
-        partial.append(vectors.select("key", "vec").mapInArrow(best, schema))
-    if not partial:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+                keys, rows = np.array(b.column("key").to_pylist(), object), _unit(_rows(b.column("vec"), matrix.shape[1])).T
+                for first in range(0, len(names), MAX_QUERIES):
+                    scores = np.round(matrix[first : first + MAX_QUERIES] @ rows, digits) + 0.0
+                    found: list[tuple] = []
+                    for name, row in zip(names[first : first + MAX_QUERIES], scores, strict=True):
+                        at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                        found += [(name, key, float(s)) for s, key in sorted(((row[i], keys[i]) for i in at), key=lambda x: (-x[0], x[1]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["query", "key", "score"])
+
+        partial.append(vectors.where("vec IS NOT NULL").select("key", "vec").mapInArrow(best, schema))
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return reduce(DataFrame.unionByName, partial).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
@@ -129,12 +135,21 @@ def cache_stats(cache: DataFrame, queries: DataFrame, now_ms: int, threshold: fl
 # -- memories: (agent, id, text, type, importance, created_at, access_count, halflife, vec, ...) -----------------------------------
 
 
-def memory_store(memories: DataFrame, new: DataFrame) -> DataFrame:
-    """memories after stores (with seq; id may be null): a missing id becomes mem:<agent>:<n> with the agent's own counter; an id that exists is overwritten."""
+def named_memories(memories: DataFrame, new: DataFrame) -> DataFrame:
+    """new, with a missing id as mem:<agent>:<n>, on from the largest n that the agent has."""
+    number = F.regexp_extract("id", r"^mem:.*:([0-9]{1,18})$", 1)
+    used = memories.where(F.startswith(F.col("id"), F.concat(F.lit("mem:"), F.col("agent"), F.lit(":"))) & (number != "")).groupBy("agent").agg(F.max(number.cast("long")).alias("used"))
     counter = F.row_number().over(Window.partitionBy("agent", F.col("id").isNull()).orderBy("seq"))
-    named = new.withColumn("id", F.coalesce("id", F.concat(F.lit("mem:"), "agent", F.lit(":"), counter.cast("string"))))
+    count = F.when(F.col("id").isNull(), counter)
+    named = new.withColumn("count", count).join(used, "agent", "left")
+    own = F.concat(F.lit("mem:"), "agent", F.lit(":"), (F.col("count") + F.coalesce("used", F.lit(0))).cast("string"))
+    return named.withColumn("id", F.coalesce("id", own)).select(*new.columns)
+
+
+def memory_store(memories: DataFrame, new: DataFrame) -> DataFrame:
+    """memories after stores (with seq; id may be null): a missing id becomes mem:<agent>:<n>, counting on from the agent's largest; an id that exists is overwritten."""
     rest = [c for c in memories.columns if c not in ("agent", "id")]
-    last = named.groupBy("agent", "id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("agent", "id", "r.*")
+    last = named_memories(memories, new).groupBy("agent", "id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("agent", "id", "r.*")
     return memories.join(last.select("agent", "id"), ["agent", "id"], "left_anti").unionByName(last.select(*memories.columns))
 
 
@@ -143,9 +158,9 @@ def retention(now: int):
     return composite(F.lit(1.0), recency(F.col("created_at"), F.col("halflife"), now), F.col("importance"), frequency(F.col("access_count")))
 
 
-def recall(memories: DataFrame, queries: DataFrame, now: int, limit: int = 10, threshold: float = 0.5, kind: str | None = None, after: int | None = None, before: int | None = None, boost: str | None = None) -> DataFrame:
+def recall(memories: DataFrame, queries: DataFrame, now: int, limit: int = 10, threshold: float = 0.5, kind: str | None = None, after: int | None = None, before: int | None = None, boost: str | None = None, tag: str | None = None) -> DataFrame:
     """(query, agent, id, score, similarity, rank): each query's (query, agent, vec) best memories of its own agent. Filters come before ranking, so no agent starves another."""
-    own = memories
+    own = memories if tag is None else memories.where(F.col("tag") == tag)
     if kind is not None:
         own = own.where(F.col("type") == kind)
     if after is not None:
@@ -161,12 +176,19 @@ def recall(memories: DataFrame, queries: DataFrame, now: int, limit: int = 10, t
 
 
 def context(memories: DataFrame, edges: DataFrame, centers: DataFrame, depth: int = 2, kinds: list[str] | None = None) -> DataFrame:
-    """(center, id, depth): memories linked to each center (agent, id) over links among its own agent's memories, walked both ways."""
+    """(center, id, depth, rel, weight): memories linked to each center (agent, id) over links among its own agent's memories, walked both ways.
+
+    rel and weight are the type and weight of a link that reached the memory first; of several the least type, then weight. They are null for the center.
+    """
     own = memories.select("agent", "id")
     links = edges if kinds is None else edges.where(F.col("type").isin(*kinds))
-    inside = links.join(own.select(F.col("agent").alias("a"), F.col("id").alias("src")), "src").join(own.select(F.col("agent").alias("b"), F.col("id").alias("dst")), "dst").where("a = b")
+    inside = links.join(own.select(F.col("agent").alias("a"), F.col("id").alias("src")), "src").join(own.select(F.col("agent").alias("b"), F.col("id").alias("dst")), "dst").where("a = b").select("src", "dst", "type", "weight")
     nodes = own.select(F.col("id").alias("key"), F.col("agent").alias("type"))
-    return traverse(nodes, inside.select("src", "dst", "type", "weight"), centers.select(F.col("id").alias("key")), depth, "BOTH").select(F.col("seed").alias("center"), F.col("key").alias("id"), "depth")
+    found = traverse(nodes, inside, centers.select(F.col("id").alias("key")), depth, "BOTH").select(F.col("seed").alias("center"), F.col("key").alias("id"), "depth")
+    walked = directed(inside, "BOTH")
+    before = found.select("center", F.col("id").alias("src"), (F.col("depth") + 1).alias("depth"))
+    reached = before.join(walked, "src").select("center", F.col("dst").alias("id"), "depth", F.struct("type", "weight").alias("link")).groupBy("center", "id", "depth").agg(F.min("link").alias("link"))
+    return found.join(reached, ["center", "id", "depth"], "left").select("center", "id", "depth", F.col("link.type").alias("rel"), F.col("link.weight").alias("weight"))
 
 
 def decay(memories: DataFrame, now: int, prune: float) -> DataFrame:
@@ -180,10 +202,11 @@ def pruned(memories: DataFrame, now: int, prune: float) -> DataFrame:
     return memories.where(F.round(retention(now), 6) >= prune)
 
 
-def memory_list(memories: DataFrame, now: int, sort: str = "recency", kind: str | None = None, limit: int = 10) -> DataFrame:
+def memory_list(memories: DataFrame, now: int, sort: str = "recency", kind: str | None = None, limit: int = 10, tag: str | None = None) -> DataFrame:
     """(agent, id, value, rank): each agent's first memories by recency, score or importance, descending."""
     by = {"recency": F.col("created_at").cast("double"), "score": F.round(retention(now), 6), "importance": F.col("importance")}[sort]
     own = memories if kind is None else memories.where(F.col("type") == kind)
+    own = own if tag is None else own.where(F.col("tag") == tag)
     listed = own.select("agent", "id", by.alias("value"))
     return listed.withColumn("rank", F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("value"), "id"))).where(F.col("rank") <= limit)
 

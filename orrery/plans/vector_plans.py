@@ -135,14 +135,21 @@ def memory_list(spark, d):
     return vector.memory_list(memories(spark, d), NOW, "score", "purchase", 4)
 
 
-@register(f"""WITH RECURSIVE {M}, l AS (SELECT agent, id AS src, lead(id) OVER (PARTITION BY agent ORDER BY event_id) AS dst FROM m), w AS (SELECT src, dst FROM l WHERE dst IS NOT NULL UNION SELECT dst, src FROM l WHERE dst IS NOT NULL),
-b(center, id, depth) AS (SELECT id, id, 0 FROM m WHERE event_id < 20 UNION SELECT b.center, w.dst, b.depth + 1 FROM b JOIN w ON w.src = b.id WHERE b.depth < 2) SELECT center, id, min(depth) AS depth FROM b GROUP BY ALL""")
+CONTEXT = f"""WITH RECURSIVE {M}, l AS (SELECT agent, id AS src, lead(id) OVER (PARTITION BY agent ORDER BY event_id) AS dst, CASE WHEN event_id % 2 = 0 THEN 'next' ELSE 'then' END AS type, 1.0::DOUBLE + event_id % 3 AS weight FROM m),
+w AS (SELECT src, dst, type, weight FROM l WHERE dst IS NOT NULL UNION ALL SELECT dst, src, type, weight FROM l WHERE dst IS NOT NULL),
+b(center, id, depth) AS (SELECT id, id, 0 FROM m UNION SELECT b.center, w.dst, b.depth + 1 FROM b JOIN w ON w.src = b.id WHERE b.depth < 2),
+t AS (SELECT center, id, min(depth) AS depth FROM b GROUP BY ALL), f AS (SELECT t.center, w.dst AS id, t.depth + 1 AS depth, min((w.type, w.weight)) AS link FROM t JOIN w ON w.src = t.id GROUP BY ALL)
+SELECT t.center, t.id, t.depth, f.link[1] AS rel, f.link[2] AS weight FROM t LEFT JOIN f USING (center, id, depth)"""
+
+
+@register(CONTEXT)
 def memory_context(spark, d):
     from pyspark.sql import Window
 
     m = memories(spark, d).drop("vec")
-    chain = m.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("agent").orderBy("event_id")).alias("dst")).where("dst IS NOT NULL")
-    return vector.context(m, chain.withColumn("type", F.lit("next")).withColumn("weight", F.lit(1.0)), m.where("event_id < 20").select("agent", "id"), 2)
+    kind, weight = F.when(F.col("event_id") % 2 == 0, "next").otherwise("then"), 1.0 + F.col("event_id") % 3
+    chain = m.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("agent").orderBy("event_id")).alias("dst"), kind.alias("type"), weight.alias("weight")).where("dst IS NOT NULL")
+    return vector.context(m, chain, m.select("agent", "id"), 2)
 
 
 @register("WITH e AS (SELECT 'agent:' || user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type AS type FROM events WHERE event_id < 500) SELECT agent, 'mem:' || agent || ':' || n AS id, type FROM e")

@@ -80,15 +80,6 @@ def memory_recall_filtered_whole(spark, d):
     return vector.recall(memories(spark, d), askers(spark, d), NOW, 3, 0.0, "click", 1704500000, 1706000000, "recency")
 
 
-@register(without("memory_context", (" WHERE event_id < 20", "")))
-def memory_context_whole(spark, d):
-    from pyspark.sql import Window
-
-    m = memories(spark, d).drop("vec")
-    chain = m.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("agent").orderBy("event_id")).alias("dst")).where("dst IS NOT NULL")
-    return vector.context(m, chain.withColumn("type", F.lit("next")).withColumn("weight", F.lit(1.0)), m.select("agent", "id"), 2)
-
-
 @register(without("memory_store", (" WHERE event_id < 500", "")))
 def memory_store_whole(spark, d):
     m = memories(spark, d).select("agent", "id", "type", "event_id")

@@ -12,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -29,11 +30,14 @@ def settled(df: DataFrame) -> DataFrame:
     """df, computed now and written to the shared checkpoint folder, as a frame whose plan is new.
 
     Loops call it once a round: neither the lineage nor what the optimizer infers about columns grows, and a lost executor costs nothing that was done.
-    The folder is the one the session names in spark.checkpoint.dir; only where it names none, one is made.
+    The folder is the one the session names in spark.checkpoint.dir; only a local session that names none gets one of its own, as other machines couldn't read it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     done = df.checkpoint(eager=True)
     return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +11,47 @@ from orrery.functions import live
 from orrery.operators import kv
 
 
+def _folder(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def _markers(spark: SparkSession, path: str, name: str = "tables") -> list[int]:
+    """The numbers of the whole folders name-<number> below path, in whatever store it is."""
+    store, there = _folder(spark, path)
+    if not store.exists(there):
+        return []
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [s.getPath() for s in store.listStatus(there)]
+    return sorted(int(p.getName().rpartition("-")[2]) for p in found if re.fullmatch(rf"{name}-[0-9]+", p.getName()) and store.exists(of(p, "_SUCCESS")))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    store, there = _folder(spark, path)
+    store.delete(there, True)
+
+
 def save_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """Write each table below path. A marker is written last; a folder without it isn't a snapshot."""
+    """Write each table into a new folder below path. A marker that names the folder and its tables is added last, so a save that breaks off leaves the snapshot before it as it was; what the newest
+    marker doesn't name is deleted after it."""
+    spark = next(iter(tables.values())).sparkSession
+    old = _markers(spark, path)
+    number = max(old, default=0) + 1
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    first = next(iter(tables.values()))
-    first.sparkSession.createDataFrame([(n,) for n in sorted(tables)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_tables")
+        df.write.mode("overwrite").parquet(f"{path}/data-{number}/{name}")
+    spark.createDataFrame([(n,) for n in sorted(tables)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/tables-{number}")
+    for n in old:
+        _delete(spark, f"{path}/tables-{n}")
+        _delete(spark, f"{path}/data-{n}")
 
 
 def load_snapshot(spark: SparkSession, path: str, now_ms: int | None = None) -> dict[str, DataFrame]:
     """The tables of a snapshot; entries that expired by now_ms are left out."""
-    tables = {r["name"]: spark.read.parquet(f"{path}/{r['name']}") for r in spark.read.parquet(f"{path}/_tables").collect()}
+    found = _markers(spark, path)
+    if not found:
+        raise ValueError(f"no snapshot in {path}")
+    number = max(found)
+    tables = {r["name"]: spark.read.parquet(f"{path}/data-{number}/{r['name']}") for r in spark.read.parquet(f"{path}/tables-{number}").collect()}
     if now_ms is not None:
         tables = {n: df.where(live(F.col("expires_at_ms"), now_ms)) if "expires_at_ms" in df.columns else df for n, df in tables.items()}
     return tables
@@ -34,6 +66,39 @@ def replay_log(spark: SparkSession, path: str, now_ms: int) -> DataFrame:
     return kv.alive(kv.fold(spark.read.parquet(path)), now_ms)
 
 
+def as_log(state: DataFrame) -> DataFrame:
+    """A log that leaves a state, with each key's time, before all commands of another log."""
+    args = F.when(F.col("expires_at_ms").isNull(), F.array("key", "value")).otherwise(F.array(F.col("key"), F.col("value"), F.lit("PX"), F.col("expires_at_ms").cast("string")))
+    return state.select(F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("ts_ms"), "db", F.lit("SET").alias("cmd"), args.alias("args"))
+
+
+def rewrite(tables: dict[str, DataFrame], now_ms: int) -> DataFrame:
+    """The shortest log (seq, ts_ms, db, cmd, args) that gives the strings, lists, hashes, sets, sorted sets and graph in tables (kv, lists, hashes, sets, zsets, nodes, edges; any may be missing).
+
+    A list is pushed value by value in order; everything else in one command for each entry, in any order, nodes before edges.
+    """
+    command = lambda df, seq, cmd, *args: df.select(seq.cast("long").alias("seq"), F.lit(now_ms).cast("long").alias("ts_ms"), (F.col("db") if "db" in df.columns else F.lit(0)).cast("int").alias("db"), F.lit(cmd).alias("cmd"), F.array(*(F.col(a) if isinstance(a, str) else a for a in args)).alias("args"))
+    some = F.monotonically_increasing_id()
+    late = F.lit(1 << 61) + some
+    made = {
+        "kv": lambda t: compact(t, now_ms),
+        "lists": lambda t: command(t, F.col("pos"), "RPUSH", "key", "value"),
+        "hashes": lambda t: command(t, some, "HSET", "key", "field", "value"),
+        "sets": lambda t: command(t, some, "SADD", "key", "member"),
+        "zsets": lambda t: command(t, some, "ZADD", "key", F.col("score").cast("string"), "member"),
+        "nodes": lambda t: command(t, some, "GRAPH.UPSERT_NODE", "key", "type", F.to_json("props") if "props" in t.columns else F.lit("{}")),
+        "edges": lambda t: command(t, late, "GRAPH.ADDEDGE", "src", "dst", "type", F.col("weight").cast("string")),
+    }
+    out = None
+    for name, make in made.items():
+        if name in tables:
+            rows = make(tables[name]).select("seq", "ts_ms", "db", "cmd", "args")
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError(f"none of {sorted(made)}")
+    return out
+
+
 def compact(state: DataFrame, now_ms: int) -> DataFrame:
     """The shortest log that gives a state: a SET for each live key, with what is left of its time."""
     left = (F.col("expires_at_ms") - now_ms).cast("string")

@@ -8,6 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orrery.functions import glob_match_column
 from orrery.operators import kv
+from orrery.sources import files
+
+#: Letters of a pattern's beginning that messages are dealt by.
+LENGTH = 16
 
 
 def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -18,8 +22,14 @@ def publish(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     exact = subscriptions.where("NOT is_pattern").select("channel", "subscriber").distinct()
     by_name = messages.join(exact, "channel").select("seq", "channel", "subscriber", "payload")
     patterns = subscriptions.where("is_pattern").select(F.col("channel").alias("pattern"), "subscriber").distinct()
-    # Patterns are tested once for each channel's first letters where they have any, else for all messages.
-    by_pattern = messages.join(patterns, glob_match_column(F.col("channel"), F.col("pattern"))).select("seq", "channel", "subscriber", "payload")
+    # A pattern is tested only for channels that begin with the letters before its first * or ?: an equi-join on them, once for each length that there is (LENGTH at most).
+    patterns = patterns.withColumn("begins", F.substring(F.regexp_extract("pattern", r"^([^*?]*)", 1), 1, LENGTH))
+    lengths = [r[0] for r in patterns.select(F.length("begins")).distinct().collect()]  # LENGTH + 1 rows at most
+    begins = F.explode(F.array_distinct(F.array(*(F.substring("channel", 1, n) if n else F.lit("") for n in lengths)))).alias("begins")
+    near = messages.select("seq", "channel", "payload", begins) if lengths else messages.limit(0).select("seq", "channel", "payload", F.lit("").alias("begins"))
+    by_pattern = near.join(patterns, "begins").where(glob_match_column(F.col("channel"), F.col("pattern"))).select("seq", "channel", "subscriber", "payload")
+    if not lengths:
+        return by_name if messages.isStreaming else by_name.distinct()
     both = by_name.unionByName(by_pattern)
     return both if messages.isStreaming else both.distinct()
 
@@ -31,17 +41,28 @@ def receivers(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def fold_stream(log: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Fold a stream of commands to key-value state. Each micro-batch is appended to the log below state_path under its number, so that a repeated batch writes the
-    same folder again, and the state is what replaying these folders gives (see read_stream_state)."""
+    """Fold a stream of commands to key-value state. Each micro-batch runs on the state before it and leaves a new one in a folder of its own number, so that a repeated batch writes
+    the same again; folders before the last two are deleted. A batch costs what the state and the batch hold, however long the log was. seq must grow from batch to batch."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        spark = rows.sparkSession
+        before = [n for n in files._markers(spark, state_path, "state") if n < number]
+        commands = rows.select("seq", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("db").cast("int").alias("db"), "cmd", "args")
+        if before:
+            commands = files.as_log(spark.read.parquet(f"{state_path}/state-{before[-1]}")).unionByName(commands)
+        kv.fold(commands).write.mode("overwrite").parquet(f"{state_path}/state-{number}")
+        for n in before[:-1]:
+            files._delete(spark, f"{state_path}/state-{n}")
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_stream_state(spark, state_path: str, now_ms: int) -> DataFrame:
-    return kv.alive(kv.fold(spark.read.parquet(state_path)), now_ms)
+    """The state that the last whole batch left, as of now."""
+    found = files._markers(spark, state_path, "state")
+    if not found:
+        raise ValueError(f"no state in {state_path}")
+    return kv.alive(spark.read.parquet(f"{state_path}/state-{found[-1]}"), now_ms)
 
 
 def watched(log: DataFrame, snapshot: DataFrame) -> DataFrame:
