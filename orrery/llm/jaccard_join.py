@@ -14,7 +14,7 @@ Equal sets become one first. A key's documents, sorted by size, fall apart where
 alone in one leave. Where two are left, they are compared. In larger chains the document whose token comes first leads. A round compares each document with
 one leader of its chains, of another component, and links what verifies; so a group of m near copies costs about m comparisons and not m * m. When few enough pairs
 in unlike components are left, or after ROUNDS rounds, parity sketches of all of them are compared, chain by chain in pieces of bounded size, with the documents outside of the chain's
-largest component on one side; only pairs that may link leave a piece. No pair that reaches the threshold is left out: its two documents end in
+largest component on one side, and chains of near copies that hold nearly the same documents as one; only pairs that may link leave a piece. No pair that reaches the threshold is left out: its two documents end in
 one component, or are compared.
 
 Parity sketches of the sets rule out most pairs that are far apart. Verification intersects the whole sets, for documents that occur in what is left. Links join to components by contraction.
@@ -50,6 +50,8 @@ ROUNDS = 4
 ENOUGH = 100
 #: Documents of a chain in a slice; two slices meet in a piece.
 SLICE = 2048
+#: Documents of a chain from which chains around one component may become one, and how many times the largest of them they may hold.
+ALIKE, ALIKE_SHARE = 16, 4
 SHINGLE, MASK = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
 
 
@@ -265,8 +267,14 @@ def candidates(active: DataFrame, of_key: DataFrame, sketches: DataFrame, percen
     slices by hash, and each two slices are a piece; a piece's rows are sorted together, and its pairs are tested in arrays and never become rows unless they pass.
     """
     docs = short(active.select(F.col("doc").alias("doc_id")))
+    rows = active.join(of_key.select("key", "m", F.col("most.root").alias("most")), "key").select("key", "doc", "n", "place", "root", "m", "most")
+    # Near copies share most of their chains. Where all chains around one component together hold few more documents than the largest of them, they become one, each document once with its least place.
+    held = rows.groupBy("most", "doc").agg(F.max("m").alias("m")).groupBy("most").agg(F.count("*").alias("docs"), F.max("m").alias("m"))
+    alike = short(held.where((F.col("m") >= ALIKE) & (F.col("docs") <= ALIKE_SHARE * F.col("m"))).select("most", "docs"))
+    merged = rows.join(alike, "most").groupBy("most", "doc", "n", "root").agg(F.min("place").alias("place"), F.max("docs").alias("m")).select(F.col("most").alias("key"), "doc", "n", "place", "root", "m", "most")
+    rows = rows.join(alike.select("most"), "most", "left_anti").select(*merged.columns).withColumn("merged", F.lit(0)).unionByName(merged.withColumn("merged", F.lit(1)))
     slices = F.ceil(F.col("m") / SLICE).cast("int")
-    rows = active.join(of_key.select("key", "m", F.col("most.root").alias("most")), "key").withColumn("own", F.pmod(F.xxhash64("doc"), slices).cast("int"))
+    rows = rows.withColumn("key", F.xxhash64("key", "merged")).withColumn("own", F.pmod(F.xxhash64("doc"), slices).cast("int"))
     rows = rows.select("key", "doc", "n", "place", "root", "own", (F.col("root") != F.col("most")).alias("out"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("other"))
     rows = rows.join(sketches.join(docs, "doc_id", "left_semi").withColumnRenamed("doc_id", "doc"), ["doc", "n"])
     dealt = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")

@@ -55,6 +55,7 @@ def test_near_copies(spark, monkeypatch, k, percent, size):
         out += near_copies(rng, " ".join(f"w{rng.randrange(3000)}" for _ in range(size)), 25, 8)
     monkeypatch.setattr(J, "ENOUGH", rng.choice((-10**9, 100)))
     monkeypatch.setattr(J, "SLICE", rng.choice((7, 2048)))
+    monkeypatch.setattr(J, "ALIKE", rng.choice((2, 16, 10**9)))
     common = " ".join(f"c{i}" for i in range(size // 2))
     out += [f"{common} {' '.join(f'u{rng.randrange(10**6)}' for _ in range(size // 3))}" for _ in range(25)]
     rng.shuffle(out)
