@@ -9,9 +9,11 @@ Each position gives one gram for each k in use: base phrases have two to four wo
 The templates are a fixed list, of some hundred grams, and so is the broadcast side of the join. Documents are read, split and
 hashed once, and only votes are shuffled, in sums: a document's row travels with its votes as a sentinel, in place of a join back.
 
-Defined cases: a null text counts as empty; an empty text gives a row without labels; rows with the same doc_id (null ids
-included) and the same text give one row, those with different texts a row each; other columns are ignored; an empty table gives an
-empty result. Of two labels at one place, both are kept.
+A gram's row holds the gram, not its text, and neighbouring diagonals are cut where the gap is too wide, so that work and memory grow with a text's length and matches alone.
+
+Defined cases: a null text counts as empty; an empty text gives a row without labels; repeated rows (the same doc_id, null ids
+included, and the same text) travel as one with their number and give a row each; other columns are ignored; an empty table gives an empty
+result. Of two labels at one place, both are kept.
 """
 
 from __future__ import annotations
@@ -72,7 +74,7 @@ def _gram(words, start, k: int):
 
 def _hashed(k: int):
     """The hash of the k-gram at each start."""
-    return F.transform("starts", lambda i: F.struct(i.alias("start"), F.xxhash64(F.lit(k), _gram(F.col("words"), i, k)).alias("hash")))
+    return F.transform("starts", lambda i: F.struct(i.alias("start"), F.lit(k).alias("gram_words"), _gram(F.col("words"), i, k).alias("found")))
 
 
 def template_grams(spark, templates: tuple[Template, ...]) -> DataFrame:
@@ -94,10 +96,10 @@ def votes(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id:
     starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(first))
     rows = rows.select("id", "copy", "words", F.when(F.size("words") > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"))
     hits = F.flatten(F.array(*(_hashed(k) for k in ks)))
-    one = F.array(F.struct(F.lit(-1).alias("start"), F.lit(None).cast("long").alias("hash")))
-    found = rows.select("id", "copy", "words", F.explode(F.concat(one, hits)).alias("g")).select("id", "copy", "words", "g.start", "g.hash")
-    joined = found.join(grams, "hash", "left").where(F.col("start").eqNullSafe(-1) | F.col("gram").eqNullSafe(F.concat_ws(" ", F.slice("words", F.col("start") + 1, F.coalesce("k", F.lit(1))))))
-    return joined.select("id", "copy", F.size("words").cast("long").alias("n_words"), "template", "place", F.when(F.col("start") >= 0, F.col("start")).alias("start"), "k", "template_words")
+    one = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("gram_words"), F.lit(None).cast("string").alias("found")))
+    found = rows.select("id", "copy", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(one, hits)).alias("g")).select("id", "copy", "n_words", "g.start", "g.found", F.xxhash64("g.gram_words", "g.found").alias("hash"))
+    joined = found.join(grams, "hash", "left").where((F.col("start") == -1) | (F.col("gram") == F.col("found")))
+    return joined.select("id", "copy", "n_words", F.when(F.col("start") >= 0, F.col("template")).alias("template"), "place", F.when(F.col("start") >= 0, F.col("start")).alias("start"), "k", "template_words")
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", min_cover: float = MIN_COVER, near: int = NEAR) -> DataFrame:
@@ -112,24 +114,23 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: s
     by_diagonal = (
         votes(docs, templates, doc_id, text)
         .groupBy("id", "copy", "template", (F.col("start") - F.col("place")).alias("diagonal"))
-        .agg(F.first("n_words").alias("n_words"), F.collect_set("place").alias("places"), F.first("k").alias("k"), F.first("template_words").alias("template_words"))
-    )
-    # Neighbouring diagonals merge: a chain of sorted diagonals breaks where the next is further than near words away.
-    chain = F.aggregate(
-        F.array_sort(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("diagonal", "places")))),
-        F.lit([]).cast("array<struct<first:int,last:int,places:array<int>>>"),
-        lambda acc, d: F.when(
-            (F.size(acc) > 0) & (d["diagonal"] - F.element_at(acc, -1)["last"] <= near),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), d["diagonal"].alias("last"), F.array_union(F.element_at(acc, -1)["places"], d["places"]).alias("places"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(d["diagonal"].alias("first"), d["diagonal"].alias("last"), d["places"].alias("places"))))),
+        .agg(F.first("n_words").alias("n_words"), F.count("*").alias("rows"), F.collect_set("place").alias("places"), F.first("k").alias("k"), F.first("template_words").alias("template_words"))
     )
     # An exact place votes on one diagonal with all its grams; short templates need no merging, and their near places must stay apart.
     whole = F.size("places") == F.col("template_words") - F.col("k") + 1
     exact = F.collect_list(F.when(F.col("template").isNotNull() & whole, F.col("diagonal")))
-    by_template = by_diagonal.groupBy("id", "copy", "template").agg(F.first("n_words").alias("n_words"), exact.alias("exact"), chain.alias("chains"), F.first("k").alias("k"), F.first("template_words").alias("template_words"))
+    by_template = by_diagonal.groupBy("id", "copy", "template").agg(
+        F.first("n_words").alias("n_words"), F.max(F.when(F.col("template").isNull(), F.col("rows"))).alias("rows"), exact.alias("exact"),
+        F.array_sort(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("diagonal", "places")))).alias("diagonals"), F.first("k").alias("k"), F.first("template_words").alias("template_words"),
+    )
+    # Neighbouring diagonals merge: a chain of sorted diagonals begins where the one before is further than near words away. Each step reads the last one's columns, and slices are cut once.
+    at = lambda i: F.get("diagonals", i)
+    begins = F.filter(F.sequence(F.lit(0), F.size("diagonals") - 1), lambda i: (i == 0) | (at(i)["diagonal"] - at(i - 1)["diagonal"] > near))
+    by_template = by_template.withColumn("begins", F.when(F.size("diagonals") > 0, begins).otherwise(F.array().cast("array<int>")))
+    pieces = F.transform("begins", lambda b, j: F.slice("diagonals", b + 1, F.coalesce(F.get("begins", j + 1), F.size("diagonals")) - b))
+    by_template = by_template.withColumn("pieces", pieces)
+    chains = F.transform("pieces", lambda p: F.struct(F.get(p, F.lit(0))["diagonal"].alias("first"), F.element_at(p, -1)["diagonal"].alias("last"), F.array_distinct(F.flatten(F.transform(p, lambda d: d["places"]))).alias("places")))
+    by_template = by_template.withColumn("chains", chains)
     covered = lambda c: F.size(F.array_distinct(F.flatten(F.transform(c["places"], lambda p: F.sequence(p, p + F.col("k") - 1))))) / F.col("template_words")
     loose = F.filter(
         F.transform("chains", lambda c: F.struct((F.array_min(c["places"]) + c["first"]).cast("long").alias("first_word"), (F.array_max(c["places"]) + c["last"] + F.col("k") - 1).cast("long").alias("last_word"), covered(c).alias("cover"))),
@@ -137,9 +138,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, doc_id: s
     )
     tight = F.transform(F.array_sort("exact"), lambda d: F.struct(d.cast("long").alias("first_word"), (d + F.col("template_words") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("cover")))
     spans = by_template.join(named, "template", "left").select(
-        "id", "copy", "n_words", F.transform(F.when(F.col("k") == F.col("template_words"), tight).otherwise(loose), lambda s: F.struct(F.col("label").alias("label"), F.col("base").alias("base"), s["first_word"].alias("first_word"), s["last_word"].alias("last_word"), s["cover"].alias("cover"))).alias("spans")
+        "id", "copy", "n_words", "rows", F.transform(F.when(F.col("k") == F.col("template_words"), tight).otherwise(loose), lambda s: F.struct(F.col("label").alias("label"), F.col("base").alias("base"), s["first_word"].alias("first_word"), s["last_word"].alias("last_word"), s["cover"].alias("cover"))).alias("spans")
     )
-    return spans.groupBy("id", "copy").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).select(F.col("id").alias(doc_id), "n_words", "spans")
+    whole = spans.groupBy("id", "copy").agg(F.max("n_words").alias("n_words"), F.max("rows").alias("rows"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return whole.select(F.col("id").alias(doc_id), "n_words", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("col")
 
 
 def query(docs: DataFrame) -> DataFrame:
