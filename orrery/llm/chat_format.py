@@ -3,8 +3,9 @@ r"""Chat formatting by event-sourced reconstruction, in DataFrame operations onl
 A log of events (conversation, sequence, turn, kind, role, text) is dealt by conversation and range of turns, sorted by sequence and
 folded to final messages, which a template renders. Kinds: "message" opens a message of its turn; "delta" appends to the turn's last
 message; "edit" replaces its text; "regenerate" empties it, for the deltas that follow. The last three open a message where the turn
-has none. A turn's events meet in one task; a conversation's don't: a piece holds CHUNK_TURNS turn numbers, so that a conversation
-with a third of all rows is folded and rendered by many tasks, and only finished pieces are joined in order.
+has none. A piece holds CHUNK_TURNS turn numbers, and CHUNK_MESSAGES messages of each, so that a conversation
+with a third of all rows is folded and rendered by many tasks, and only finished pieces are joined in order. Which message of its turn an event belongs to is a running sum over the turn, sorted by Spark; a message's events are cut
+out of their piece once, so work grows with the events alone, whether they are in one turn or in many.
 
 Template: <|im_start|>role<|im_sep|>text<|im_end|> and a new line for each message. In roles and texts, a control string (those three,
 <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>) gets one backslash after its first bracket, and one more where some stand there already;
@@ -18,17 +19,17 @@ repeated rows count each; unknown and null kinds are messages; other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import hex_sha, need
 
-CHUNK_TURNS = 64
+#: Turn numbers and messages of a turn in a piece, at most or nearly so.
+CHUNK_TURNS, CHUNK_MESSAGES = 64, 64
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: What may follow the opening bracket of a control string, as a pattern. Fixed values.
 TAILS = r"/?s>|/?INST\]|/?SYS>>|\|im_(?:start|sep|end)\|>"
 KINDS = ("message", "edit", "regenerate", "delta")
-MESSAGES = "array<struct<turn:bigint,role:string,text:string>>"
 
 
 def escape(column):
@@ -39,33 +40,32 @@ def unescape(column):
     return F.regexp_replace(column, rf"([<\[])(\\*)\\({TAILS})", "$1$2$3")
 
 
-def _folded(events):
-    """The final messages of a sorted array of events."""
-
-    def step(done, e):
-        last = F.element_at(done, -1)
-        goes_on = (e["kind"] > 0) & (F.size(done) > 0) & last["turn"].eqNullSafe(e["turn"])
-        text = F.when(e["kind"] == 3, F.concat(last["text"], e["text"])).when(e["kind"] == 1, e["text"]).otherwise("")
-        changed = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), text.alias("text"))
-        new = F.struct(e["turn"].alias("turn"), e["role"].alias("role"), F.when(e["kind"] == 2, "").otherwise(e["text"]).alias("text"))
-        return F.when(goes_on, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(changed))).otherwise(F.concat(done, F.array(new)))
-
-    return F.aggregate(events, F.lit([]).cast(MESSAGES), step)
-
-
 def reconstruct(events: DataFrame) -> DataFrame:
-    """Final messages of each conversation and range of turns: conv_id, chunk, messages."""
+    """Final messages of each conversation and piece: conv_id, chunk (of turns), part (of messages), messages."""
     need(events, "conv_id", "seq", "turn", "kind", "role", "text")
-    kind = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0))
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    event = F.struct(F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), F.greatest(kind - 1, F.lit(0)).alias("kind"), blank("role").alias("role"), blank("text").alias("text"))
-    chunk = F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")
-    return events.groupBy("conv_id", chunk).agg(F.sort_array(F.collect_list(event)).alias("events")).select("conv_id", "chunk", _folded(F.col("events")).alias("messages"))
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = events.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), F.greatest(number - 1, F.lit(0)).cast("int").alias("kind"), blank("role"), blank("text"))
+    # A turn's first event, and every message, opens one: its number is a running sum, which Spark sorts for and holds nothing of.
+    in_turn = Window.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text")
+    opens = ((F.col("kind") == 0) | (F.row_number().over(in_turn) == 1)).cast("long")
+    rows = rows.withColumn("opens", opens).withColumn("message", F.sum("opens").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)))
+    # Of a message's events count the last that sets its text, and the deltas after it.
+    event = F.struct("turn", "message", "seq", "kind", "role", "text", "opens")
+    pieces = rows.groupBy("conv_id", F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk"), F.floor(F.col("message") / CHUNK_MESSAGES).alias("part")).agg(F.sort_array(F.collect_list(event)).alias("events"))
+    at = lambda i: F.get("events", i)
+    pieces = pieces.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("events") - 1), lambda i: at(i)["opens"] == 1))
+    pieces = pieces.withColumn("own", F.transform("begins", lambda b, j: F.slice("events", b + 1, F.coalesce(F.get("begins", j + 1), F.size("events")) - b)))
+    sets = F.transform("own", lambda m: F.struct(m.alias("m"), F.array_max(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | F.get(m, i)["kind"].isin(1, 2))).alias("last")))
+    pieces = pieces.withColumn("own", sets)
+    text = lambda x: F.array_join(F.transform(F.slice(x["m"], x["last"] + 1, F.size(x["m"])), lambda e: F.when(e["kind"] == 2, "").otherwise(e["text"])), "")
+    messages = F.transform("own", lambda x: F.struct(F.get(x["m"], F.lit(0))["turn"].alias("turn"), F.get(x["m"], F.lit(0))["role"].alias("role"), text(x).alias("text")))
+    return pieces.select("conv_id", "chunk", "part", messages.alias("messages"))
 
 
 def render(messages: DataFrame) -> DataFrame:
     """Formatted pieces with their loss mask: conv_id, chunk, n_turns, formatted, loss_spans."""
-    parts = F.transform(
+    pieces = F.transform(
         "messages",
         lambda m: F.struct(
             F.concat(F.lit(START), escape(m["role"]), F.lit(SEP)).alias("head"),
@@ -74,6 +74,7 @@ def render(messages: DataFrame) -> DataFrame:
         ),
     )
     tail = END + "\n"
+    # A piece holds some thousand messages at most, so sums over those before each are bounded.
     spans = F.aggregate(
         "parts",
         F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<start:int,length:int>>").alias("spans")),
@@ -84,21 +85,21 @@ def render(messages: DataFrame) -> DataFrame:
         lambda acc: acc["spans"],
     )
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "")
-    return messages.select("conv_id", "chunk", F.size("messages").alias("n_turns"), parts.alias("parts")).select("conv_id", "chunk", "n_turns", formatted.alias("formatted"), spans.alias("loss_spans"))
+    return messages.select("conv_id", "chunk", "part", F.size("messages").alias("n_turns"), pieces.alias("parts")).select("conv_id", "chunk", "part", "n_turns", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def format_chats(events: DataFrame) -> DataFrame:
-    """Reconstruct and render: a row for each conversation and range of turns; a conversation's text is its pieces in the order of chunk."""
+    """Reconstruct and render: a row for each conversation and piece; a conversation's text is its pieces in the order of chunk and part."""
     return render(reconstruct(events))
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """What the formatted pieces say: conv_id, chunk, turns (role, text) and loss_text, from the text and the mask alone."""
+    """What the formatted pieces say: conv_id, chunk, part, turns (role, text) and loss_text, from the text and the mask alone."""
     blocks = F.filter(F.split("formatted", rf"\Q{END}\E\n", -1), lambda b: b != "")
     cuts = F.transform(blocks, lambda b: F.split(F.substring(b, len(START) + 1, 1 << 30), rf"\Q{SEP}\E", -1))
     turns = F.transform(cuts, lambda c: F.struct(unescape(F.element_at(c, 1)).alias("role"), unescape(F.element_at(c, 2)).alias("text")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return pieces.select("conv_id", "chunk", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return pieces.select("conv_id", "chunk", "part", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def message_log(conversations: DataFrame) -> DataFrame:
@@ -112,8 +113,8 @@ def query(conversations: DataFrame) -> DataFrame:
     extra = conversations.sparkSession.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     log = message_log(conversations.select("conv_id", "turn", "role", "text").unionByName(extra))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    pieces = read_back(format_chats(log)).select("conv_id", "chunk", F.size("turns").alias("n"), said.alias("said"), "loss_text", "formatted_chars")
-    whole = pieces.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sort_array(F.collect_list(F.struct("chunk", "said", "loss_text"))).alias("p"), F.sum("formatted_chars").alias("formatted_chars"))
+    pieces = read_back(format_chats(log)).select("conv_id", "chunk", "part", F.size("turns").alias("n"), said.alias("said"), "loss_text", "formatted_chars")
+    whole = pieces.groupBy("conv_id").agg(F.sum("n").cast("long").alias("n_turns"), F.sort_array(F.collect_list(F.struct("chunk", "part", "said", "loss_text"))).alias("p"), F.sum("formatted_chars").alias("formatted_chars"))
     text = lambda name: F.array_join(F.transform("p", lambda x: x[name]), "")
     return whole.select("conv_id", "n_turns", hex_sha(text("said")).alias("turns_sha256"), F.length(text("loss_text")).cast("long").alias("loss_chars"), hex_sha(text("loss_text")).alias("loss_sha256"), "formatted_chars")
 
