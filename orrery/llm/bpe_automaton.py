@@ -146,8 +146,11 @@ class MergeAutomaton:
     def encode(self, word: str) -> list[int]:
         """The tokens of one pre-split word, given in byte letters."""
         n, step = len(word), self.step
-        if not n:
+        whole = self.last.get(word, -1) if n else None
+        if whole is None:
             return []
+        if whole >= 0:  # the start reads all tokens
+            return [whole >> 1]
         reached: dict[int, int] = {}  # the token that ends at each place that was asked for
         asked = [(n, self._ending(word, n))]
         while asked:

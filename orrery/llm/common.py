@@ -27,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir; set one only where it names none."""
+    """Use the folder that the session names in spark.checkpoint.dir; a local session that names none gets one of its own, which other machines couldn't read."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ tables with little text).
 
 Texts are read for their sizes, for the counts (once for each GROUP of languages, which bounds a task's counts; a model is 256 KB) and for the likelihoods, of which a short row for each
 document is kept. Priors join by host and declared value: they are broadcast when a count shows up to MAX_BROADCAST groups, else joined by
-shuffle. All sums have partial sums on the map side, so a host with a third of all documents is no hot spot.
+shuffle, for which each key's documents are dealt to SALTS tasks; sums have partial sums on the map side. So a host with a third of all documents is no hot spot.
 
 Defined cases: a null or empty text, or one without letters, is rejected as "und"; a null declared value or address is a group of its own and
 is evidence like any other value; without a declaration in the whole table there is no model, and all rows are "und"; an empty declared value declares nothing; rows that repeat give a row
@@ -42,7 +42,8 @@ BUCKETS, MIN_TRIGRAMS, MIN_SHARE, TEMPER = 1 << 16, 1000, 0.002, 60.0
 GROUP = 64
 #: Weight of the parent in the smoothing of priors, in documents; prior of "und"; least posterior of a document that stays.
 SMOOTH, UND_PRIOR, MIN_POSTERIOR = 20.0, 1e-3, 0.5
-MAX_BROADCAST = 100_000
+#: Groups up to which their sums are broadcast, and tasks that a key's documents are dealt to beyond.
+MAX_BROADCAST, SALTS = 100_000, 32
 UND = "und"
 #: Bytes of letters: ASCII letters, lower-cased, and all bytes of longer characters; anything else parts words.
 LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -157,8 +158,13 @@ def identify(docs: DataFrame, declared: str | None = None, address: str | None =
 
     def attach(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
         small = cut(small.withColumnRenamed(key, f"{key}_"))
-        side = F.broadcast(small) if small.count() <= MAX_BROADCAST else small
-        return rows.join(side, rows[key].eqNullSafe(side[f"{key}_"]), "left").drop(f"{key}_")
+        if small.count() <= MAX_BROADCAST:
+            side = F.broadcast(small)
+            return rows.join(side, rows[key].eqNullSafe(side[f"{key}_"]), "left").drop(f"{key}_")
+        # Each key's documents are dealt to SALTS tasks, and its group of sums goes to all of them.
+        side = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SALTS)).cast("int"))
+        return dealt.join(side, dealt[key].eqNullSafe(side[f"{key}_"]) & (dealt["salt"] == side["salt_"]), "left").drop(f"{key}_", "salt", "salt_")
 
     fused = attach(attach(attach(scored, suffixes, "suffix"), by_host, "host"), by_value, "declared")
     others = F.zip_with("host_sums", "says", lambda h, own: F.greatest(h - own, F.lit(0.0)))

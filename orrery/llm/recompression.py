@@ -21,7 +21,7 @@ and once more for documents with marks; nothing is broadcast or collected.
 
 Defined cases: null and empty texts have no words; a null doc_id is neither smaller than others nor has smaller ones, so its row stays
 whole; repeated rows are treated each on its own (equal ids never remove each other's words); other columns are kept by dedup() and
-ignored by its digests; an empty table gives an empty result.
+ignored by its digests, and a clash with its output names raises an error; an empty table gives an empty result; widths are 1 to RANGE - 1 words.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from orrery.llm.common import byte_words, cut, mixed, named_words, need, small_batches, spread, utf8
 
 WIDTH = 50
+#: Windows that one range may hold, and with it the widest window.
+RANGE = 1 << 16
 ROUNDS = 3
 #: Odd multipliers of the two rolling hashes and of names of pairs and runs. Fixed values.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -165,7 +167,7 @@ def copy_of(text: bytes) -> int:
 
 
 def ranges(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each range of windows that elect one symbol: key, r1, r2 (hash of the range's words), doc_id, copy, range (first window * 64 + windows; negative if known to repeat)."""
+    """A row for each range of windows that elect one symbol: key, r1, r2 (hash of the range's words), doc_id, copy, range (first window * RANGE + windows; negative if known to repeat)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -178,7 +180,7 @@ def ranges(docs: DataFrame, width: int) -> DataFrame:
             copies = np.array([copy_of(t) for t in texts], np.int64)[doc] if len(texts) else np.zeros(0, np.int64)
             key = rolling.of(0, lo, hi) + (hi - lo).astype(np.uint64)
             end = first + count - 1 + width
-            r1, r2, packed = rolling.of(0, first, end), rolling.of(1, first, end), (first - starts[doc]) * 64 + count
+            r1, r2, packed = rolling.of(0, first, end), rolling.of(1, first, end), (first - starts[doc]) * RANGE + count
             # Of equal ranges in one batch, those of the first document speak for all: the others are known to repeat. Those get keys of their own, so
             # that the rows of a very common passage are few where its key goes.
             order = np.lexsort((ids, r2, r1, key))
@@ -216,8 +218,8 @@ def window_hashes(texts: DataFrame, width: int) -> DataFrame:
             for d, marks in enumerate(b.column("marks")):
                 m = np.array(marks.values, np.int64)
                 m = m[m & 1 == 1] >> 1
-                count = m & 63
-                got.append(np.unique(np.repeat((m >> 6) - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))) + starts[d] if len(m) else m)
+                count = m & (RANGE - 1)
+                got.append(np.unique(np.repeat(m // RANGE - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))) + starts[d] if len(m) else m)
             at = np.concatenate(got)
             doc = np.searchsorted(starts, at, "right") - 1
             columns = [rolling.of(0, at, at + width).view(np.int64), rolling.of(1, at, at + width).view(np.int64), *(b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "copy")), at - starts[doc]]
@@ -232,8 +234,8 @@ def covered(n_words: int, marks: list[int] | None, windows: list[int] | None, wi
     if marks is not None and len(marks):
         m = np.asarray(marks, np.int64)
         m = m[m & 1 == 0] >> 1
-        np.add.at(edges, m >> 6, 1)
-        np.add.at(edges, (m >> 6) + (m & 63) - 1 + width, -1)
+        np.add.at(edges, m // RANGE, 1)
+        np.add.at(edges, m // RANGE + (m & (RANGE - 1)) - 1 + width, -1)
     if windows is not None and len(windows):
         w = np.asarray(windows, np.int64)
         np.add.at(edges, w, 1)
@@ -244,6 +246,8 @@ def covered(n_words: int, marks: list[int] | None, windows: list[int] | None, wi
 def dedup(docs: DataFrame, width: int = WIDTH, kept: str = "kept_text") -> DataFrame:
     """docs (doc_id, text and any other columns) with n_words, n_removed, and kept: the text, or the kept words joined by one space if some went."""
     need(docs, "doc_id", "text")
+    if not 1 <= width < RANGE:
+        raise ValueError(f"width must be 1 to {RANGE - 1}")
     if clash := {"n_words", "n_removed", kept} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]

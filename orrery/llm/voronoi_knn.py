@@ -14,8 +14,8 @@ So neither a cell that holds a third of all vectors nor a block's whole share of
 Components become floor(256 * x) as integers, and scores are exact: products run in 64-bit floats where all sums stay below 2 ** 53, else
 in 64-bit integers. Ties go to the smaller id.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, neither do null ids; vectors of unlike lengths are
-padded with zeros; rows that repeat an id each count as a
+Defined cases: vectors that are null or hold null or non-finite components take no part, neither do null ids; vectors of unlike lengths are
+padded with zeros, so an empty one scores 0 with all; a component whose integer leaves 64 bits becomes the nearest that doesn't, and a score that does is an error; rows that repeat an id each count as a
 candidate, a query's own id is never one, and a query that repeats its vector too asks once; other columns are ignored; an
 empty table, or one without partners, gives an empty result.
 """
@@ -41,7 +41,7 @@ def integers(data: DataFrame, id_: str, vec: str, scale: int) -> DataFrame:
     """(id, vec): the vectors that take part, as integers."""
     scaled = F.transform(vec, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return data.where(F.col(id_).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0)).where(fine).select(F.col(id_).cast("long").alias("id"), scaled.alias("vec"))
+    return data.where(F.col(id_).isNotNull() & F.col(vec).isNotNull()).where(fine).select(F.col(id_).cast("long").alias("id"), scaled.alias("vec"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -62,7 +62,12 @@ def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1])
     if most < 2**53:
         return (queries.astype(float) @ data.astype(float).T).astype(np.int64)
-    return queries @ data.T
+    if most < 2**63:
+        return queries @ data.T
+    wide = queries.astype(object) @ data.T.astype(object)
+    if max((abs(x) for x in wide.ravel()), default=0) >= 2**63:
+        raise OverflowError("scores of these vectors don't fit 64 bits")
+    return wide.astype(np.int64)
 
 
 def best(ids: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
@@ -97,7 +102,7 @@ def search(data: DataFrame, id_: str = "vec_id", vec: str = "embedding", k: int
     need(data, id_, vec)
     spark = data.sparkSession
     vectors = integers(data, id_, vec, scale)
-    facts = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1)), F.coalesce(F.sum((F.col("id") % every == 0).cast("long")), F.lit(0))).first()
+    facts = vectors.agg(F.count("*"), F.coalesce(F.greatest(F.max(F.size("vec")), F.lit(1)), F.lit(1)), F.coalesce(F.sum((F.col("id") % every == 0).cast("long")), F.lit(0))).first()
     total, width, n_queries = int(facts[0]), int(facts[1]), int(facts[2])
     schema = "query_id long, rank int, vec_id long, score long"
     if not total or not n_queries:
@@ -179,23 +184,49 @@ def search(data: DataFrame, id_: str = "vec_id", vec: str = "embedding", k: int
     number = np.array([r["block"] for r in blocks], np.int64)
     floor, away = np.array([r["floor"] for r in blocks]), np.array([r["away"] for r in blocks])
     centre = cells.vectors[np.array(centre_of)[number]]
-    slices = max(1, -(-total // slice_))
     cell_most = centre @ cells.vectors.T + np.linalg.norm(centre, axis=1)[:, None] * cells.radius + away[:, None] * (cells.norms + cells.radius)
     slack = ROUNDING * (1 + np.abs(cell_most)) + 1e-6
-    plan = spark.sparkContext.broadcast((number, floor, away, centre, (cell_most + slack >= floor[:, None])))
+    pivots_used, of_pivot = np.unique(np.array(centre_of)[number], return_inverse=True)
+    plan = spark.sparkContext.broadcast((number, floor, away, of_pivot, cells.vectors[pivots_used], (cell_most + slack >= floor[:, None])))
+
+    def admitted(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks that need rows of a batch, and those rows. Blocks share the pivots as centres: products are made once for each pivot, and blocks are looked at only for rows that the widest and least demanding block of a pivot admits."""
+        number, floor, away, of_pivot, centres, cell_passes = plan.value
+        x = matrix(b.column("vec"), width).astype(float)
+        length, cell = np.linalg.norm(x, axis=1), b.column("cell").to_numpy()
+        product = centres @ x.T
+        blocks, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in range(len(centres)):
+            own = np.flatnonzero(of_pivot == c)
+            bound = lambda u, f: product[c] + u * length + ROUNDING * (np.abs(product[c]) + u * length) + 1e-6 >= f  # noqa: B023, E731
+            some = np.flatnonzero(bound(away[own].max(), floor[own].min()))
+            for first in range(0, len(own) if len(some) else 0, 256):
+                part = own[first : first + 256]
+                most = product[c][None, some] + away[part][:, None] * length[None, some]
+                passes = (most + ROUNDING * np.abs(most) + 1e-6 >= floor[part][:, None]) & cell_passes[part][:, cell[some]]
+                i, j = np.nonzero(passes)
+                blocks.append(number[part[i]])
+                rows.append(some[j])
+        return np.concatenate(blocks), np.concatenate(rows)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
+        for b in small_batches(batches, 2048):
+            for block_, n in zip(*(a.tolist() for a in np.unique(admitted(b)[0], return_counts=True)), strict=True):
+                counts[block_] = counts.get(block_, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["block", "n"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, floor, away, centre, cell_passes = plan.value
         for b in small_batches(batches, 2048):
-            x = matrix(b.column("vec"), width).astype(float)
-            most = centre @ x.T + away[:, None] * np.linalg.norm(x, axis=1)[None, :]
-            passes = (most + ROUNDING * np.abs(most) + 1e-6 >= floor[:, None]) & cell_passes[:, b.column("cell").to_numpy()]
-            of_block, row = np.nonzero(passes)
-            yield pa.RecordBatch.from_arrays([pa.array(number[of_block].astype(np.int32)), b.column("id").take(pa.array(row)), b.column("vec").take(pa.array(row))], names=["block", "id", "vec"])
-
-    needed = placed.select("id", "vec", "cell").mapInArrow(replicate, "block int, id long, vec array<long>")
-    data_rows = needed.select("block", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), F.lit(False).alias("asks"), "id", "vec")
-    query_rows = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(True).alias("asks"), "id", "vec")
+            of_block, row = admitted(b)
+            yield pa.RecordBatch.from_arrays([pa.array(of_block.astype(np.int32)), b.column("id").take(pa.array(row)), b.column("vec").take(pa.array(row))], names=["block", "id", "vec"])
+
+    # How many rows a block gets decides into how many slices they fall, and to how many its queries are copied. A row for each block.
+    work = placed.select("id", "vec", "cell")
+    load = F.broadcast(cut(work.mapInArrow(tally, "block int, n long").groupBy("block").agg(F.ceil(F.sum("n") / slice_).cast("int").alias("slices"))))
+    needed = work.mapInArrow(replicate, "block int, id long, vec array<long>").join(load, "block")
+    data_rows = needed.select("block", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("asks"), "id", "vec")
+    query_rows = asked.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("asks"), "id", "vec")
 
     def solve(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
