@@ -5,15 +5,20 @@ that mark it. The hashes of all places in the benchmark items are joined to thos
 the document; around it, words are compared place by place, and an overlap counts where `window` words in a row (or the whole item, if shorter)
 agree in at least a share of `similarity`.
 
+Items of `window` words or more have the four MASKS; with the default window and similarity, any overlap that counts is hit by one. Items with fewer words have masks of their own length, one more
+than words may be replaced in it, that mark each word in turn: one of them is whole in any overlap that counts. Only lengths that the benchmark has cost anything. An item of fewer
+than LEAST words is found where a document is nothing else, as elsewhere it may stand by chance.
+
 Documents are read once. A Bloom filter of the benchmark's hashes, of a fixed size, drops nearly all other hashes where they arise; only
-what is left is joined, with the words around it. The benchmark's side is broadcast when a count shows that it is within MAX_BROADCAST
-rows; else the join is dealt by hash, with documents salted so that a passage found in very many of them spreads over tasks.
+what is left is kept, with the words around it, and joined. The benchmark's side is broadcast when a count shows that it is within MAX_BROADCAST
+rows; else the join is dealt by hash, with documents salted so that a passage found in very many of them spreads over tasks. Hits are cut to one for each document, item and diagonal before
+words are looked at, so a long copied passage costs its own length.
 
 Words are runs of ASCII letters and digits and of characters outside ASCII, lower-cased.
 
-Defined cases: null and empty texts and items overlap with nothing; items with fewer words than the shortest mask's span can't be found and are skipped;
+Defined cases: null and empty texts and items overlap with nothing;
 a null doc_id or item_id is kept as null; repeated rows give one row for each place; other columns are ignored; empty tables give an
-empty result; of several overlaps of a document and an item, each diagonal gives one row, its longest.
+empty result; of several overlaps of a document and an item, each diagonal gives one row, its longest, and of equally long ones the first.
 """
 
 from __future__ import annotations
@@ -27,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import AZ, mixed, need, small_batches, spread, utf8, without
+from orrery.llm.common import AZ, cut, mixed, need, small_batches, spread, utf8, without
 
-#: The masks: six marked words of eight to ten. Fixed values.
+#: The masks of items of a window or more: six marked words of eight to ten. Fixed values.
 MASKS = ("11011011", "110101011", "1011001011", "1110010011")
 WINDOW, SIMILARITY = 13, 0.8
+#: Words of an item that is looked for inside of documents.
+LEAST = 5
 #: Words kept on each side of a hit.
 AROUND = 2 * WINDOW
 #: Size of the Bloom filter, and which bits of a hash name its slots.
@@ -53,30 +60,58 @@ def names_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return names[at], starts
 
 
-def seeds(names: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: the places whose span ends within their text, and the hashes there."""
-    ends = np.repeat(starts[1:], np.diff(starts))
-    for m, mask in enumerate(MASKS):
-        at = np.flatnonzero(np.arange(len(names)) + len(mask) <= ends)
-        h = np.full(len(at), m + 1, np.uint64)
-        for k, marked in enumerate(mask):
-            if marked == "1":
-                h = (h ^ names[at + k]) * SEED
-                h ^= h >> np.uint64(29)
-        yield at, mixed(h)
+def masks_of(length: int, window: int, similarity: float) -> list[str]:
+    """The masks of items of a length."""
+    if length >= window:
+        return list(MASKS)
+    replaced = length - int(np.ceil(similarity * length - 1e-9)) if length >= LEAST else 0
+    return ["".join("1" if k % (replaced + 1) == part else "0" for k in range(length)) for part in range(replaced + 1)] if length else []
+
+
+def seeds(names: np.ndarray, starts: np.ndarray, lengths: list[int], window: int, similarity: float, items: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask of items of some lengths: the places whose span ends within their text, and the hashes there. Of items only those of the mask's own length count, and of documents, where
+    the items are shorter than LEAST, only those of that length."""
+    size = np.diff(starts)
+    ends = np.repeat(starts[1:], size)
+    own = np.repeat(size, size)
+    for length in sorted({min(n, window) for n in lengths}):
+        for mask in masks_of(length, window, similarity):
+            fits = np.arange(len(names)) + len(mask) <= ends
+            if length < window and (items or length < LEAST):
+                fits &= own == length
+            elif items:
+                fits &= own >= window
+            at = np.flatnonzero(fits)
+            h = np.full(len(at), xxhash.xxh3_64_intdigest(f"{length if length < window else 0} {mask}"), np.uint64)
+            for k, marked in enumerate(mask):
+                if marked == "1":
+                    h = (h ^ names[at + k]) * SEED
+                    h ^= h >> np.uint64(29)
+            yield at, mixed(h)
 
 
 def slot(hashes: np.ndarray, shift: int) -> np.ndarray:
     return ((hashes >> np.uint64(shift)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
+def item_lengths(items: DataFrame, window: int) -> list[int]:
+    """The numbers of words that items have, `window` for all that have as many or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            sizes = np.unique(np.minimum(np.diff(names_of(utf8(b.column("text")))[1]), window))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32))], names=["words"])
+
+    return [r["words"] for r in items.select("text").mapInArrow(run, "words int").distinct().collect() if r["words"]]  # window + 1 rows at most
+
+
+def item_seeds(items: DataFrame, lengths: list[int], window: int, similarity: float) -> DataFrame:
     """(hash, item_id, item_copy, place, slots) of each place and mask of the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             names, starts = names_of(utf8(b.column("text")))
-            for at, h in seeds(names, starts):
+            for at, h in seeds(names, starts, lengths, window, similarity, True):
                 item = np.searchsorted(starts, at, "right") - 1
                 three = np.stack([slot(h, s) for s in BLOOM_SHIFTS], 1).ravel()
                 triples = pa.ListArray.from_arrays(pa.array(np.arange(0, len(three) + 1, len(BLOOM_SHIFTS), dtype=np.int32)), pa.array(three))
@@ -106,7 +141,7 @@ def bloom(index: DataFrame) -> np.ndarray:
     return bits
 
 
-def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def document_hits(docs: DataFrame, bits: np.ndarray, lengths: list[int], window: int, similarity: float) -> DataFrame:
     """A row for each stretch of a document with seeds that may be the benchmark's: its first word's place, its words by name, the seeds' hashes and places."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -115,13 +150,13 @@ def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for b in small_batches(batches):
             names, starts = names_of(utf8(b.column("text")))
             places, hashes = [], []
-            for at, h in seeds(names, starts):
+            for at, h in seeds(names, starts, lengths, window, similarity, False):
                 for shift in BLOOM_SHIFTS:  # the first test leaves few for the others
                     kept = flags[slot(h, shift)]
                     at, h = at[kept], h[kept]
                 places.append(at)
                 hashes.append(h)
-            at, h = np.concatenate(places), np.concatenate(hashes)
+            at, h = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, hashes))
             if not len(at):
                 continue
             order = np.argsort(at, kind="stable")
@@ -130,7 +165,7 @@ def document_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (np.diff(at) > AROUND)])
             last = np.r_[new[1:], len(at)] - 1
             lo = np.maximum(at[new] - AROUND, starts[doc[new]])
-            hi = np.minimum(at[last] + max(map(len, MASKS)) + AROUND, starts[doc[new] + 1])
+            hi = np.minimum(at[last] + max(window, *map(len, MASKS)) + AROUND, starts[doc[new] + 1])
             size = hi - lo
             words = names[np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))]
             lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values))
@@ -165,22 +200,25 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity
     need(items, "item_id", "text")
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy")))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text", F.xxhash64("text").alias("item_copy"))
-    index = item_seeds(items)
+    lengths = item_lengths(items, window)
+    index = item_seeds(items, lengths, window, similarity)
     small = index.count() <= MAX_BROADCAST
     entries = index.select("hash", "item_id", "item_copy", "place").distinct()
     words = item_words(items).distinct()
-    found = document_hits(docs, bloom(index))
-    hits = found.select("doc_id", "copy", "first", "names", F.explode(F.arrays_zip("hashes", "places")).alias("hit"))
-    hits = hits.select("doc_id", "copy", "first", "names", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at"))
+    # Rows that repeat are one from here on.
+    found = cut(document_hits(docs, bloom(index), lengths, window, similarity).dropDuplicates(["doc_id", "copy", "first"]))
+    hits = found.select("doc_id", "copy", "first", F.explode(F.arrays_zip("hashes", "places")).alias("hit"))
+    hits = hits.select("doc_id", "copy", "first", F.col("hit.hashes").alias("hash"), F.col("hit.places").alias("at"))
     item = ["item_id", "item_copy"]
     if small:
         joined = hits.join(F.broadcast(entries), "hash")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         joined = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int")).join(entries.select("*", salts), ["hash", "salt"])
-    shift = (F.col("at") - F.col("place")).alias("shift")
-    diagonals = joined.select("doc_id", "copy", "first", "names", *item, shift).dropDuplicates(["doc_id", "copy", "first", *item, "shift"])
-    pairs = diagonals.join(F.broadcast(words) if small else words, [diagonals[c].eqNullSafe(words[c]) for c in item]).select("doc_id", "copy", "first", "names", diagonals["item_id"], diagonals["item_copy"], "shift", "item_names")
+    diagonals = joined.select("doc_id", "copy", "first", *item, (F.col("at") - F.col("place")).alias("shift")).distinct()
+    stretch = found.select(F.col("doc_id").alias("of_doc"), F.col("copy").alias("of_copy"), F.col("first").alias("of_first"), "names")
+    placed = diagonals.join(stretch, diagonals["doc_id"].eqNullSafe(stretch["of_doc"]) & (diagonals["copy"] == stretch["of_copy"]) & (diagonals["first"] == stretch["of_first"]))
+    pairs = placed.join(F.broadcast(words) if small else words, [placed[c].eqNullSafe(words[c]) for c in item]).select("doc_id", "copy", "first", "names", placed["item_id"], placed["item_copy"], "shift", "item_names")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 4096):
@@ -188,13 +226,16 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity
             columns = [b.column(c) for c in ("names", "item_names", "shift", "first")]
             for r, (doc, own, shift, first) in enumerate(zip(*columns, strict=True)):
                 got = longest_overlap(doc.values.to_numpy(), own.values.to_numpy(), shift.as_py(), window, similarity)
-                if got:
+                if got and (len(own.values) >= LEAST or (len(doc.values) == len(own.values) and first.as_py() == 0)):
                     kept.append(r)
                     out.append((first.as_py() + shift.as_py() + got[0], got[0], got[1] - got[0], got[2]))
             of, values = pa.array(kept, pa.int64()), np.array(out, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(c).take(of) for c in ("doc_id", "copy", "item_id")] + [pa.array(values[:, k]) for k in range(4)], names=["doc_id", "copy", "item_id", "doc_start", "item_start", "n_words", "n_same"])
 
-    return pairs.mapInArrow(verify, "doc_id long, copy long, item_id long, doc_start long, item_start long, n_words long, n_same long").distinct().withColumn("similarity", F.col("n_same") / F.col("n_words"))
+    seen = pairs.mapInArrow(verify, "doc_id long, copy long, item_id long, doc_start long, item_start long, n_words long, n_same long")
+    best = F.max_by(F.struct("doc_start", "item_start", "n_words", "n_same"), F.struct("n_words", -F.col("doc_start"), "n_same")).alias("best")
+    one = seen.groupBy("doc_id", "copy", "item_id", (F.col("doc_start") - F.col("item_start")).alias("shift")).agg(best)
+    return one.select("doc_id", "copy", "item_id", "best.*").withColumn("similarity", F.col("n_same") / F.col("n_words"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

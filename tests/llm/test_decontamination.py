@@ -59,3 +59,42 @@ def test_edges(spark, monkeypatch):
         assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in left) == [(0, 4), (1, 0), (2, 0), (5, 26)]
     assert D.query(docs(spark, []), bench).count() == 0
     assert D.clean(docs(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def accepted(doc, item, window=D.WINDOW, similarity=D.SIMILARITY):
+    """Brute force: whether some window of the item agrees enough at some place of the document."""
+    w = min(window, len(item))
+    if len(item) < D.LEAST:
+        return doc == item
+    return any(sum(x == y for x, y in zip(item[j : j + w], doc[i : i + w], strict=False)) >= similarity * w - 1e-9 for j in range(len(item) - w + 1) for i in range(len(doc) - w + 1))
+
+
+def test_replaced_words_at_every_length(spark):
+    """Items of every length with as many words replaced as the rule allows, at all places and one more than it allows: exactly what brute force finds."""
+    from itertools import combinations
+
+    rng = random.Random(5)
+    rows, bench, want, doc = [], [], set(), 0
+    for length in range(1, 16):
+        item = words(rng, length)
+        bench.append((length, " ".join(item), 0))
+        allowed = min(length, D.WINDOW) - int(-(-D.SIMILARITY * min(length, D.WINDOW) // 1)) if length >= D.LEAST else 0
+        for n in (0, allowed, allowed + 1):
+            for places in rng.sample(list(combinations(range(length), min(n, length))), k=min(25, len(list(combinations(range(length), min(n, length)))))):
+                passage = [f"new{k}" if k in places else w for k, w in enumerate(item)]
+                for body in (passage, [*words(rng, 30), *passage, *words(rng, 30)]):
+                    rows.append((doc, " ".join(body), "", 0))
+                    if accepted(body, item):
+                        want.add((doc, length))
+                    doc += 1
+    found = {(r["doc_id"], r["item_id"]) for r in D.query(docs(spark, rows), items(spark, bench)).collect()}
+    assert found == want and len(want) > 400
+
+
+def test_one_row_for_a_diagonal(spark):
+    """Two stretches of one item on one diagonal give one row, the longest."""
+    rng = random.Random(6)
+    item = words(rng, 200)
+    body = [*item[:30], *words(rng, 100), *item[130:200]]
+    found = D.query(docs(spark, [(1, " ".join(body), "", 0)]), items(spark, [(1, " ".join(item), 0)])).collect()
+    assert [(r["doc_start"], r["item_start"], r["n_words"]) for r in found] == [(130, 130, 70)]
