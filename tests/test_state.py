@@ -37,6 +37,55 @@ def test_fold(spark):
     assert folded(spark) == {}
 
 
+def replied(spark, *commands):
+    return [(r["cmd"], r["reply"], r["error"]) for r in kv.replies(log(spark, *commands)).orderBy("seq").collect()]
+
+
+def test_replies(spark):
+    got = replied(spark, "SET a 5", "INCR a", "INCRBY a 10", "APPEND a 0", "GETSET a 9", "SETNX a 1", "DEL a b", "SETNX a 1", "GETDEL a", "GETDEL a", "GET a")
+    assert got == [("SET", "OK", None), ("INCR", "6", None), ("INCRBY", "16", None), ("APPEND", "3", None), ("GETSET", "160", None), ("SETNX", "0", None), ("DEL", "1", None), ("SETNX", "1", None), ("GETDEL", "1", None), ("GETDEL", None, None), ("GET", None, None)]
+    got = replied(spark, "SET a x", "INCR a", "EXPIRE a 10", "EXPIRE none 10", "EXPIRE a soon", "PERSIST a", "SETEX a 0 y", "SETEX a soon y", "GET a", "STRLEN a")
+    assert [r[1] for r in got] == ["OK", None, "1", "0", None, "1", None, None, "x", "1"] and [r[2] is not None for r in got] == [False, True, False, False, True, False, True, True, False, False]
+    got = replied(spark, "MSETEX a 1 10 b 2 20", "INCRTTL a 4 EX 7", "INCRTTL n", "GETEX b PERSIST", "MGETDEL a none b", "FLUSHDB", "EXISTS a", "GET n")
+    assert [(c, r) for c, r, _ in got] == [("MSETEX", "OK"), ("INCRTTL", "5"), ("INCRTTL", "1"), ("GETEX", "2"), ("MGETDEL", '["5",null,"2"]'), ("GET", None)]
+    assert replied(spark, "SET n 9223372036854775807", "INCR n", "GET n")[1:] == [("INCR", None, kv.NOT_A_NUMBER), ("GET", "9223372036854775807", None)]
+    assert replied(spark, (0, ["SET", "a", "1", "PX", "5"]), (5, ["GET", "a"]), (6, ["GET", "a"])) == [("SET", "OK", None), ("GET", "1", None), ("GET", None, None)]
+    assert folded(spark, "MSETEX a 1 10 b 2 20", "GETEX a EX 3", "GETEX b PX 5", "INCRTTL c 2 EX 9") == {"a": ("1", 3000), "b": ("2", 5), "c": ("2", 9000)}
+    assert folded(spark, "SET a 1", "SETEX a 0 x", "SETEX a 5 y") == {"a": ("y", 5000)} and folded(spark, "SET a 1", "SETEX a no x") == {"a": ("1", None)}
+    assert kv.counters(log(spark, "SET a 5", "INCR a", "INCRBY a 10")).orderBy("seq").first()["value"] == 6
+    assert kv.old_values(log(spark, "APPEND a 16", "APPEND a 0", "GETSET a 9")).first()["old"] == "160"
+
+
+def test_ranks_of_one_large_key(spark):
+    """One key over many ranges: places and sums as a plain window gives them."""
+    from pyspark.sql import Window
+
+    from orrery.operators.ranks import ranked, running
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("key"), (F.col("id") * 7919 % 5003).alias("at"))
+    order = Window.partitionBy("key").orderBy(F.desc("at"))
+    want = sorted(tuple(r) for r in rows.select(F.coalesce("key", F.lit(-1)), "at", (F.row_number().over(order) - 1).cast("long"), F.sum("at").over(order)).collect())
+    got = running(ranked(rows, ["key"], [F.desc("at")]), ["key"], [F.desc("at")], F.col("at"), "total")
+    assert sorted(tuple(r) for r in got.select(F.coalesce("key", F.lit(-1)), "at", "rank", "total").collect()) == want
+
+
+def test_snapshots_switch_by_marker(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    one = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(ValueError, match="no snapshot"):
+        files.load_snapshot(spark, path)
+    files.save_snapshot({"t": one}, path)
+    one.selectExpr("x + 1 AS x").write.parquet(f"{path}/data-2/t")  # a save that broke off before its marker
+    assert files.load_snapshot(spark, path)["t"].first()["x"] == 1
+    files.save_snapshot({"t": one.selectExpr("x + 2 AS x")}, path)
+    assert files.load_snapshot(spark, path)["t"].first()["x"] == 3
+    with pytest.raises(ValueError, match="none of"):
+        files.rewrite({}, 0)
+    lists = col.lists_from_pushes(log(spark, "RPUSH l b c", "LPUSH l a z"))
+    again = col.lists_from_pushes(files.rewrite({"lists": lists}, 0))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, lists.collect()))
+
+
 def test_namespaces_and_glob(spark):
     both = log(spark, "SET k 0").unionByName(log(spark, "SET k 1", db=1))
     assert {(r["db"], r["value"]) for r in kv.fold(both).collect()} == {(0, "0"), (1, "1")}
@@ -75,6 +124,10 @@ def test_stream_fold(spark, tmp_path):
     for _ in range(2):
         streaming.fold_stream(spark.readStream.schema(schema).parquet(source), str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination(60)
     assert [tuple(r) for r in streaming.read_stream_state(spark, str(tmp_path / "state"), 0).select("key", "value").collect()] == [("a", "2")]
+    files.append_log(log(spark, "SET b 1 PX 50", "INCR a").withColumn("seq", F.col("seq") + 10), source)
+    streaming.fold_stream(spark.readStream.schema(schema).parquet(source), str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination(60)
+    state = lambda now: sorted(tuple(r) for r in streaming.read_stream_state(spark, str(tmp_path / "state"), now).collect())
+    assert state(0) == [(0, "a", "3", None), (0, "b", "1", 50)] and state(51) == [(0, "a", "3", None)]
 
 
 def test_patterns(spark):
@@ -111,6 +164,23 @@ def test_vector_search(spark):
         vector.search(v, spark.createDataFrame([("q", [1.0])], "query string, vec array<double>"), 1).collect()
 
 
+def test_many_blocks_of_queries(spark, monkeypatch):
+    rows = spark.range(60).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.array(*(F.sin(F.col("id") * k).alias("x") for k in range(1, 4))).alias("vec"))
+    asked = rows.withColumnRenamed("key", "query")
+    want = sorted(tuple(r) for r in vector.search(rows, asked, 3).collect())
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 24 * 7)
+    monkeypatch.setattr(vector, "MAX_QUERIES", 2)
+    more = rows.unionByName(rows.limit(1).select(F.lit("null").alias("key"), F.lit(None).cast("array<double>").alias("vec")))
+    assert sorted(tuple(r) for r in vector.search(more, asked, 3).collect()) == want and len(want) == 180
+
+
+def test_memories_are_numbered_on(spark):
+    none = spark.createDataFrame([], "agent string, id string, text string")
+    new = lambda *texts: spark.createDataFrame([("x", None, t, i) for i, t in enumerate(texts)], "agent string, id string, text string, seq long")
+    stored = vector.memory_store(vector.memory_store(none, new("a", "b")), new("c"))
+    assert sorted(tuple(r) for r in stored.collect()) == [("x", "mem:x:1", "a"), ("x", "mem:x:2", "b"), ("x", "mem:x:3", "c")]
+
+
 def test_cache(spark):
     cache = spark.createDataFrame([("k1", "hello", 0.95, "g", None, [1.0, 0.0]), ("k2", "old", 0.1, None, 10, [0.0, 1.0])], "key string, response string, threshold double, tag string, expires_at_ms long, vec array<double>")
     q = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "query string, vec array<double>")
