@@ -18,9 +18,6 @@ EDGES = """edges AS (
   UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'has_customer', 1.0 FROM customer UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'has_supplier', 1.0 FROM supplier
   UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'placed', 1.0 FROM orders UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'contains', l_quantity FROM lineitem)"""
 G = f"{NODES},\n{EDGES}"
-#: The upper part of the graph alone: regions, nations, suppliers, customers.
-SMALL = EDGES.split("\n  UNION ALL SELECT 'customer:'")[0] + ")"
-
 
 def keys(spark: SparkSession, *names: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "key string")
@@ -82,25 +79,39 @@ def graph_traverse_limit(spark, d):
 
 
 
-@register(f"""WITH RECURSIVE {NODES}, {SMALL}, w AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-p(source, target) AS (VALUES ('customer:1', 'customer:4'), ('nation:0', 'nation:0'), ('region:0', 'supplier:3'), ('supplier:1', 'customer:2')),
-b(source, key, depth) AS (SELECT DISTINCT source, source, 0 FROM p UNION SELECT b.source, w.dst, b.depth + 1 FROM b JOIN w ON w.src = b.key WHERE b.depth < 6)
-SELECT p.source, p.target, min(depth) AS hops FROM p JOIN b ON b.source = p.source AND b.key = p.target GROUP BY ALL""")
-def graph_path(spark, d):
-    pairs = spark.createDataFrame([("customer:1", "customer:4"), ("nation:0", "nation:0"), ("region:0", "supplier:3"), ("supplier:1", "customer:2")], "source string, target string")
-    small = edges(spark, d).where(F.col("type").isin("has_nation", "has_customer", "has_supplier"))
-    return graph.shortest_paths(nodes(spark, d), small, pairs, 6).select("source", "target", "hops")
+def walked(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(source, target, walked): how many steps of a path are links, and the sum of the steps' least weights."""
+    step = found.select("source", "target", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("src"), F.slice("path", 2, F.size("path")).alias("dst"))).alias("s")).select("source", "target", "s.src", "s.dst")
+    least = links.groupBy("src", "dst").agg(F.min("weight").alias("w"))
+    return step.join(least, ["src", "dst"]).groupBy("source", "target").agg(F.count("*").alias("steps"), F.sum("w").alias("sum"))
 
 
-@register(f"""WITH RECURSIVE {NODES}, {EDGES}, e AS (SELECT src, dst, min(weight) AS weight FROM edges WHERE type <> 'has_supplier' GROUP BY ALL),
+# All regions to the nodes of every kind whose number is divisible by 50, over the whole graph. Paths themselves are many of equal length, so each is walked: right ends, only links.
+@register(f"""WITH RECURSIVE {G}, w AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+b(source, key, depth) AS (SELECT key, key, 0 FROM nodes WHERE type = 'region' UNION SELECT b.source, w.dst, b.depth + 1 FROM b JOIN w ON w.src = b.key WHERE b.depth < 6)
+SELECT source, key AS target, min(depth) AS hops, true AS is_path FROM b JOIN nodes USING (key) WHERE CAST(split_part(key, ':', 2) AS BIGINT) % 50 = 0 GROUP BY ALL""")
+def graph_path(spark, d):
+    n, e = nodes(spark, d), edges(spark, d)
+    asked = n.where(F.split("key", ":")[1].cast("long") % 50 == 0).select(F.col("key").alias("target"))
+    pairs = asked.select("target", F.explode(F.array(*(F.lit(f"region:{i}") for i in range(5)))).alias("source"))
+    found = graph.shortest_paths(n, e, pairs, 6)
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight"))
+    done = found.join(walked(found, both), ["source", "target"], "left")
+    ends = (F.get("path", F.lit(0)) == F.col("source")) & (F.element_at("path", -1) == F.col("target")) & (F.size("path") == F.col("hops") + 1)
+    return done.select("source", "target", "hops", (ends & (F.coalesce("steps", F.lit(0)) == F.col("hops"))).alias("is_path"))
+
+
+# Two sources to all parts, over the whole graph.
+@register(f"""WITH RECURSIVE {NODES}, {EDGES}, e AS (SELECT src, dst, min(weight) AS weight FROM edges GROUP BY ALL),
 b(source, key, depth, weight) AS (SELECT key, key, 0, 0.0::DOUBLE FROM nodes WHERE key IN ('customer:1', 'nation:2') UNION SELECT b.source, e.dst, b.depth + 1, b.weight + e.weight FROM b JOIN e ON e.src = b.key WHERE b.depth < 3)
-SELECT source, key AS target, round(min(b.weight), 2) AS weight FROM b JOIN (SELECT DISTINCT 'part:' || l_partkey AS part FROM lineitem WHERE l_partkey < 40) ON key = part GROUP BY ALL""")
+SELECT source, key AS target, round(min(b.weight), 2) AS weight, true AS is_path FROM b WHERE key LIKE 'part:%' GROUP BY ALL""")
 def graph_wpath(spark, d):
-    parts = table(spark, d, "lineitem").where("l_partkey < 40").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target")).distinct()
-    sources = spark.createDataFrame([("customer:1",), ("nation:2",)], "source string")
-    pairs = parts.join(F.broadcast(sources))
-    found = graph.weighted_paths(nodes(spark, d), edges(spark, d).where("type <> 'has_supplier'"), pairs)
-    return found.select("source", "target", F.round("weight", 2).alias("weight"))
+    n, e = nodes(spark, d), edges(spark, d)
+    pairs = n.where("type = 'part'").select(F.col("key").alias("target"), F.explode(F.array(F.lit("customer:1"), F.lit("nation:2"))).alias("source"))
+    found = graph.weighted_paths(n, e, pairs)
+    done = found.join(walked(found, e), ["source", "target"], "left")
+    ends = (F.get("path", F.lit(0)) == F.col("source")) & (F.element_at("path", -1) == F.col("target")) & (F.size("path") == F.col("steps") + 1)
+    return done.select("source", "target", F.round("weight", 2).alias("weight"), (ends & (F.abs(F.col("sum") - F.col("weight")) < 1e-6)).alias("is_path"))
 
 
 @register(f"""WITH RECURSIVE {G},
@@ -111,10 +122,10 @@ def graph_paths(spark, d):
     return graph.paths(nodes(spark, d), edges(spark, d), keys(spark, "customer:1", "customer:10"), "part", 3).select("seed", F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types"))
 
 
-@register("""WITH m AS (SELECT DISTINCT l_orderkey AS grp, l_partkey AS key FROM lineitem), s AS (SELECT grp FROM m GROUP BY grp HAVING count(*) BETWEEN 2 AND 5)
+@register("""WITH m AS (SELECT DISTINCT l_orderkey AS grp, l_partkey AS key FROM lineitem), s AS (SELECT grp FROM m GROUP BY grp HAVING count(*) BETWEEN 2 AND 50)
 SELECT a.key AS src, b.key AS dst, count(*) * 1.0::DOUBLE AS weight FROM m a JOIN m b ON a.grp = b.grp AND a.key < b.key JOIN s ON s.grp = a.grp GROUP BY ALL""")
 def graph_cooccur(spark, d):
-    return graph.cooccur(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("key")), window=5)
+    return graph.cooccur(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("key")))
 
 
 @register("""WITH m AS (SELECT s_nationkey AS grp, s_suppkey AS key FROM supplier), n AS (SELECT a.key AS src, b.key AS dst, count(*) * 2.0::DOUBLE AS weight FROM m a JOIN m b ON a.grp = b.grp AND a.key < b.key
@@ -160,38 +171,54 @@ def graph_setprop(spark, d):
     return graph.set_property(n, writes).select("key", F.array_join(entries, ",").alias("props"))
 
 
-@register("""WITH p AS (SELECT 'part:' || p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 'part' ELSE 'item' END AS type FROM part WHERE p_partkey < 50),
-o AS (SELECT 'part:' || p_partkey AS key, p_brand FROM part WHERE p_partkey % 2 = 0)
-SELECT p.key, CASE WHEN o.key IS NULL THEN p.type ELSE 'old' END AS type, CASE WHEN o.key IS NULL THEN 1 ELSE 2 END AS n FROM p LEFT JOIN o USING (key)
-UNION ALL SELECT o.key, 'old', 1 FROM o LEFT JOIN p USING (key) WHERE p.key IS NULL""")
+@register("""WITH p AS (SELECT 'part:' || p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN 'old' ELSE 'item' END AS type, p_partkey % 2 = 0 AS old, p_name, p_brand, p_type FROM part)
+SELECT key, type, CASE WHEN old THEN 'brand=' || p_brand || ';' ELSE '' END || 'kind=' || p_type || ';name=' || p_name || '!' AS props FROM p""")
 def graph_upsert_node(spark, d):
+    """Two writes of each part, of which the second wins; half of the parts are there, with a type and a property that stay."""
     parts = table(spark, d, "part").withColumn("key", F.concat(F.lit("part:"), F.col("p_partkey").cast("string")))
-    old = parts.where("p_partkey % 2 = 0").select("key", F.lit("old").alias("type"), F.create_map(F.lit("brand"), "p_brand").alias("props"))
-    new = parts.where("p_partkey < 50").select("key", F.when(F.col("p_partkey") % 2 == 0, "part").otherwise("item").alias("type"), F.create_map(F.lit("name"), "p_name").alias("props"))
-    return graph.upsert_nodes(old, new).select("key", "type", F.size("props").alias("n"))
+    old = parts.where("p_partkey % 2 = 0").select("key", F.lit("old").alias("type"), F.create_map(F.lit("brand"), "p_brand", F.lit("name"), F.lit("before")).alias("props"))
+    write = lambda seq, kind, name: parts.select("key", F.lit(kind).alias("type"), F.create_map(F.lit("name"), name, F.lit("kind"), "p_type").alias("props"), F.lit(seq).alias("seq"))
+    found = graph.upsert_nodes(old, write(1, "item", F.col("p_name")).unionByName(write(2, "later", F.concat("p_name", F.lit("!")))))
+    listed = F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select("key", "type", F.array_join(listed, ";").alias("props"))
 
 
-@register("""WITH e AS (SELECT DISTINCT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst FROM lineitem WHERE l_orderkey < 100), k AS (SELECT src AS key FROM e UNION SELECT dst FROM e)
-SELECT 'edge' AS what, 'contains' AS type, count(*) AS n FROM e UNION ALL SELECT 'node', CASE WHEN key LIKE 'order:%' THEN 'unknown' ELSE 'part' END, count(*) FROM (SELECT key FROM k UNION SELECT 'part:' || p_partkey FROM part) GROUP BY ALL""")
+@register("""WITH e AS (SELECT DISTINCT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_orderkey % 3 = 0 AS old FROM lineitem), k AS (SELECT src AS key FROM e UNION SELECT dst FROM e)
+SELECT 'edge' AS what, 'contains' AS type, count(*) AS n, sum(CASE WHEN old THEN 7 ELSE 1 END)::DOUBLE AS weight, count(*) AS marked FROM e
+UNION ALL SELECT 'node', CASE WHEN key LIKE 'order:%' THEN 'unknown' ELSE 'part' END, count(*), NULL, NULL FROM (SELECT key FROM k UNION SELECT 'part:' || p_partkey FROM part) GROUP BY ALL""")
 def graph_upsert_edge(spark, d):
-    n = nodes(spark, d).where("type = 'part'").select("key", "type")
-    e = edges(spark, d).where("type = 'contains'")
-    new = e.join(table(spark, d, "lineitem").where("l_orderkey < 100").select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("src")).distinct(), "src", "left_semi")
-    all_nodes, all_edges = graph.upsert_edges(n, e.limit(0), new)
-    count = lambda df, what: df.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "type", "n")
-    return count(all_nodes, "node").unionByName(count(all_edges, "edge"))
-
-
-@register("""SELECT 'customer:' || c_custkey AS key, 'customer' AS type, 1 AS n FROM customer UNION ALL SELECT DISTINCT 'nation:' || c_nationkey, 'unknown', 0 FROM customer""")
+    """Every line of every order is upserted; the links of a third of the orders are there, and keep their weight."""
+    n, e = nodes(spark, d).where("type = 'part'").select("key", "type"), edges(spark, d).where("type = 'contains'")
+    third = (F.split("src", ":")[1].cast("long") % 3) == 0
+    old = e.where(third).select("src", "dst", "type").distinct().select(F.monotonically_increasing_id().alias("edge_id"), "src", "dst", "type", F.lit(7.0).alias("weight"), F.create_map().cast("map<string,string>").alias("props"))
+    all_nodes, all_edges = graph.upsert_edges(n, old, e.select("src", "dst", "type", F.create_map(F.lit("by"), F.lit("line")).alias("props")))
+    marked = F.count_if(F.element_at("props", "by") == "line")
+    counted = all_edges.groupBy("type").agg(F.countDistinct("edge_id").alias("n"), F.sum("weight").alias("weight"), marked.alias("marked")).select(F.lit("edge").alias("what"), "type", "n", "weight", "marked")
+    return counted.unionByName(all_nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "type", "n", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("long").alias("marked")))
+
+
+@register("""SELECT 'node' AS what, 'customer:' || c_custkey AS key, 'customer' AS type, 'segment=' || c_mktsegment AS props FROM customer UNION ALL SELECT DISTINCT 'node', 'nation:' || c_nationkey, 'unknown', '' FROM customer
+UNION ALL SELECT 'edge', 'nation:' || c_nationkey || '>customer:' || c_custkey, 'has_customer', 'why=' || c_mktsegment FROM customer""")
 def graph_ingest(spark, d):
     c = table(spark, d, "customer")
     key = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
     node = F.struct(key.alias("id"), F.lit("customer").alias("node_type"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("number")).alias("metadata"))
-    edge = F.struct(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("from"), key.alias("to"), F.lit("has_customer").alias("type"))
+    edge = F.struct(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("from"), key.alias("to"), F.lit("has_customer").alias("type"), F.struct(F.col("c_mktsegment").alias("why"), F.lit(True).alias("flag")).alias("metadata"))
     payloads = c.select(F.to_json(F.struct(F.array(node).alias("nodes"), F.array(edge).alias("edges"))).alias("json"))
     none = spark.createDataFrame([], "key string, type string, props map<string,string>")
-    found, _ = graph.ingest(none, spark.createDataFrame([], "src string, dst string, type string, weight double"), payloads)
-    return found.select("key", "type", F.when(F.col("props").isNull(), 0).otherwise(F.size("props")).alias("n"))
+    found, links = graph.ingest(none, spark.createDataFrame([], "edge_id long, src string, dst string, type string, weight double, props map<string,string>"), payloads)
+    listed = F.coalesce(F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"), F.lit("")).alias("props")
+    return found.select(F.lit("node").alias("what"), "key", "type", listed).unionByName(links.select(F.lit("edge").alias("what"), F.concat("src", F.lit(">"), "dst").alias("key"), "type", listed))
+
+
+# An edge's properties, written in order.
+@register("""WITH w AS (SELECT o_orderkey AS id, o_orderstatus AS v, 0 AS seq FROM orders UNION ALL SELECT l_orderkey, max(l_returnflag || l_linestatus), l_linenumber FROM lineitem GROUP BY ALL)
+SELECT id AS edge_id, arg_max(v, seq) AS state FROM w WHERE id IN (SELECT o_orderkey FROM orders) GROUP BY id""")
+def graph_edge_props(spark, d):
+    o = table(spark, d, "orders")
+    e = o.select(F.col("o_orderkey").alias("edge_id"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("dst"), F.lit("placed").alias("type"), F.lit(1.0).alias("weight"), F.create_map(F.lit("state"), "o_orderstatus").alias("props"))
+    writes = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.concat("l_returnflag", "l_linestatus")).alias("value")).select(F.col("l_orderkey").alias("edge_id"), F.lit("state").alias("prop"), "value", F.col("l_linenumber").alias("seq"))
+    return graph.set_edge_property(e, writes).select("edge_id", F.element_at("props", "state").alias("state"))
 
 
 @register(f"""WITH {G} SELECT 'order:' || o_orderkey AS src, 'nation:' || (o_orderkey % 30) AS dst, 'shipped' AS type, CASE WHEN o_orderkey % 4 = 0 THEN 1.0 ELSE o_orderkey % 7 END::DOUBLE AS weight FROM orders WHERE o_orderkey % 30 < 25""")

@@ -133,10 +133,13 @@ def kv_move(spark, d):
     return kv.move(s, s.where(F.col("key").startswith("cust:3")), 7, NOW)
 
 
-@register(f"WITH {STATE} SELECT db, count(*) AS n FROM live GROUP BY db")
+@register(f"WITH {STATE} SELECT 'refused' AS batch, db, count(*) AS n FROM live GROUP BY db UNION ALL SELECT 'done', db, 2 * count(*) FROM live GROUP BY db")
 def kv_msetnx(spark, d):
+    """A batch in which one key exists leaves the state; one of new keys for all that are there doubles it."""
     s = kv.alive(state(spark, d), NOW)
-    return kv.size(kv.set_all_if_none(s, s.limit(1).unionByName(s.limit(1).withColumn("key", F.lit("never"))), NOW), NOW)
+    fresh = s.withColumn("key", F.concat(F.lit("new:"), "key"))
+    refused, done = kv.set_all_if_none(s, s.limit(1).unionByName(fresh), NOW), kv.set_all_if_none(s, fresh, NOW)
+    return kv.size(refused, NOW).select(F.lit("refused").alias("batch"), "db", "n").unionByName(kv.size(done, NOW).select(F.lit("done").alias("batch"), "db", "n"))
 
 
 @register(f"WITH {STATE}, r AS (SELECT db, key, sum(strlen(key) + strlen(value) + 56) OVER (PARTITION BY db ORDER BY (CAST(split_part(key, ':', 2) AS BIGINT) * 37 % 1000) DESC, key ROWS UNBOUNDED PRECEDING) AS used FROM live) SELECT db, key FROM r WHERE used <= 5000")
@@ -171,10 +174,10 @@ def kv_set_options(spark, d):
     return kv.fold(log).select("db", "key", "value")
 
 
-@register(f"""WITH {STATE} SELECT db, key, 'string' AS type FROM state WHERE key LIKE 'cust:1%' UNION SELECT 0, 'nation:' || c_nationkey, 'set' FROM customer""")
+@register(f"""WITH {STATE} SELECT db, key, 'string' AS type FROM state UNION SELECT 0, 'nation:' || c_nationkey, 'set' FROM customer""")
 def kv_type(spark, d):
     c = table(spark, d, "customer")
-    return kv.kind_of({"string": state(spark, d).where(F.col("key").startswith("cust:1")), "set": c.select(F.lit(0).alias("db"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"))})
+    return kv.kind_of({"string": state(spark, d), "set": c.select(F.lit(0).alias("db"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"))})
 
 
 # Every event is one command of a log that mixes them all, so what each answers depends on what came before it. The recursion runs each key's commands one by one.

@@ -18,11 +18,11 @@ def cos(a: str, b: str) -> str:
 
 
 V = "v AS (SELECT 'vec:' || vec_id AS key, vec_id AS id, label, embedding AS vec FROM embeddings)"
-SEARCH = f"s AS (SELECT q.key AS query, x.key, {cos('q.vec', 'x.vec')} AS score FROM v x, v q WHERE q.id % 25 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS INTEGER) AS rank FROM s)"
+SEARCH = f"s AS (SELECT q.key AS query, x.key, {cos('q.vec', 'x.vec')} AS score FROM v x, v q WHERE q.id % 50 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS INTEGER) AS rank FROM s)"
 
 
 def asked(spark, d):
-    return vectors(spark, d).where("id % 25 = 0").select(F.col("key").alias("query"), "vec")
+    return vectors(spark, d).where("id % 50 = 0").select(F.col("key").alias("query"), "vec")
 
 
 @register(f"WITH {V}, {SEARCH} SELECT query, key, score, rank FROM r WHERE rank <= 10")
@@ -30,9 +30,9 @@ def vector_search(spark, d):
     return vector.search(vectors(spark, d), asked(spark, d), 10)
 
 
-@register(f"WITH {V} SELECT key, round(list_sum([x::DOUBLE for x in vec]) / sqrt({DOT.format(a='vec', b='vec')}), 6) AS total FROM v WHERE id % 10 = 3")
+@register(f"WITH {V} SELECT key, round(list_sum([x::DOUBLE for x in vec]) / sqrt({DOT.format(a='vec', b='vec')}), 6) AS total FROM v")
 def vector_get(spark, d):
-    stored = vectors(spark, d).where("id % 10 = 3").select("key", normalize(F.col("vec")).alias("vec"))
+    stored = vectors(spark, d).select("key", normalize(F.col("vec")).alias("vec"))
     return stored.select("key", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
@@ -53,20 +53,20 @@ def graph_rag(spark, d):
     return found.withColumn("neighbors", F.array_join("neighbors", ","))
 
 
-CACHE = "c AS (SELECT 'vec:' || vec_id AS key, 'answer ' || vec_id AS response, 0.2 + (vec_id % 4) / 10.0 AS threshold, 't' || label AS tag, CASE WHEN vec_id % 7 = 0 THEN 1000 END AS expires_at_ms, embedding AS vec FROM embeddings WHERE vec_id < 400)"
-PROBE = "p AS (SELECT 'vec:' || vec_id AS query, embedding AS vec FROM embeddings WHERE vec_id >= 400 AND vec_id < 460)"
+CACHE = "c AS (SELECT 'vec:' || vec_id AS key, 'answer ' || vec_id AS response, 0.2 + (vec_id % 4) / 10.0 AS threshold, 't' || label AS tag, CASE WHEN vec_id % 7 = 0 THEN 1000 END AS expires_at_ms, embedding AS vec FROM embeddings)"
+PROBE = "p AS (SELECT 'vec:' || vec_id AS query, embedding AS vec FROM embeddings WHERE vec_id % 50 = 0)"
 HITS = f"""s AS (SELECT query, key, response, threshold, expires_at_ms, {cos('p.vec', 'c.vec')} AS score FROM c, p), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s),
 h AS (SELECT query, arg_min(key, rank) AS key, arg_min(response, rank) AS response, arg_min(score, rank) AS score FROM r WHERE rank <= 3 AND (expires_at_ms IS NULL OR 2000 < expires_at_ms) AND score >= threshold GROUP BY query)"""
 
 
 def cache(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 400")
+    e = table(spark, d, "embeddings")
     number = F.col("vec_id").cast("string")
     return e.select(F.concat(F.lit("vec:"), number).alias("key"), F.concat(F.lit("answer "), number).alias("response"), (0.2 + (F.col("vec_id") % 4) / 10).alias("threshold"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("tag"), F.when(F.col("vec_id") % 7 == 0, 1000).cast("long").alias("expires_at_ms"), F.col("embedding").alias("vec"))
 
 
 def probes(spark, d):
-    return vectors(spark, d).where("id >= 400 AND id < 460").select(F.col("key").alias("query"), "vec")
+    return vectors(spark, d).where("id % 50 = 0").select(F.col("key").alias("query"), "vec")
 
 
 @register(f"WITH {CACHE}, {PROBE}, {HITS} SELECT query, key, response, score FROM h")
@@ -84,10 +84,11 @@ def cache_invalidate(spark, d):
     return vector.cache_invalidate(cache(spark, d), tag="t3").select("key", "response")
 
 
-@register(f"WITH {CACHE} SELECT key, CASE WHEN key LIKE 'vec:1%' THEN 'new' ELSE response END AS response FROM c")
+@register(f"WITH {CACHE}, n AS (SELECT 'vec:' || 2 * vec_id AS key FROM embeddings) SELECT key, response FROM c WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT key, 'new' FROM n")
 def cache_set(spark, d):
+    """Half of the keys written are there already; each is written twice."""
     old = cache(spark, d)
-    new = old.where(F.col("key").startswith("vec:1"))
+    new = old.withColumn("key", F.concat(F.lit("vec:"), (2 * F.split("key", ":")[1].cast("long")).cast("string")))
     writes = new.withColumn("response", F.lit("older")).withColumn("seq", F.lit(1)).unionByName(new.withColumn("response", F.lit("new")).withColumn("seq", F.lit(2)))
     return vector.cache_set(old, writes).select("key", "response")
 
@@ -100,14 +101,14 @@ KEEP = f"round({RECENCY} * importance * {FREQUENCY}, 6)"
 
 
 def recalled(where: str, score: str, threshold: float, limit: int) -> str:
-    return f"""WITH {M}, q AS (SELECT 'agent:' || vec_id AS query, embedding AS q FROM embeddings WHERE vec_id < 60),
+    return f"""WITH {M}, q AS (SELECT 'agent:' || vec_id AS query, embedding AS q FROM embeddings),
 s AS (SELECT query, agent, id, {cos('vec', 'q')} AS similarity, importance, created_at, halflife, access_count FROM m JOIN q ON query = agent WHERE {where}),
 t AS (SELECT query, agent, id, similarity, round({score}, 6) AS score FROM s WHERE similarity >= {threshold}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM t) SELECT query, agent, id, score, similarity, rank FROM r WHERE rank <= {limit}"""
 
 
 def askers(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 60").select(F.concat(F.lit("agent:"), F.col("vec_id").cast("string")).alias("query"), F.concat(F.lit("agent:"), F.col("vec_id").cast("string")).alias("agent"), F.col("embedding").alias("vec"))
+    return table(spark, d, "embeddings").select(F.concat(F.lit("agent:"), F.col("vec_id").cast("string")).alias("query"), F.concat(F.lit("agent:"), F.col("vec_id").cast("string")).alias("agent"), F.col("embedding").alias("vec"))
 
 
 @register(recalled("true", f"similarity * {RECENCY} * importance * {FREQUENCY}", 0.05, 5))
@@ -152,11 +153,13 @@ def memory_context(spark, d):
     return vector.context(m, chain, m.select("agent", "id"), 2)
 
 
-@register("WITH e AS (SELECT 'agent:' || user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type AS type FROM events WHERE event_id < 500) SELECT agent, 'mem:' || agent || ':' || n AS id, type FROM e")
+@register("WITH e AS (SELECT 'agent:' || user_id AS agent, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2, event_id) AS n, event_type AS type FROM events) SELECT agent, 'mem:' || agent || ':' || n AS id, type FROM e")
 def memory_store(spark, d):
+    """Two batches, of which the second goes on from the numbers of the first."""
     m = memories(spark, d).select("agent", "id", "type", "event_id")
-    new = m.where("event_id < 500").select("agent", F.lit(None).cast("string").alias("id"), "type", F.col("event_id").alias("seq"))
-    return vector.memory_store(m.limit(0).select("agent", "id", "type"), new)
+    new = m.select("agent", F.lit(None).cast("string").alias("id"), "type", F.col("event_id").alias("seq"))
+    first = vector.memory_store(m.limit(0).select("agent", "id", "type"), new.where("seq % 2 = 0"))
+    return vector.memory_store(first, new.where("seq % 2 = 1"))
 
 
 @register(f"WITH {M}, t AS (SELECT 'mem:' || (event_id % 100) AS id, count(*) AS n FROM events GROUP BY ALL) SELECT agent, id, CAST(access_count + coalesce(n, 0) AS BIGINT) AS access_count FROM m LEFT JOIN t USING (id)")
