@@ -246,3 +246,21 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Result of op2: a row for each document, item and diagonal with an overlap."""
     return overlaps(docs, items).drop("copy")
+
+
+#: Every stretch of every item in every document by comparing all places; a document's longest on each diagonal. Items under LEAST words count where they are the whole document.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, len(w) AS size, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+bw AS (SELECT item_id, len(w) AS words, unnest(range(len(w))) AS j, unnest(w) AS word FROM b),
+m AS (SELECT doc_id, size, item_id, words, least(words, {WINDOW}) AS wide, i - j AS shift, list(j ORDER BY j) AS js FROM dw JOIN bw USING (word) GROUP BY ALL HAVING count(*) >= {SIMILARITY} * wide - 1e-9),
+s AS (SELECT m.*, unnest(range(greatest(0, -shift), least(words, size - shift) - wide + 1)) AS s FROM m),
+g AS (SELECT * FROM s WHERE len(list_filter(js, lambda j: j >= s AND j < s + wide)) >= {SIMILARITY} * wide - 1e-9 AND (words >= {LEAST} OR (words = size AND shift = 0))),
+n AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, item_id, shift ORDER BY s) > wide THEN 1 ELSE 0 END AS new FROM g),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id, shift ORDER BY s ROWS UNBOUNDED PRECEDING) AS part FROM n),
+p AS (SELECT doc_id, item_id, shift, part, any_value(js) AS js, min(s) AS lo, max(s) + any_value(wide) AS hi FROM k GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY hi - lo DESC, lo) AS rank FROM p),
+o AS (SELECT doc_id, item_id, lo + shift AS doc_start, lo AS item_start, hi - lo AS n_words, len(list_filter(js, lambda j: j >= lo AND j < hi)) AS n_same FROM r WHERE rank = 1)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(item_id AS BIGINT) AS item_id, CAST(doc_start AS BIGINT) AS doc_start, CAST(item_start AS BIGINT) AS item_start, CAST(n_words AS BIGINT) AS n_words, CAST(n_same AS BIGINT) AS n_same, n_same / n_words AS similarity FROM o
+"""

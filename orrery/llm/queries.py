@@ -58,4 +58,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_voronoi_knn, op4_chat_format, op5_toxicity, op6_bpe_automaton, op7_language_id, op8_mincut_extract, op9_recompression, op10_jaccard_join)}
 
-ORACLES: dict[str, str] = {"op3_voronoi_knn": voronoi_knn.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_recompression": recompression.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.ORACLE, "op3_voronoi_knn": voronoi_knn.ORACLE, "op4_chat_format": chat_format.ORACLE, "op9_recompression": recompression.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
