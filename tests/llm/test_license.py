@@ -53,3 +53,48 @@ def test_work_grows_with_the_text(spark):
         took.append(time.time() - at)
         assert row[1:6] == brute(text)
     assert took[1] < 30 * took[0], took
+
+
+def brute_row(text):
+    """The whole row by the rule of the module's docstring, word by word."""
+    words = WORD.findall((text or "").translate(AZ))
+    labels, score = set(), 0.0
+    for t in L.TEMPLATES:
+        k, n, by_diagonal = t.k, len(t.words), {}
+        for i in range(len(words) - k + 1):
+            for j in range(n - k + 1):
+                if words[i : i + k] == t.words[j : j + k]:
+                    by_diagonal.setdefault(i - j, set()).add(j)
+        spans, chain, last = [], set(), None
+        for diagonal in [*sorted(by_diagonal), None]:
+            if last is not None and (diagonal is None or k == n or diagonal - last > L.NEAR):
+                spans.append(len({p + x for p in chain for x in range(k)}) / n)
+                chain = set()
+            if diagonal is not None:
+                chain, last = chain | by_diagonal[diagonal], diagonal
+        for cover in spans:
+            if cover >= L.MIN_COVER:
+                labels.add(t.label)
+                score = max(score, cover)
+    return (*brute(text), ",".join(sorted(labels)), score)
+
+
+def test_whole_rows_equal_brute_force(spark, data):
+    """All documents of the table, and texts made of pieces of the templates."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            t = rng.choice(L.TEMPLATES).words
+            lo = rng.randrange(len(t))
+            piece = t[: rng.randint(max(1, len(t) - 3), len(t))] if rng.random() < 0.6 else t[lo:]
+            words += [w if rng.random() > 0.05 else "other" for w in piece] + [f"w{rng.randrange(9)}" for _ in range(rng.randrange(6))]
+        rows.append((10**6 + i, " ".join(words)))
+    got = {r[0]: r[1:] for r in run(spark, [(i, t, "", 0, "") for i, t in rows])}
+    for i, t in rows:
+        want = brute_row(t)
+        assert got[i][:6] == want[:6] and abs(got[i][6] - want[6]) < 1e-9, (i, got[i], want)
+    assert sum(bool(r[5]) for r in got.values()) > 60
