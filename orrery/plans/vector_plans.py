@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import normalize
-from orrery.operators import vector
+from orrery.operators import approximate, vector
 from orrery.plans.registry import register
 from orrery.sources.adapters import memories, table, vectors
 
@@ -53,6 +53,13 @@ def graph_rag(spark, d):
     return found.withColumn("neighbors", F.array_join("neighbors", ","))
 
 
+@register()
+def vector_search_approx(spark, d):
+    """Through an index whose probes are chosen for a recall of 0.9; what it finds depends on the centres, so it has no SQL, and tests measure the recall."""
+    v = vectors(spark, d).select("key", "vec")
+    return approximate.find(approximate.tuned(approximate.build(v), asked(spark, d), 10), asked(spark, d), 10)
+
+
 CACHE = "c AS (SELECT 'vec:' || vec_id AS key, 'answer ' || vec_id AS response, 0.2 + (vec_id % 4) / 10.0 AS threshold, 't' || label AS tag, CASE WHEN vec_id % 7 = 0 THEN 1000 END AS expires_at_ms, embedding AS vec FROM embeddings)"
 PROBE = "p AS (SELECT 'vec:' || vec_id AS query, embedding AS vec FROM embeddings WHERE vec_id % 50 = 0)"
 HITS = f"""s AS (SELECT query, key, response, threshold, expires_at_ms, {cos('p.vec', 'c.vec')} AS score FROM c, p), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM s),

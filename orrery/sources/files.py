@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions import live
+from orrery.functions import live, normalize
 from orrery.operators import kv
 
 
@@ -57,6 +57,20 @@ def load_snapshot(spark: SparkSession, path: str, now_ms: int | None = None) ->
     return tables
 
 
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """vectors(key, field, vec) as a file of its own: unit vectors of single floats with their dimension, a folder for each field, sorted by key within each part so that a reader can skip."""
+    unit = F.transform(normalize(F.col("vec")), lambda x: x.cast("float"))
+    vectors.where("vec IS NOT NULL").select("key", "field", F.size("vec").alias("dim"), unit.alias("vec")).sortWithinPartitions("field", "key").write.mode("overwrite").partitionBy("field").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
+    """vectors(key, field, vec) of such a file, of one field only if given; vectors that don't have the dimension they were saved with raise an error."""
+    read = spark.read.parquet(path)
+    read = read if field is None else read.where(F.col("field") == field)
+    whole = F.when(F.size("vec") == F.col("dim"), F.transform("vec", lambda x: x.cast("double"))).otherwise(F.raise_error(F.lit("dimension mismatch")).cast("array<double>"))
+    return read.select("key", F.col("field").cast("string").alias("field"), whole.alias("vec"))
+
+
 def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 

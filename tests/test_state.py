@@ -117,6 +117,14 @@ def test_log_files(spark, tmp_path):
     assert files.load_snapshot(spark, str(tmp_path / "snap"), 100)["kv"].count() == 2
 
 
+def test_vector_files(spark, tmp_path):
+    path = str(tmp_path / "v")
+    v = spark.createDataFrame([("a", "f", [3.0, 4.0]), ("b", "g", [0.0, 0.0, 0.0]), ("c", "f", None)], "key string, field string, vec array<double>")
+    files.save_vectors(v, path)
+    got = {(r["key"], r["field"]): [round(x, 6) for x in r["vec"]] for r in files.load_vectors(spark, path).collect()}
+    assert got == {("a", "f"): [0.6, 0.8], ("b", "g"): [0.0, 0.0, 0.0]} and files.load_vectors(spark, path, "g").count() == 1
+
+
 def test_stream_fold(spark, tmp_path):
     source = str(tmp_path / "in")
     files.append_log(log(spark, "SET a 1", "INCR a"), source)
