@@ -236,7 +236,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_dep
     """(source, target, hops, path): an undirected path of fewest edges for each pair (source, target) that has one of up to max_depth; of equal ones
     the middle and then each step is the node with the least key.
 
-    The search goes from both ends, for all pairs at once, one level of all sources and then one of all targets, until the levels meet; each visited node is kept with the one before it, and
+    The search goes from both ends, for all pairs at once, a level at a time on the side that has less to go on from, until the levels meet; each visited node is kept with the one before it, and
     paths are put together at the end.
     """
     walked = directed(edges, "BOTH").select("src", "dst")
@@ -250,18 +250,29 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_dep
         own, other = ("source", "target") if side == 0 else ("target", "source")
         one = frontier[side].select(F.col("source").alias(own), "key", F.col("level").alias("a"))
         two = seen[1 - side].select(F.col("source").alias(other), "key", F.col("level").alias("b"))
-        met = one.join(_near(open_), own).join(two, [other, "key"]).groupBy("source", "target").agg(F.min(F.struct((F.col("a") + F.col("b")).alias("hops"), "key")).alias("m"))
+        # By pairs first where an end has few partners, else by the common node; either way the other condition follows.
+        reached, pairs_left = one.count(), open_.count()
+        asks = one.groupBy(own).count().join(open_.groupBy(own).agg(F.count("*").alias("partners")), own).agg(F.sum(F.col("count") * F.col("partners"))).first()[0] or 0
+        if asks <= 20 * (reached + pairs_left):
+            both = one.join(_near(open_), own).join(two, [other, "key"])
+        else:
+            both = one.join(two, "key").join(open_, ["source", "target"], "left_semi")
+        met = both.groupBy("source", "target").agg(F.min(F.struct((F.col("a") + F.col("b")).alias("hops"), "key")).alias("m"))
         hits = settled(met.select("source", "target", "m.hops", F.col("m.key").alias("key")))
         found = hits if found is None else found.unionByName(hits)
         open_ = settled(open_.join(hits, ["source", "target"], "left_anti"))
         if sum(levels) >= max_depth or open_.isEmpty():
             break
-        side = 0 if levels[0] <= levels[1] else 1
-        still = settled(open_.select(F.col(("source", "target")[side]).alias("source")).distinct())
-        step = settled(frontier[side].join(_near(still), "source", "left_semi").select("source", F.col("key").alias("src")))
-        reached = walked.join(_near(step), "src").groupBy("source", F.col("dst").alias("key")).agg(F.min("src").alias("before"))
+        # The side with fewer nodes to go on from grows; it may be the same one again.
+        steps = []
+        for c, rows in zip(("source", "target"), frontier, strict=True):
+            still = settled(open_.select(F.col(c).alias("source")).distinct())
+            steps.append(settled(rows.join(_near(still), "source", "left_semi").select("source", F.col("key").alias("src"))))
+        side = 0 if steps[0].count() <= steps[1].count() else 1
+        step = steps[side]
+        found_next = walked.join(_near(step), "src").groupBy("source", F.col("dst").alias("key")).agg(F.min("src").alias("before"))
         levels[side] += 1
-        frontier[side] = settled(reached.join(seen[side].select("source", "key"), ["source", "key"], "left_anti").select("source", "key", "before", F.lit(levels[side]).alias("level")))
+        frontier[side] = settled(found_next.join(seen[side].select("source", "key"), ["source", "key"], "left_anti").select("source", "key", "before", F.lit(levels[side]).alias("level")))
         if frontier[side].isEmpty():  # all that these ends reach was seen, and the other ends weren't among it
             break
         seen[side] = seen[side].unionByName(frontier[side])
