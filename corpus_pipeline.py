@@ -26,12 +26,20 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return jaccard_join.one_of_each(docs, WORDS, PERCENT)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with all columns but doc_id and text in one, rest, so that no name clashes with what an operator adds."""
+    others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less words in passages of 50 words or more that a document with a smaller doc_id has too."""
-    found = recompression.dedup(docs, kept="__kept")
-    text = F.when(F.col("n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("__kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    found = recompression.dedup(packed(docs))
+    gone = F.col("n_removed") > 0
+    changed = {"doc_id": F.col("doc_id"), "text": F.when(gone, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(gone, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return found.select(*(changed.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +48,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids, the number of them, and digests of the ids and of the text they decode to."""
-    encoded = bpe_automaton.encode_decode(spread(docs), tokenizer_path())
-    return encoded.select(*docs.columns, "token_ids", *bpe_automaton.digests(encoded))
+    """All documents with their token ids, the number of them, and digests of the ids and of the text they decode to. A column of documents that has one of these names gives way."""
+    encoded = bpe_automaton.encode_decode(packed(spread(docs)), tokenizer_path())
+    made = {"token_ids", "n_tokens", "ids_sha256", "decoded_sha256"}
+    own = [F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return encoded.select(*own, "token_ids", *bpe_automaton.digests(encoded))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
