@@ -58,16 +58,20 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """All inner products, exactly."""
+    """All inner products, exactly: as 64-bit integers, or as Python's where those may not suffice."""
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, queries.shape[1])
     if most < 2**53:
         return (queries.astype(float) @ data.astype(float).T).astype(np.int64)
     if most < 2**63:
         return queries @ data.T
-    wide = queries.astype(object) @ data.T.astype(object)
-    if max((abs(x) for x in wide.ravel()), default=0) >= 2**63:
+    return queries.astype(object) @ data.T.astype(object)
+
+
+def in_64_bits(row: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; an error if they can't be."""
+    if row.dtype == object and max(map(abs, row), default=0) >= 2**63:
         raise OverflowError("scores of these vectors don't fit 64 bits")
-    return wide.astype(np.int64)
+    return row.astype(np.int64)
 
 
 def best(ids: np.ndarray, found: np.ndarray, k: int) -> np.ndarray:
@@ -238,7 +242,7 @@ def search(data: DataFrame, id_: str = "vec_id", vec: str = "embedding", k: int
             found = scores(q, x)
             for r, own in enumerate(q_ids):
                 others = np.flatnonzero(x_ids != own)
-                row = found[r, others]
+                row = in_64_bits(found[r, others])
                 if len(others) > 8 * k:  # all at or above the k-th score, with its ties
                     kept = row >= np.partition(row, -k)[-k]
                     others, row = others[kept], row[kept]

@@ -56,6 +56,27 @@ def test_events_fold(spark):
     assert "".join(spans["formatted"][s["start"] : s["start"] + s["length"]] for s in spans["loss_spans"]) == "Hellonew"
 
 
+def test_one_turn_of_many_events(spark):
+    """All of a conversation in one turn, over many pieces, and events of every kind: as a plain fold gives them; ten times the events take nowhere near a hundred times as long."""
+    import random
+    import time
+
+    rng, took = random.Random(3), []
+    for n in (1500, 15000):
+        rows = [(1, i, 1, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant"]), f"t{i}") for i in range(n)]
+        want = []
+        for _, _, _, kind, role, text in rows:
+            if kind == "message" or not want:
+                want.append([role, "" if kind == "regenerate" else text])
+            else:
+                want[-1][1] = want[-1][1] + text if kind == "delta" else text if kind == "edit" else ""
+        at = time.time()
+        back = C.read_back(C.format_chats(spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string"))).orderBy("chunk", "part").collect()
+        took.append(time.time() - at)
+        assert [[t["role"], t["text"]] for r in back for t in r["turns"]] == want and len(back) > 3
+    assert took[1] < 30 * took[0], took
+
+
 def test_plan_has_no_python(spark):
     plan = C.query(chats(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -7,7 +7,7 @@ from orrery.llm import voronoi_knn as V
 
 
 def brute(rows, k=5, every=50, scale=256):
-    fine = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    fine = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for i, q in fine:
         if i % every == 0:
@@ -35,6 +35,13 @@ def test_ties_one_common_vector_and_bad_rows(spark):
     assert run(spark, rows, block=2, slice_=30) == brute(rows)
 
 
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [2.0**30]), (1, [2.0**25]), (2, [-(2.0**25)])]
+    with pytest.raises(Exception, match="don't fit 64 bits"):
+        run(spark, rows)
+    assert run(spark, [(0, [2.0**22]), (1, [2.0**24]), (2, [-(2.0**24)])]) == {(0, 1, 1, 2**62), (0, 2, 2, -(2**62))}
+
+
 def test_few_rows(spark):
     assert run(spark, []) == set() and run(spark, [(1, [1.0])]) == set() and run(spark, [(0, [1.0])]) == set()
     assert run(spark, [(0, [1.0]), (3, [-1.0])]) == {(0, 1, 3, -65536)}

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from orrery.llm import recompression as R
 
 words = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -47,6 +49,20 @@ def test_random_texts(spark):
         check(spark, [(i * 3 % 101, t) for i, t in enumerate(texts(seed, 60, alphabet, 8))], 12 if seed < 2 else 50)
 
 
+@pytest.mark.parametrize("width", [1, 63, 64, 100, 300])
+def test_other_widths(spark, width):
+    own = texts(width, 60, [f"w{i}" for i in range(40)], 8) + texts(width, 20, ["a", "b"], 5)
+    rng = random.Random(width)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(3 * width))
+    check(spark, [(i, t) for i, t in enumerate([*own, f"x {shared} y", f"{shared} z", shared[5:]])], width)
+
+
+def test_width_out_of_range(spark):
+    for width in (0, R.RANGE):
+        with pytest.raises(ValueError, match="width"):
+            R.query(spark.createDataFrame([], "doc_id long, text string"), width)
+
+
 def test_edges(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     run, pair = "x " * 400, "x y " * 300

@@ -44,6 +44,16 @@ def test_held_out_labels_teach_nothing(tables):
     assert a == b
 
 
+def test_repeated_and_conflicting_labels(spark, tables):
+    """A label said twice counts once, and of several the commoner."""
+    docs, labels = tables
+    few = labels.limit(600).cache()
+    noisy = few.unionByName(few).unionByName(few.where("toxic = 1").selectExpr("doc_id", *(["quality"] if "quality" in few.columns else []), "0 AS toxic"))
+    some = docs.join(few.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").cache()
+    a, b = ({(r["doc_id"], round(r["score"], 9)) for r in X.query(some, x).collect()} for x in (few, noisy.select(few.columns)))
+    assert a == b
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 1, 0.1), (1, None, 1, 0.1), (None, "", 1, 0.1), (2, "a " * 30000, 1, 0.1), (3, "i" * 5000, 1, 0.1)], "doc_id long, text string, toxic int, score double")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
