@@ -51,6 +51,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, now_ms: int = 0, **tables: DataFrame) -> None:
         self.spark, self.now_ms, self.db, self.seq = spark, now_ms, 0, 0
+        self.distances: graph.DistanceCache | None = None
         self.tables = {n: tables.get(n) if tables.get(n) is not None else spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
 
     def settle(self) -> None:
@@ -449,7 +450,16 @@ class Engine:
         return graph.shortest_paths(self.tables["nodes"], self.tables["edges"], self.rows([(source, target)], "source string, target string"), int(o.get("MAXDEPTH", 20))).select("hops", "path")
 
     def do_graph_wpath(self, source, target):
-        return graph.weighted_paths(self.tables["nodes"], self.tables["edges"], self.rows([(source, target)], "source string, target string")).select(F.round("weight", 2).alias("weight"), "path")
+        cache = self.distances if self.distances is not None and self.distances.fresh(self.tables["edges"]) else None
+        return graph.weighted_paths(self.tables["nodes"], self.tables["edges"], self.rows([(source, target)], "source string, target string"), cache=cache).select(F.round("weight", 2).alias("weight"), "path")
+
+    def do_graph_chbuild(self, landmarks=graph.LANDMARKS):
+        """Keep distances of some landmarks, which WPATH uses until an edge changes."""
+        self.distances = graph.DistanceCache.build(self.tables["edges"], int(landmarks))
+        return self.do_graph_chstats()
+
+    def do_graph_chstats(self):
+        return self.distances.stats(self.tables["edges"]) if self.distances is not None else self.one(state="none")
 
     def do_graph_impact(self, key, *args):
         o = options(args, "EDGES", "NODES", "DEPTH")

@@ -8,6 +8,7 @@ seeds at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -283,10 +284,69 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_dep
     return found.join(to, ["source", "target"]).join(back, ["source", "target"]).select("source", "target", "hops", F.concat("first", F.slice("second", 2, 1 << 30)).alias("path"))
 
 
-def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, key, weight): the least total weight from each source to every node that it reaches, itself included; weights must not be negative."""
+    if edges.where("weight < 0").limit(1).count():
+        raise ValueError("weights must not be negative")
+    walked = settled(directed(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    best = frontier = settled(sources.select("source").distinct().select("source", F.col("source").alias("key"), F.lit(0.0).alias("weight")))
+    while (size := frontier.count()) > 0:
+        near = frontier.select("source", F.col("key").alias("src"), F.col("weight").alias("so_far"))
+        step = walked.join(F.broadcast(near) if size <= MAX_FRONTIER else near, "src").groupBy("source", F.col("dst").alias("key")).agg(F.min(F.col("so_far") + F.col("weight")).alias("weight"))
+        frontier = settled(step.join(best.withColumnRenamed("weight", "old"), ["source", "key"], "left").where("old IS NULL OR weight < old").select("source", "key", "weight"))
+        best = settled(best.join(frontier.select("source", "key"), ["source", "key"], "left_anti").unionByName(frontier))
+    return best
+
+
+#: Nodes that distances are kept for.
+LANDMARKS = 16
+
+
+@dataclass
+class DistanceCache:
+    """Distances from and to a bounded number of landmarks, the nodes with most links, which bound the search for cheapest paths: no way over a landmark is better than the best.
+
+    out, into: (landmark, key, weight) from and to each landmark; mark: what the edges were when it was built, so that a change makes it stale.
+    """
+
+    out: DataFrame
+    into: DataFrame
+    mark: tuple
+
+    @staticmethod
+    def marked(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst", "weight").cast("decimal(38,0)"))).first())
+
+    @classmethod
+    def build(cls, edges: DataFrame, landmarks: int = LANDMARKS) -> DistanceCache:
+        degree = edges.select(F.explode(F.array("src", "dst")).alias("source")).groupBy("source").count()
+        chosen = settled(degree.orderBy(F.desc("count"), "source").limit(landmarks).select("source"))
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight")
+        out, into = (distances(e, chosen).withColumnRenamed("source", "landmark") for e in (edges, back))
+        return cls(out, into, cls.marked(edges))
+
+    def fresh(self, edges: DataFrame) -> bool:
+        return self.marked(edges) == self.mark
+
+    def stats(self, edges: DataFrame) -> DataFrame:
+        """(state, edges, landmarks, entries)."""
+        both = self.out.unionByName(self.into)
+        return both.agg(F.lit("fresh" if self.fresh(edges) else "stale").alias("state"), F.lit(self.mark[0]).alias("edges"), F.countDistinct("landmark").alias("landmarks"), F.count("*").alias("entries"))
+
+    def bounds(self, asked: DataFrame) -> DataFrame:
+        """(source, bound) of the sources all of whose targets are reached over some landmark: no target is farther."""
+        to, on = self.into.select("landmark", F.col("key").alias("source"), F.col("weight").alias("a")), self.out.select("landmark", F.col("key").alias("target"), F.col("weight").alias("b"))
+        ways = asked.join(to, "source", "left").join(on, ["landmark", "target"], "left").groupBy("source", "target").agg(F.min(F.col("a") + F.col("b")).alias("way"))
+        # A way's sum may differ from the best one's in the last digits.
+        return ways.groupBy("source").agg(F.when(F.count("way") == F.count("*"), F.max("way") * (1 + 1e-9) + 1e-9).alias("bound")).where("bound IS NOT NULL")
+
+
+def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int | None = None, cache: DistanceCache | None = None) -> DataFrame:
     """(source, target, weight, path): a directed path of least total weight for each pair; weights must not be negative. Rounds of relaxation, which
     drop what can't beat the target's best so far, until nothing gets better; if max_rounds are given and don't suffice, that is an error. Each node is kept with the one before it
-    (of equal ways the least), and paths are put together at the end."""
+    (of equal ways the least), and paths are put together at the end. cache: distances by way of landmarks, which bound the search from the start; a stale one is an error."""
+    if cache is not None and not cache.fresh(edges):
+        raise ValueError("the distance cache is stale")
     walked = directed(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     if edges.where("weight < 0").limit(1).count():
         raise ValueError("weights must not be negative")
@@ -295,8 +355,8 @@ def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rou
     best = settled(asked.select("source").distinct().select("source", F.col("source").alias("key"), F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("before")))
     wanted = settled(asked.groupBy("source").agg(F.count("*").alias("targets")))
     few = wanted.count() <= MAX_FRONTIER
-    frontier, bound = best, None
-    rounds = 0
+    frontier, first = best, settled(cache.bounds(asked)) if cache is not None and few else None
+    bound, rounds = first, 0
     while (size := frontier.count()) > 0:
         if rounds == max_rounds:
             raise ValueError(f"paths aren't settled after {max_rounds} rounds")
@@ -311,7 +371,9 @@ def weighted_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rou
         best = settled(best.join(frontier.select("source", "key"), ["source", "key"], "left_anti").unionByName(frontier))
         # Beyond the farthest target known, nothing matters; sources with a target not reached yet have no bound. A row for each source.
         reached = best.join(asked.select("source", F.col("target").alias("key")), ["source", "key"]).groupBy("source").agg(F.count("*").alias("n"), F.max("weight").alias("bound"))
-        bound = settled(wanted.join(reached, "source").where("n = targets").select("source", "bound")) if few else None
+        if few:
+            found = wanted.join(reached, "source").where("n = targets").select("source", "bound")
+            bound = settled(found if first is None else found.unionByName(first).groupBy("source").agg(F.min("bound").alias("bound")))
     ends = settled(asked.join(best.select("source", F.col("key").alias("target"), "weight"), ["source", "target"]))
     ways = _ways(best, ends.select("source", "target", F.col("target").alias("key")))
     return ends.join(ways, ["source", "target"]).select("source", "target", "weight", F.col("way").alias("path"))

@@ -135,3 +135,21 @@ def test_weighted_paths_end_only_when_settled(spark):
     assert [r["weight"] for r in graph.weighted_paths(n, e, pairs).collect()] == [4]
     with pytest.raises(ValueError, match="rounds"):
         graph.weighted_paths(n, e, pairs, max_rounds=2)
+
+
+def test_distance_cache(spark):
+    """Bounds by way of landmarks change no path; a changed edge makes the cache stale."""
+    links = [(f"n{i}", "e", f"n{(i + 7 * j + 1) % 60}", (3 * i + 5 * j) % 10 + 1) for i in range(60) for j in range(3)]
+    n, e = make(spark, [f"n{i}:t" for i in range(60)], links)
+    pairs = spark.createDataFrame([(f"n{7 * i % 60}", f"n{(13 * i + 5) % 60}") for i in range(20)], "source string, target string")
+    cache = graph.DistanceCache.build(e, 4)
+    rows = lambda df: sorted(tuple(r) for r in df.select("source", "target", "weight").collect())
+    assert rows(graph.weighted_paths(n, e, pairs, cache=cache)) == rows(graph.weighted_paths(n, e, pairs))
+    exact = {(r["source"], r["key"]): r["weight"] for r in graph.distances(e, pairs).collect()}
+    assert all(exact[s, t] == w for s, t, w in rows(graph.weighted_paths(n, e, pairs)))
+    stats = cache.stats(e).first()
+    assert (stats["state"], stats["edges"], stats["landmarks"], stats["entries"]) == ("fresh", 180, 4, 2 * 4 * 60)
+    changed = e.withColumn("weight", F.when(F.col("src") == "n0", 9.0).otherwise(F.col("weight")))
+    assert cache.stats(changed).first()["state"] == "stale"
+    with pytest.raises(ValueError, match="stale"):
+        graph.weighted_paths(n, changed, pairs, cache=cache)
