@@ -38,7 +38,7 @@ from orrery.llm.common import give_back, need, small_batches, spread
 
 NEVER = 1 << 60
 #: Words whose tokens a task keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -70,6 +70,8 @@ class MergeAutomaton:
         inside = {t: i for t, i in self.readable.items() if not (suffix and t.endswith(suffix))}
         at_end = {plain[t]: i for t, i in self.readable.items() if t.endswith(suffix)}
         self.inner, self.last = ({**(more := ends(of)), **{t: 2 * i + (t in more) for t, i in of.items()}} for of in (inside, at_end))
+        # What the tables were made from isn't needed any more.
+        del self.left, self.right, self.born, self.cuts, self.readable
 
     def _gadget(self, when: int, u: int, v: int, uv: int, label: str) -> None:
         if not self._reads(u, v):  # no state reads u and then v: the merge never applies
@@ -258,6 +260,7 @@ def compiled(description: str) -> WordBpe:
     if key not in _COMPILED:
         _COMPILED.clear()
         _COMPILED[key] = WordBpe(description)
+        give_back()
     return _COMPILED[key]
 
 
