@@ -13,8 +13,8 @@ the times at which it did. A transition exists unless one meets the other in tim
 in a worker, and never change while it encodes.
 
 Each beginning of a pre-split word is spelled by exactly one accepted sequence, as BPE is a function; so each place of it is reached by exactly one token, the one that the state at
-the token's start reads. Encoding asks for the token at the word's end, and so on for the states that this depends on; what was found for a place stands, and none is looked for
-twice. Decoding emits the labels of the arcs.
+the token's start reads. Encoding reads the letters once by a matching automaton (pyahocorasick), which tells the tokens that may end at each place; the tables tell which of them does. Nothing is
+tried twice or taken back. Decoding emits the labels of the arcs.
 
 Defined cases: a null text gives no tokens and the empty text; an empty table gives an empty result; repeated rows are encoded each
 on its own; other columns pass through unchanged, and a clashing output name raises an error.
@@ -28,6 +28,7 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -37,8 +38,10 @@ from pyspark.sql import types as T
 from orrery.llm.common import give_back, need, small_batches, spread
 
 NEVER = 1 << 60
-#: Words whose tokens a task keeps.
-CACHE_ENTRIES = 200_000
+#: What stands for the end of a word among its letters.
+END = "\x00"
+#: Words whose tokens a task keeps: those of the last half as many new ones, and those used since then.
+CACHE_ENTRIES = 260_000
 
 
 def byte_letters() -> list[str]:
@@ -64,12 +67,13 @@ class MergeAutomaton:
             self._gadget(when, vocab[a], vocab[b], vocab[a + b], a + b)
         self._compile()
         plain = {t: t.removesuffix(suffix) for t in self.readable}
-        self.sizes = {i: len(plain[t]) for t, i in self.readable.items()}
-        # What some letters may be: a token (its double, plus 1 if longer ones end so too) or only the end of some (-1); within a word, and at its end.
-        ends = lambda of: dict.fromkeys((t[k:] for t in of for k in range(1, len(t))), -1)
-        inside = {t: i for t, i in self.readable.items() if not (suffix and t.endswith(suffix))}
-        at_end = {plain[t]: i for t, i in self.readable.items() if t.endswith(suffix)}
-        self.inner, self.last = ({**(more := ends(of)), **{t: 2 * i + (t in more) for t, i in of.items()}} for of in (inside, at_end))
+        # Reading letters: which tokens end at each place, the longest first. The word's end is a letter of its own.
+        self.end = END if suffix else ""
+        self.letters = ahocorasick.Automaton()
+        for t, i in self.readable.items():
+            self.letters.add_word(plain[t] + END if suffix and t.endswith(suffix) else t, i)
+        self.letters.make_automaton()
+        self.sizes = {i: len(plain[t]) + (bool(suffix) and t.endswith(suffix)) for t, i in self.readable.items()}
         # What the tables were made from isn't needed any more.
         del self.left, self.right, self.born, self.cuts, self.readable
 
@@ -132,45 +136,34 @@ class MergeAutomaton:
                     return False
         return True
 
-    def _ending(self, word: str, at: int) -> list[tuple[int, int]]:
-        """The tokens that may end at a place of a word, with where they start, the longest last."""
-        found, ends = [], self.last if at == len(word) else self.inner
-        for start in range(at - 1, -1, -1):
-            token = ends.get(word[start:at])
-            if token is None:
-                break
-            if token >= 0:
-                found.append((start, token >> 1))
-            if not token & 1:
-                break
-        return found
-
     def encode(self, word: str) -> list[int]:
         """The tokens of one pre-split word, given in byte letters."""
-        n, step = len(word), self.step
-        whole = self.last.get(word, -1) if n else None
-        if whole is None:
+        if not word:
             return []
-        if whole >= 0:  # the start reads all tokens
-            return [whole >> 1]
-        reached: dict[int, int] = {}  # the token that ends at each place that was asked for
-        asked = [(n, self._ending(word, n))]
-        while asked:
-            at, arcs = asked[-1]
-            if not arcs:
-                raise ValueError(f"the vocabulary can't spell {word!r}")
-            start, token = arcs[-1]
-            if start:
-                state = reached.get(start)
-                if state is None:
-                    asked.append((start, self._ending(word, start)))
-                    continue
-                if not step(state, token):
-                    arcs.pop()
-                    continue
-            reached[at] = token
-            asked.pop()
-        path, sizes = [], self.sizes
+        word += self.end
+        n, sizes, lost, grown = len(word), self.sizes, self.lost, self.grown
+        reached = [-1] * (n + 1)  # the token that ends at each place; only one can
+        for at, token in self.letters.iter(word):
+            if reached[at + 1] < 0:
+                start = at + 1 - sizes[token]
+                if start:
+                    state = reached[start]
+                    if state < 0:
+                        continue  # no sequence of tokens spells that beginning
+                    for cuts, until in lost[state]:  # as step(), in place
+                        for arc, made in grown[token]:
+                            if arc in cuts and cuts[arc] < until and cuts[arc] <= made:
+                                break
+                        else:
+                            continue
+                        break
+                    else:
+                        reached[at + 1] = token
+                else:  # the start reads all tokens
+                    reached[at + 1] = token
+        if reached[n] < 0:
+            raise LookupError(f"the vocabulary can't spell {word.removesuffix(END)!r}")
+        path = []
         while n:
             path.append(reached[n])
             n -= sizes[path[-1]]
@@ -199,10 +192,11 @@ class WordBpe:
         self._assigned: set[str] = set()
         self._description = description
         self._seen: dict[str, list[int]] = {}
+        self._older: dict[str, list[int]] = {}
 
     def forget(self) -> None:
         """Empty the caches: a worker that lives on does other work, too."""
-        self._seen = {}
+        self._seen, self._older = {}, {}
         self._assigned = set()
 
     def _has_unassigned(self, text: str) -> bool:
@@ -220,17 +214,19 @@ class WordBpe:
         return own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
 
     def _word(self, word: str) -> list[int]:
-        """A word's tokens; short words' are kept, as long as the cache has room."""
-        ids = self.automaton.encode(word.encode().decode("latin-1").translate(self._letters))
+        """A word's tokens; short words' are kept for a while."""
+        ids = self._older.get(word)
+        if ids is None:
+            ids = self.automaton.encode(word.encode().decode("latin-1").translate(self._letters))
         if len(word) < 48:
-            if len(self._seen) > CACHE_ENTRIES:
-                self._seen.clear()
+            if len(self._seen) >= CACHE_ENTRIES // 2:
+                self._seen, self._older = {}, self._seen
             self._seen[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        get, special = self._seen.get, self.special
+        special = self.special
         for part in self._special.split(text) if self._special and any(s in text for s in special) else [text]:
             if part in special:
                 ids.append(special[part])
@@ -241,9 +237,14 @@ class WordBpe:
                     continue
                 part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")  # capital sigma, which lower() treats by its place
             words = self._words(part.lower())
-            found = list(map(get, words))
-            if None in found:
-                found = [f or get(w) or self._word(w) for w, f in zip(words, found, strict=True)]
+            found = list(map(self._seen.get, words))
+            at = -1
+            try:
+                while True:
+                    at = found.index(None, at + 1)
+                    found[at] = self._seen.get(words[at]) or self._word(words[at])
+            except ValueError:  # no word is left without its tokens
+                pass
             ids.extend(chain.from_iterable(found))
         return ids
 
