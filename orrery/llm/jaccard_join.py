@@ -13,7 +13,7 @@ count, and is frequent if that is far above the mean. A slot shared by chance ch
 Equal sets become one first. A key's documents, sorted by size, fall apart where the next is too large to link with the one before; such chains replace the key, and documents
 alone in one leave. Where two are left, they are compared. In larger chains the document whose token comes first leads. A round compares each document with
 one leader of its chains, of another component, and links what verifies; so a group of m near copies costs about m comparisons and not m * m. When few enough pairs
-in unlike components are left, or after ROUNDS rounds, parity sketches of all of them are compared, chain by chain in pieces of bounded size, with the documents outside of the chain's
+in unlike components are left, when a round has hardly lessened them, or after ROUNDS rounds, parity sketches of all of them are compared, chain by chain in pieces of bounded size, with the documents outside of the chain's
 largest component on one side, and chains of near copies that hold nearly the same documents as one; only pairs that may link leave a piece. No pair that reaches the threshold is left out: its two documents end in
 one component, or are compared.
 
@@ -46,6 +46,8 @@ COUNT_BITS, FILTER_BITS = 20, 23
 PARITY_BITS = 1024
 #: Rounds that compare each document with one leader, before all that is left is compared; fewer where that is little.
 ROUNDS = 4
+#: The share of a round's pairs from which, if more are left, leaders have no more to give and all that is left is compared.
+STALLED = 0.9
 #: Pairs for each document whose sketches are compared at once when so many or fewer are left, before the bounds on sizes and places thin them out.
 ENOUGH = 100
 #: Documents of a chain in a slice; two slices meet in a piece.
@@ -351,17 +353,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     count = members.count()
     side = lambda df, name: df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "n", "place", "root")))
     in_key = Window.partitionBy("key")
+    active, before = shared, float("inf")
     for turn in range(2, ROUNDS + 2):
-        # Chains whose documents are in one component are done.
+        # Chains whose documents are in one component are done, and stay so: a round reads what the one before has left, each row once.
         known_roots = roots.select(F.col("node").alias("doc"), "root")
-        active = shared.join(F.broadcast(known_roots) if known_roots.count() <= MAX_BROADCAST_IDS else known_roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        active = active.join(F.broadcast(known_roots) if known_roots.count() <= MAX_BROADCAST_IDS else known_roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         active = cut(active.select("*", (F.min("root").over(in_key) != F.max("root").over(in_key)).alias("unlike")).where("unlike").drop("unlike"))
         # Each pair that is left has an end outside the component that most of its chain's documents are in.
         of_key = active.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("most"))
         number = of_key.agg(F.sum((F.col("m") - F.col("most.m")) * F.col("m"))).first()[0] or 0
         if number == 0:
             break
-        last = turn > ROUNDS or number <= ENOUGH * count + 1_000_000
+        last = turn > ROUNDS or number <= ENOUGH * count + 1_000_000 or number > STALLED * before
         if last:
             near = candidates(active, of_key, sketches, percent)
         else:  # one leader for each document, from either end in turn
@@ -374,7 +377,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         roots = components(links)
         if last:
             break
-        tested = cut_plain(tested.union(pairs))
+        tested, active, before = cut_plain(tested.union(pairs)), active.drop("root"), number
     lowest = roots.groupBy("root").agg(F.min("node").alias("component")).join(roots, "root").select(F.col("node").alias("first"), "component")
     result = members.join(lowest, "first", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
     unknown = rows.where("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

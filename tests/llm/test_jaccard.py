@@ -122,6 +122,36 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] or 0 for r in J.one_of_each(docs, 3, 90).collect()) == [0, 1, 2]
 
 
+def rows_of_joins(spark, known, pattern):
+    """Rows that joins of the executions after the first `known` put out, by Spark's own counts."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    done = store.executionsList()
+    for execution in (done.apply(i).executionId() for i in range(known, done.size())):
+        counts, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(pattern, node.desc()):
+                metrics = node.metrics()
+                ids = [metrics.apply(i).accumulatorId() for i in range(metrics.size()) if metrics.apply(i).name() == "number of output rows"]
+                made += sum(int(counts.apply(i).replace(",", "")) for i in ids if counts.contains(i))
+    return made
+
+
+def test_rounds_read_what_is_left(spark, monkeypatch):
+    """Chains that the first round has finished are read by no round but the second, and rounds that change nothing are not repeated."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    done = [f"{words(f'a{k}_', 60)} x{k}_{i}" for k in range(20) for i in range(6)]
+    unlike = [f"{words(f'b{k}_', 30)} {words(f'c{j}_', 30)}" for k in range(12) for j in range(4)]
+    found = []
+    monkeypatch.setattr(J, "chains", lambda *a, f=J.chains: found.append(J.cut(f(*a))) or found[-1])
+    monkeypatch.setattr(J, "ENOUGH", -(10**9))
+    known = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    check(spark, list(enumerate(done + unlike)))
+    shared = found[0].where("m > 2").join(spark.createDataFrame([(i, i < len(done)) for i in range(len(done + unlike))], "doc long, done boolean"), "doc")
+    rows = {r["done"]: r["count"] for r in shared.groupBy("done").count().collect()}
+    assert rows[True] >= 300 and rows[False] >= 48
+    assert rows[True] + rows[False] <= rows_of_joins(spark, known, r"Join \[doc#\d+L\], \[doc#\d+L\], LeftOuter") <= rows[True] + 2 * rows[False]
+
+
 @pytest.mark.parametrize("few", [0, 10, 20_000])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr("orrery.llm.components.FEW", few)
