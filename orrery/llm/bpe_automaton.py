@@ -10,7 +10,7 @@ All arcs labelled t lead to one state at any time, so a state is named by the to
 state of its token's right part, as it was when the token was made, less the arcs that later gadgets took away. When all gadgets are done, the differences are compiled to
 two tables: for each state the arcs that it and those it was copied from lost, with the times up to which they count; for each token the arcs that it grew from, with
 the times at which it did. A transition exists unless one meets the other in time: a few lookups. The tables have a row for each token and an entry for each merge (some MB), are built once
-in a worker, and never change while it encodes.
+in a worker, go when it turns to another operator, and never change while it encodes.
 
 Each beginning of a pre-split word is spelled by exactly one accepted sequence, as BPE is a function; so each place of it is reached by exactly one token, the one that the state at
 the token's start reads. Encoding reads the letters once by a matching automaton (pyahocorasick), which tells the tokens that may end at each place; the tables tell which of them does. Nothing is
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import give_back, need, small_batches, spread
+from orrery.llm.common import give_back, keep, need, small_batches, spread
 
 NEVER = 1 << 60
 #: What stands for the end of a word among its letters.
@@ -252,17 +252,9 @@ class WordBpe:
         return self.automaton.decode(ids)
 
 
-_COMPILED: dict[int, WordBpe] = {}
-
-
 def compiled(description: str) -> WordBpe:
-    """The tokenizer of a description, compiled once in each worker."""
-    key = hash(description)
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = WordBpe(description)
-        give_back()
-    return _COMPILED[key]
+    """The tokenizer of a description, compiled once in each worker and kept while its tasks are of this operator."""
+    return keep(("bpe", hash(description)), lambda: WordBpe(description))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = "decoded") -> DataFrame:
@@ -281,7 +273,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(description.value)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, keeps=True):
             tokens = [tokenizer.encode(t.as_py() or "") for t in batch.column(text)]
             columns = [*batch.columns, pa.array(tokens, pa.list_(pa.int32()))]
             if decoded:

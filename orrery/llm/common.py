@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,17 @@ def cut_plain(df: DataFrame) -> DataFrame:
     return DataFrame(df.sparkSession._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), df.sparkSession)
 
 
+#: Partitions whose short rows go into one file.
+FILE_PARTITIONS = 5
+
+
+def cut_short(df: DataFrame) -> DataFrame:
+    """As cut_plain(), with the rows of FILE_PARTITIONS partitions in a file, but two files a core at least. Each file costs requests, and in a local folder four processes that the
+    executor starts to set modes. The stage that writes has as many tasks as files, so it is for frames whose last stage reads short rows alone."""
+    spark = df.sparkSession
+    return cut_plain(df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // FILE_PARTITIONS)))
+
+
 #: Rows in the Arrow batches that Spark sends to Python: whole texts are long, and each task holds a batch or two.
 ARROW_ROWS = 1000
 
@@ -85,7 +99,7 @@ MAX_BROADCAST_IDS = 1_000_000
 
 def short(ids: DataFrame) -> DataFrame:
     """ids, written to the shared folder, and marked for broadcast if their count is within MAX_BROADCAST_IDS."""
-    ids = cut(ids.distinct())
+    ids = cut_short(ids.distinct())
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
@@ -130,8 +144,32 @@ def named_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return names[at], starts
 
 
-def small_batches(batches, rows: int = 256):
-    """Arrow batches cut to a few hundred rows, so that a task's memory stays small. At the end, free memory goes back to the system: workers live on for other tasks."""
+#: What this worker keeps for later tasks, by its key: one thing at a time.
+_KEPT: dict[Any, Any] = {}
+
+
+def keep(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept in this worker until a task needs another thing, or none."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+        give_back()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Free what keep() has kept."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        give_back()
+
+
+def small_batches(batches, rows: int = 256, keeps: bool = False):
+    """Arrow batches cut to a few hundred rows, so that a task's memory stays small. At the end, free memory goes back to the system: workers live on for other tasks.
+    keeps: whether the task uses what keep() keeps; else that goes at the start, as the worker may have it from another operator."""
+    if not keeps:
+        let_go()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

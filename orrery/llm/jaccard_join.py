@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import AZ, MAX_BROADCAST_IDS, cut, cut_plain, free_name, mixed, named_words, need, short, small_batches, spread, utf8
+from orrery.llm.common import AZ, MAX_BROADCAST_IDS, cut, cut_plain, cut_short, free_name, mixed, named_words, need, short, small_batches, spread, utf8
 from orrery.llm.components import components
 from orrery.llm.packed_sums import total
 
@@ -326,7 +326,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     # Equal sets become one: its least doc_id stands for the class. Rows with long arrays stay where they are, unless ids repeat.
     own = ["n", "s1", "s2"]
     classes = known.where("n > 0").groupBy(*own).agg(F.min("doc_id").alias("first"))
-    members = cut(known.select("doc_id", *own).join(classes, own, "left").select("doc_id", "n", "s1", F.coalesce("first", "doc_id").alias("first")))
+    members = cut_short(known.select("doc_id", *own).join(classes, own, "left").select("doc_id", "n", "s1", F.coalesce("first", "doc_id").alias("first")))
     gone = short(members.where("doc_id <> first").select("doc_id", "s1"))
     firsts = known.where("n > 0").join(gone, ["doc_id", "s1"], "left_anti")
     repeated = members.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("first").alias("a"), F.max("first").alias("z")).where("rows > 1")
@@ -344,7 +344,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     led = found.where("rank > 1").where(may_link(percent, "lead_", "")).where("lead_doc <> doc")
     of_many = led.where("m > 2").groupBy("doc").agg(F.min("lead_doc").alias("lead_doc")).select("doc", "lead_doc")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = cut_plain(led.where("m = 2").select("doc", "lead_doc").union(of_many).select(*pair("doc", "lead_doc")).distinct())
+    pairs = cut_short(led.where("m = 2").select("doc", "lead_doc").union(of_many).select(*pair("doc", "lead_doc")).distinct())
 
     sketches = firsts.select("doc_id", "n", "parity")
     shared = found.where("m > 2").select("key", "doc", "n", "place", "rank")
@@ -371,13 +371,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             near = side(active.where("rank = 1"), "a").join(side(active.where("rank > 1"), "b"), "key").where(F.col("a_root") != F.col("b_root")).where(may_link(percent, "a_", "b_"))
             near = near.select(*pair("a_doc", "b_doc"), "b_doc", "a_doc").join(tested, ["a", "b"], "left_anti")
             near = near.groupBy("b_doc").agg((F.min if turn % 2 else F.max)("a_doc").alias("a_doc")).select(*pair("a_doc", "b_doc")).distinct()
-        pairs = cut_plain(near)
+        pairs = cut_short(near)
         far = (lambda found: found) if last else (lambda found: cut_plain(not_far(found, sketches, percent)))
         links = cut_plain(links.union(verified(far(pairs), docs, words, percent)))
         roots = components(links)
         if last:
             break
-        tested, active, before = cut_plain(tested.union(pairs)), active.drop("root"), number
+        tested, active, before = cut_short(tested.union(pairs)), active.drop("root"), number
     lowest = roots.groupBy("root").agg(F.min("node").alias("component")).join(roots, "root").select(F.col("node").alias("first"), "component")
     result = members.join(lowest, "first", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
     unknown = rows.where("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

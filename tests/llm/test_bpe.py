@@ -1,4 +1,5 @@
 import hashlib
+import weakref
 
 import public_tokenizers as P
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from orrery.llm import bpe_automaton as B
-from orrery.llm.common import table
+from orrery.llm.common import small_batches, table
 
 PATH = P.path("word_bpe_49k.json")
 HARD = ["", " ", "aaaaaaa aaaa", "ΑΣΣΑΣ İstanbul ßẞ", "a<|endoftext|>b <|startoftext|><|startoftext|>", "don't I'LL we'Re 12345", "\x00\x1c\x85é é ﷺ ½ Ⅷ", "日本語テキスト 🙂🙂‍", "!!!???...", "a" * 5000, "ab" * 3000, "́́x", "line\r\nline\ttab　wide"]
@@ -84,3 +85,11 @@ def test_edges(spark):
     assert B.query(docs.limit(0), PATH).count() == 0
     with pytest.raises(ValueError, match="exist already"):
         B.encode_decode(docs.withColumnRenamed("ids", "token_ids"), PATH)
+
+
+def test_tables_go_when_a_worker_turns_to_another_operator():
+    kept = weakref.ref(B.compiled(open(PATH).read()))
+    assert B.compiled(open(PATH).read()) is kept()
+    assert list(small_batches([])) == [] and kept() is None
+    kept = weakref.ref(B.compiled(open(PATH).read()))
+    assert list(small_batches([], keeps=True)) == [] and kept() is not None

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from orrery.llm import jaccard_join as J
+from orrery.llm.common import cut_short, short
 from orrery.llm.components import components
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -161,3 +162,18 @@ def test_components(spark, monkeypatch, few):
         got.setdefault(r["root"], set()).add(r["node"])
     assert sorted(map(sorted, got.values())) == [list(range(41)), list(range(100, 130)), [200, 201]]
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_rows_share_files(spark):
+    held = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.range(5000).selectExpr("id % 700 AS a").distinct()
+        for got in (cut_short(rows), short(rows)):
+            assert got.rdd.getNumPartitions() <= max(40, 2 * spark.sparkContext.defaultParallelism)
+            assert sorted(r["a"] for r in got.collect()) == list(range(700))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
