@@ -153,3 +153,14 @@ def test_distance_cache(spark):
     assert cache.stats(changed).first()["state"] == "stale"
     with pytest.raises(ValueError, match="stale"):
         graph.weighted_paths(n, changed, pairs, cache=cache)
+
+
+def test_new_ids_go_on_from_old_ones(spark):
+    """Old ids that differ each time they are computed, as those that depend on a plan's partitions do; new ones go on from the ids that the edges keep."""
+    n = spark.createDataFrame([], "key string, type string")
+    link = F.concat(F.lit("a"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("dst"), F.lit("t").alias("type")
+    old = spark.range(20).select(F.expr("CAST(reflect('java.lang.System', 'nanoTime') AS long)").alias("edge_id"), *link, F.lit(1.0).alias("weight"))
+    _, e = graph.upsert_edges(n, old, spark.range(50).select(*link))
+    is_old = F.regexp_extract("src", r"\d+", 0).cast("int") < 20
+    most, least, count = e.agg(F.max(F.when(is_old, F.col("edge_id"))), F.min(F.when(~is_old, F.col("edge_id"))), F.count("*")).first()
+    assert count == 50 and least > most
