@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import composite, cosine, frequency, normalize, recency
 from orrery.operators.graph import directed, traverse
+from orrery.session import settled
 
 #: Queries in one matrix product, and bytes of queries that are sent along at once.
 MAX_QUERIES, BLOCK_BYTES = 1024, 64 << 20
@@ -183,12 +184,24 @@ def context(memories: DataFrame, edges: DataFrame, centers: DataFrame, depth: in
     own = memories.select("agent", "id")
     links = edges if kinds is None else edges.where(F.col("type").isin(*kinds))
     inside = links.join(own.select(F.col("agent").alias("a"), F.col("id").alias("src")), "src").join(own.select(F.col("agent").alias("b"), F.col("id").alias("dst")), "dst").where("a = b").select("src", "dst", "type", "weight")
-    nodes = own.select(F.col("id").alias("key"), F.col("agent").alias("type"))
-    found = traverse(nodes, inside, centers.select(F.col("id").alias("key")), depth, "BOTH").select(F.col("seed").alias("center"), F.col("key").alias("id"), "depth")
-    walked = directed(inside, "BOTH")
-    before = found.select("center", F.col("id").alias("src"), (F.col("depth") + 1).alias("depth"))
-    reached = before.join(walked, "src").select("center", F.col("dst").alias("id"), "depth", F.struct("type", "weight").alias("link")).groupBy("center", "id", "depth").agg(F.min("link").alias("link"))
-    return found.join(reached, ["center", "id", "depth"], "left").select("center", "id", "depth", F.col("link.type").alias("rel"), F.col("link.weight").alias("weight"))
+    walked = directed(settled(inside), "BOTH").select(F.col("src").alias("at"), F.col("dst").alias("id"), F.struct("type", "weight").alias("link"))
+    start = centers.select("id").distinct().join(own.select("id"), "id", "left_semi").select(F.col("id").alias("center"), "id", F.lit(0).alias("depth"))
+    none = F.lit(None).cast(walked.schema["link"].dataType)
+    found = start.withColumn("link", none)
+    frontier = found.select("center", F.col("id").alias("at"))
+    for level in range(1, depth + 1):
+        step = walked.join(frontier, "at").select("center", "id", F.lit(level).alias("depth"), "link")
+        if level == depth:  # not walked on from, so it is neither cut to what is new nor written
+            found = found.unionByName(step)
+            break
+        new = step.groupBy("center", "id", "depth").agg(F.min("link").alias("link")).join(found.select("center", "id"), ["center", "id"], "left_anti")
+        frontier = settled(new.select("center", "id", "depth", "link"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+        frontier = frontier.select("center", F.col("id").alias("at"))
+    first = found.groupBy("center", "id").agg(F.min(F.struct("depth", "link")).alias("f"))
+    return first.select("center", "id", "f.depth", F.col("f.link.type").alias("rel"), F.col("f.link.weight").alias("weight"))
 
 
 def decay(memories: DataFrame, now: int, prune: float) -> DataFrame:

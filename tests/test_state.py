@@ -215,3 +215,20 @@ def test_embedding(spark):
     got = [(r["key"], r["score"]) for r in vector.search(vectors, query, 2).orderBy("rank").collect()]
     assert got == [("a", 1.0), ("b", 1.0)]
     assert embed(texts, embedder=lambda xs: [[float(len(x))] for x in xs]).where("key = 'd'").first()["vec"] == [0.0]
+
+
+def test_context_writes_no_last_level(spark, monkeypatch):
+    """Memories in a chain: the links and the first level are written, and nothing else of which there are as many rows as memories."""
+    import orrery.operators.graph
+    import orrery.session
+
+    written = []
+    settled = orrery.session.settled
+    counted = lambda df: (out := settled(df), written.append(out.count()))[0]
+    monkeypatch.setattr(orrery.operators.graph, "settled", counted)
+    monkeypatch.setattr(vector, "settled", counted, raising=False)
+    m = spark.range(20).select(F.lit("a").alias("agent"), F.format_string("m%02d", "id").alias("id"))
+    e = spark.range(19).select(F.format_string("m%02d", "id").alias("src"), F.format_string("m%02d", F.col("id") + 1).alias("dst"), F.when(F.col("id") % 2 == 0, "next").otherwise("then").alias("type"), F.lit(1.0).alias("weight"))
+    got = {(r["center"], r["id"]): (r["depth"], r["rel"]) for r in vector.context(m, e, m, 2).collect()}
+    assert len(got) == 20 + 2 * 19 + 2 * 18 and got["m05", "m05"] == (0, None) and got["m05", "m06"] == (1, "then") and got["m05", "m03"] == (2, "then")
+    assert sum(written) <= 19 + 38
