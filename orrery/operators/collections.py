@@ -15,6 +15,8 @@ from orrery.functions import slice_bounds
 from orrery.operators.ranks import ranked, running
 
 KEY = ("db", "key")
+#: Places of a key that a row is given at once.
+MAX_PLACES = 1000
 
 
 # -- lists ----------------------------------------------------------------------------------------------------------------------
@@ -66,10 +68,17 @@ def list_set(lists: DataFrame, i: int, value: str) -> DataFrame:
 
 
 def list_remove(lists: DataFrame, value: str, count: int = 0) -> DataFrame:
-    """lists without equal values: all for 0, the first or last |count| otherwise."""
+    """lists without equal values: all for 0, the first or last |count| otherwise. Up to MAX_PLACES places to remove are sent to a key's rows; beyond, places are counted anew."""
     match = F.col("value").eqNullSafe(F.lit(value))
     if count == 0:
         kept = lists.where(~match)
+    elif abs(count) <= MAX_PLACES:
+        order = Window.partitionBy(*KEY).orderBy("pos" if count > 0 else F.desc("pos"))
+        hits = lists.where(match).select(*KEY, "pos").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= abs(count))
+        placed = lists.join(hits.groupBy(*KEY).agg(F.collect_list("pos").alias("gone")), list(KEY), "left")
+        left = placed.where(F.col("gone").isNull() | ~F.array_contains("gone", F.col("pos")))
+        before = F.coalesce(F.size(F.filter("gone", lambda p: p < F.col("pos"))), F.lit(0))
+        return left.select(*KEY, (F.col("pos") - F.when(F.col("gone").isNull(), 0).otherwise(before)).cast("long").alias("pos"), "value")
     else:
         seen = running(lists, list(KEY), [F.col("pos") if count > 0 else F.desc("pos")], match.cast("long"), "seen")
         kept = seen.where(~(match & (F.col("seen") <= abs(count))))

@@ -232,3 +232,16 @@ def test_context_writes_no_last_level(spark, monkeypatch):
     got = {(r["center"], r["id"]): (r["depth"], r["rel"]) for r in vector.context(m, e, m, 2).collect()}
     assert len(got) == 20 + 2 * 19 + 2 * 18 and got["m05", "m05"] == (0, None) and got["m05", "m06"] == (1, "then") and got["m05", "m03"] == (2, "then")
     assert sum(written) <= 19 + 38
+
+
+def test_removing_few_deals_nothing_by_range(spark, monkeypatch):
+    """A bounded count removes the same as places counted anew do, without writing the lists."""
+    from orrery.operators import ranks
+
+    rows = spark.range(400).select(F.lit(0).alias("db"), F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("key"), F.floor(F.col("id") / 3).cast("long").alias("pos"), F.when(F.col("id") % 7 == 0, "x").otherwise(F.col("id").cast("string")).alias("value"))
+    all_of = lambda n: sorted(tuple(r) for r in col.list_remove(rows, "x", n).select("db", "key", "pos", "value").collect())
+    monkeypatch.setattr(col, "MAX_PLACES", 0, raising=False)
+    want = {n: all_of(n) for n in (1, -1, 4, -4, 1000)}
+    monkeypatch.setattr(col, "MAX_PLACES", 1000, raising=False)
+    monkeypatch.setattr(ranks, "settled", None)
+    assert {n: all_of(n) for n in want} == want
