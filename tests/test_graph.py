@@ -164,3 +164,16 @@ def test_new_ids_go_on_from_old_ones(spark):
     is_old = F.regexp_extract("src", r"\d+", 0).cast("int") < 20
     most, least, count = e.agg(F.max(F.when(is_old, F.col("edge_id"))), F.min(F.when(~is_old, F.col("edge_id"))), F.count("*")).first()
     assert count == 50 and least > most
+
+
+def test_long_frontiers_are_sieved(spark, monkeypatch):
+    """Steps of frontiers that aren't broadcast give the same paths, and what a sieve lets through holds all that is wanted."""
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("src"))
+    wanted = rows.where("src % 10 = 0")
+    kept = {r["src"] for r in graph.sieved(rows, wanted, ["src"]).collect()}
+    assert {str(i) for i in range(0, 1000, 10)} <= kept and len(kept) < 110
+    n, e = make(spark, [f"{x}:t" for x in "abcdef"], [("a", "l", "b", 1), ("b", "l", "c", 1), ("a", "l", "d", 1), ("d", "l", "c", 1), ("c", "l", "e", 1), ("e", "l", "f", 1)])
+    pairs = spark.createDataFrame([("a", "f"), ("a", "c"), ("b", "d"), ("f", "b")], "source string, target string")
+    monkeypatch.setattr(graph, "MAX_FRONTIER", 0)
+    got = {(r["source"], r["target"]): (r["hops"], len(r["path"]), r["path"][0], r["path"][-1]) for r in graph.shortest_paths(n, e, pairs).collect()}
+    assert got == {("a", "f"): (4, 5, "a", "f"), ("a", "c"): (2, 3, "a", "c"), ("b", "d"): (2, 3, "b", "d"), ("f", "b"): (3, 4, "f", "b")}
