@@ -177,3 +177,16 @@ def test_long_frontiers_are_sieved(spark, monkeypatch):
     monkeypatch.setattr(graph, "MAX_FRONTIER", 0)
     got = {(r["source"], r["target"]): (r["hops"], len(r["path"]), r["path"][0], r["path"][-1]) for r in graph.shortest_paths(n, e, pairs).collect()}
     assert got == {("a", "f"): (4, 5, "a", "f"), ("a", "c"): (2, 3, "a", "c"), ("b", "d"): (2, 3, "b", "d"), ("f", "b"): (3, 4, "f", "b")}
+
+
+def test_weighted_paths_write_no_edges(spark, monkeypatch):
+    """Edges that no path needs, of which there are many, aren't written; frontiers that aren't broadcast give the same path."""
+    n, e = make(spark, [f"{x}:t" for x in "abc"], [("a", "l", "b", 1), ("a", "l", "b", 3), ("b", "l", "c", 2), ("a", "l", "c", 10)])
+    e = e.unionByName(spark.range(500).select(F.col("id").cast("string").alias("src"), F.lit("a").alias("dst"), F.lit("l").alias("type"), F.lit(1.0).alias("weight")))
+    pairs = spark.createDataFrame([("a", "c")], "source string, target string")
+    written, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (out := settled(df), written.append(out.count()))[0])
+    for most in (graph.MAX_FRONTIER, 0):
+        monkeypatch.setattr(graph, "MAX_FRONTIER", most)
+        assert [tuple(r) for r in graph.weighted_paths(n, e, pairs).collect()] == [("a", "c", 3.0, ["a", "b", "c"])]
+    assert max(written) <= 3
